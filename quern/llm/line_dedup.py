@@ -73,7 +73,7 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, min_docs: int | None, mi
 
 def drop_bitmaps(dropped: DataFrame) -> DataFrame:
     """(doc, mark, gone map<int, long>): bit i of word k says that line 64 k + i goes. Words without any are left out."""
-    bit = F.shiftleft(F.lit(1).cast("long"), (F.col("pos") % 64).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 64).cast("int"))
     words = dropped.groupBy("doc", "mark", (F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
     return words.groupBy("doc", "mark").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("gone"))
 
