@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, exact_dedup, line_dedup
+from quern.llm import bpe, exact_dedup, line_dedup, quality, rans, toxicity
 from quern.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.digests(spark, table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(spark, table(spark, sf_dir, "documents"))
 
@@ -23,7 +35,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_line_dedup, op6_exact_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_rans, op3_toxicity, op4_line_dedup, op6_exact_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
