@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, exact_dedup, line_dedup, quality, rans, toxicity
+from quern.llm import bpe, chat, decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, quality, rans, toxicity
 from quern.llm.common import table
 
 
@@ -26,17 +26,33 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(spark, table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_rans, op3_toxicity, op4_line_dedup, op6_exact_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_rans, op3_toxicity, op4_line_dedup, op5_chat, op6_exact_dedup, op7_license_scan, op8_ngram_join, op9_decontaminate, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op5_chat": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
