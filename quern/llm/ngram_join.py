@@ -12,8 +12,8 @@ Pairs that share a signature are checked by size, then by parity bitmaps (each d
 flipped bits than differences allowed exclude a pair), then verified on the texts. Only links between what isn't yet
 connected matter, in three rounds:
 
-1. in each signature's bucket, ordered by size, neighbours are candidates; each node is verified against its nearest
-   candidate before it in that order, which connects a family of near copies by as many links as it has nodes;
+1. in each signature's bucket, by bands of size, the node that meets most others is a hub and the others' candidate;
+   each node is verified against its nearest hub, which connects a family of near copies by fewer links than nodes;
 2. buckets that still hold several components give all their pairs across components, found in blocks of BLOCK rows
    of a bucket; one pair for each pair of components is verified;
 3. the other pairs across components are verified.
@@ -119,9 +119,10 @@ def signatures(zone: np.ndarray, n: int, frequent: np.ndarray, percent: int = PE
 
 
 def parity(x: np.ndarray) -> np.ndarray:
-    """Bitmap in which each token flips a bit; about half as many bits as tokens, 64 to 16384."""
+    """Bitmap in which each token flips a bit; at least twice as many bits as tokens, 64 to 65536, so that few differing
+    tokens meet in a bit and cancel out."""
     bits = 64
-    while bits * 2 < len(x) and bits < 16384:
+    while bits < 2 * len(x) and bits < 65536:
         bits *= 2
     odd = np.bincount((x >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
@@ -255,6 +256,23 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
+def _hub_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b): in each bucket and band of sizes, its hub and each other node. As many as rows of live, twice
+    at most, as bands overlap. A hub is the node that meets most others over all its buckets: of a text and its edited
+    copies, which resemble it more than each other, that is the text."""
+    of = live.groupBy("sig").agg(F.count("*").alias("rows"))
+    weight = live.join(of, "sig").groupBy("node").agg(F.sum("rows").alias("w"))
+    own = live.join(weight, "node")
+    scale = F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) / 2
+    out = None
+    for shift in (0.0, 0.5):
+        band = own.withColumn("band", F.floor(scale + shift))
+        top = F.max(F.struct("w", F.col("node").alias("a"))).over(Window.partitionBy("sig", "band"))
+        pairs = band.select(top["a"].alias("a"), F.col("node").alias("b")).filter("a <> b")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.distinct()
+
+
 def _across(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b, ca, cb, d) of nodes of different components that share a bucket and pass size and bitmap."""
     own = live.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("lab", "node").alias("lab"))
@@ -337,11 +355,9 @@ def join(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int
     fits = lambda small, large: (F.col(small) * 100 >= F.col(large) * percent)
     near = postings.select("sig", "node", "n", F.lag("node").over(w).alias("before"), F.lag("n").over(w).alias("nb"), F.lead("n").over(w).alias("na"))
     near = near.filter((F.col("before").isNull() | (F.col("before") != F.col("node"))) & (fits("nb", "n") | fits("n", "na")))
-    live = materialize(spark, near.select("sig", "node", "n", F.when(fits("nb", "n"), F.col("before")).alias("before")), "buckets")
-    # round 1: before is earlier in the order of (n, node), so that each node's best link makes a forest
-    chain = _by_bitmap(live.filter("before is not null").select(F.col("before").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent)
-    best = chain.groupBy("b").agg(F.min(F.struct("d", F.col("a").alias("a"))).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = _verified(spark, materialize(spark, best, "chain"), docs, sets, width, percent)
+    live = materialize(spark, near.select("sig", "node", "n"), "buckets")
+    best = _by_bitmap(_hub_pairs(live, percent), nodes, percent).groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    links = _verified(spark, materialize(spark, best, "stars"), docs, sets, width, percent)
     labels = components(spark, links)
     # rounds 2 and 3: what may link different components
     across = materialize(spark, _across(live.select("sig", "node", "n"), labels, nodes, percent), "across")
