@@ -40,7 +40,7 @@ LANES = 1024
 BLOCK = 1 << 18
 EVERY = 128
 END_ID = 1
-#: Encoded words that a worker keeps; beyond that the older half goes.
+#: Encoded words that a worker keeps; beyond that those go that the last texts did not need.
 CACHE_WORDS = 400_000
 #: Outside of these characters (ASCII white space, printable ASCII, Latin letters) a text is encoded as a whole.
 _OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ]")
@@ -61,33 +61,44 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
+        self.bases: dict[str, bytes] = {"": b""}
         self.cache_words = cache_words
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters alone are encoded many at a time: each ends with the one token that ends a word."""
+        plain = [w for w in words if w.isalpha()]
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
+            ids = np.concatenate(self._library([" ".join(some[j : j + 200]) for j in range(0, len(some), 200)]))
+            data, ends = ids.tobytes(), ((np.flatnonzero(self.is_end[ids]) + 1) * 2).tolist()
+            self.bases.update(zip(some, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        rest = [w for w in words if not w.isalpha()]
+        self.bases.update(zip(rest, (x.tobytes() for x in self._library(rest)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
         split = [None if _OTHER.search(t) else t.lower().split() for t in texts]
-        known = self.words
-        missing = [w for w in dict.fromkeys(w for ws in split if ws for w in ws) if w not in known]
+        known, bases = self.words, self.bases
+        here = set().union(*filter(None, split))
         # a mark that ends a word after a letter is a token of its own: the word is shared with its other endings
-        bases = {w: (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,!?;:" and w[-2].isalpha() else (w, "") for w in missing}
-        ends = self.ends
-        new = [b for b in dict.fromkeys(x for pair in bases.values() for x in pair) if b and b not in ends]
-        ends.update(zip(new, self._library(new), strict=True))
-        ends[""] = b""
-        for w, (a, b) in bases.items():
-            known[w] = ends[a] + ends[b]
+        parts = {w: (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,!?;:" and w[-2].isalpha() else (w, "") for w in here.difference(known)}
+        self._learn(list({x for pair in parts.values() for x in pair}.difference(bases)))
+        known.update((w, bases[a] + bases[b]) for w, (a, b) in parts.items())
         get = known.__getitem__
         rest = iter(self._library([t for t, ws in zip(texts, split, strict=True) if ws is None]))
-        out = [next(rest) if ws is None else b"".join(map(get, ws)) for ws in split]
-        for cache in (known, ends):
-            if len(cache) > self.cache_words:
-                for k in list(cache)[: len(cache) - self.cache_words // 2]:
-                    del cache[k]
+        out = [next(rest).tobytes() if ws is None else b"".join(map(get, ws)) for ws in split]
+        if len(known) > self.cache_words:  # what this batch didn't need goes
+            self.words = {w: known[w] for w in here}
+        if len(bases) > self.cache_words:
+            used = {x for w in here for x in (w, w[:-1], w[-1:])}
+            self.bases = {w: b for w, b in bases.items() if w in used}
         return out
 
 
