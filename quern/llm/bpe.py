@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Encoded words that a worker keeps; beyond that the older half goes.
+#: Encoded words that a worker keeps; beyond that those go that the last texts did not need.
 CACHE_WORDS = 400_000
 #: Bytes of text that go through the merges together.
 SLICE = 16_000_000
@@ -162,7 +162,8 @@ class MergeReplay:
             parts[0] = f"\n{parts[0]}"
             units.append(parts)
         known, find = self.units, self.pattern.findall
-        missing = dict.fromkeys(u for parts in units if parts for u in parts if u not in known)
+        here = set().union(*filter(None, units))
+        missing = sorted(here.difference(known))
         split: dict[str, list[str]] = {u: find(u[1:]) for u in missing if u[0] == "\n"}
         later = [u for u in missing if u[0] != "\n"]
         own: list[str] = []
@@ -177,10 +178,10 @@ class MergeReplay:
             known[u] = b"".join(map(word, ws))
         get = known.__getitem__
         out = [b"".join(map(get, parts)) if parts else b"".join(map(word, ws)) for parts, ws in zip(units, odd, strict=True)]
-        for cache in (self.units, self.words):
-            if len(cache) > self.cache_words:
-                for k in list(cache)[: len(cache) - self.cache_words // 2]:
-                    del cache[k]
+        if len(known) > self.cache_words:  # what this batch didn't need goes
+            self.units = {u: known[u] for u in here}
+        if len(self.words) > self.cache_words:
+            self.words = {}
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
