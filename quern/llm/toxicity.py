@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import fold
 
 MAX_POSITIVE = 3000
-MAX_UNLABELLED = 9000
+MAX_UNLABELLED = 8000
 #: Features that the model keeps, at most.
 MAX_FEATURES = 3000
 #: Parts of texts that a worker remembers.
@@ -94,21 +94,36 @@ class Model:
         return float(1 / (1 + np.exp(-min(40, max(-40, z)))))
 
 
-def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float, rounds: int = 300, l2: float = 2e-4, seed: int = 11) -> Model:
-    """Non-negative risk with logistic loss, minimised by Adam over whole batches."""
+def candidates(positive: list[tuple[np.ndarray, np.ndarray]], least: int = 3) -> np.ndarray:
+    """Sorted features of so many positives at least: any other can't be evidence."""
+    names, n = np.unique(np.concatenate([x for x, _ in positive]) if positive else np.zeros(0, np.int64), return_counts=True)
+    return names[n >= least]
+
+
+def among(row: tuple[np.ndarray, np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in names of a document's features that are there, and their values."""
+    x, v = row
+    if not len(names):
+        return np.zeros(0, np.int64), np.zeros(0)
+    at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+    there = names[at] == x
+    return at[there], v[there]
+
+
+def fit(names: np.ndarray, positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float, rounds: int = 300, l2: float = 2e-4) -> Model:
+    """Non-negative risk with logistic loss, minimised by Adam over whole batches. Documents hold places in names."""
     if not positive or not unlabelled or not prior:
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
     both = [*positive, *unlabelled]
-    names, where = np.unique(np.concatenate([x for x, _ in both]), return_inverse=True)
-    value = np.concatenate([v for _, v in both])
+    where, value = np.concatenate([x for x, _ in both]), np.concatenate([v for _, v in both])
     cut = sum(len(x) for x, _ in positive)
-    side = lambda weights, part: np.bincount(where[part], None if weights is None else weights[part], len(names))
+    side = lambda weights, part: np.bincount(where[part], weights[part], len(names))
     in_p, in_u = slice(0, cut), slice(cut, None)
     mean_p, mean_u = side(value, in_p) / len(positive), side(value, in_u) / len(unlabelled)
     var_p, var_u = side(value**2, in_p) / len(positive) - mean_p**2, side(value**2, in_u) / len(unlabelled) - mean_u**2
     z = (mean_p - mean_u) / np.sqrt((var_p + 0.01) / len(positive) + (var_u + 0.01) / len(unlabelled))
     # evidence for the positive class: the negative one is what is left
-    kept = np.flatnonzero((side(None, in_p) >= 3) & (mean_p > 2 * mean_u))
+    kept = np.flatnonzero(mean_p > 2 * mean_u)
     kept = np.sort(kept[np.argsort(-z[kept], kind="stable")[:MAX_FEATURES]])
     column = np.full(len(names), -1)
     column[kept] = np.arange(len(kept))
@@ -151,17 +166,23 @@ def train(docs: DataFrame, labels: DataFrame, folds: int | None = 5, held_out: i
     if folds:
         pool = pool.filter(fold(F.col("id"), folds) != held_out)
     pool = pool.distinct().orderBy(order, "id").limit(MAX_UNLABELLED)
-    # both samples are of a fixed number of rows
-    wanted = toxic.withColumn("kind", F.lit(1)).unionByName(pool.withColumn("kind", F.lit(0)))
+    # both samples are of a fixed number of rows; of the unlabelled only features that positives have come here
+    positive = _gather(texts, toxic, None)
+    names = candidates(positive)
+    return fit(names, [among(r, names) for r in positive], _gather(texts, pool, names), float(stats.prior or 0))
+
+
+def _gather(texts: DataFrame, ids: DataFrame, names: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and values of the texts of a bounded set of ids, in order of id; each id once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [document_features("" if t is None else t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([f[i].astype(t).tobytes() for f in x], pa.binary()) for i, t in enumerate(("<u4", "<f4")))], ["id", "kind", "x", "v"])
+            rows = [document_features("" if t is None else t) for t in b.column(1).to_pylist()]
+            rows = rows if names is None else [among(r, names) for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in enumerate(("<u4", "<f4")))], ["id", "x", "v"])
 
-    got = texts.join(F.broadcast(wanted), "id").mapInArrow(run, "id long, kind int, x binary, v binary").dropDuplicates(["id", "kind"]).toPandas().sort_values(["kind", "id"])
-    rows = [[(np.frombuffer(x, "<u4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for x, v in got[got["kind"] == k][["x", "v"]].values] for k in (1, 0)]
-    return fit(rows[0], rows[1], float(stats.prior or 0))
+    got = texts.join(F.broadcast(ids), "id").mapInArrow(run, "id long, x binary, v binary").dropDuplicates(["id"]).toArrow().sort_by("id")
+    return [(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64), np.frombuffer(v.as_buffer(), "<f4").astype(float)) for x, v in zip(got["x"], got["v"], strict=True)]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
