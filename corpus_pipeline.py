@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
 from quern.llm.common import materialize, release, table
 
-#: A stage that begins has its input in a table: what earlier stages wrote for themselves can go.
+# A stage that begins has its input in a table: what earlier stages wrote for themselves can go.
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(spark, stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = materialize(spark, stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}", passing=False)
     return bpe.digests(docs)
 
 

@@ -33,27 +33,23 @@ def scratch_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, name: str, passing: bool = True) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later steps survive lost executors.
 
-    release() removes the files.
+    release() removes the files of passing tables.
     """
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    _scratch.append(path)
+    if passing:
+        _scratch.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def mark() -> int:
-    """How many scratch tables there are now; release() takes it."""
-    return len(_scratch)
-
-
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Removes the scratch tables written after mark() gave `since`. Frames that read them must have been used."""
+def release(spark: SparkSession) -> None:
+    """Removes the passing tables written so far. Frames that read them must have been used."""
     jvm = spark.sparkContext._jvm
-    while len(_scratch) > since:
+    while _scratch:
         path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
