@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import materialize, size_partitions
 
-WIDTH = 3
-PERCENT = 90
+#: What near-duplicate stages take by default; a contract may ask for others.
+WIDTH = 5
+PERCENT = 80
 #: Tokens of fewer prefix places than this are rare, whatever their share.
 FREQUENT = 16
 #: Bound of the list of frequent tokens that goes to all workers.

@@ -39,7 +39,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.report(spark, table(spark, sf_dir, "documents"))
+    return ngram_join.report(spark, table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
