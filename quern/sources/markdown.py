@@ -97,7 +97,7 @@ def table(rows: list[list[str]]) -> str:
 def table_column(rows: Column) -> Column:
     """The same of an array of arrays of strings, on the JVM."""
     width = F.array_max(F.transform(rows, F.size))
-    cell = lambda v: F.trim(F.regexp_replace(F.regexp_replace(v, r"\s*\n\s*", " "), r"\|", r"\\\\|"))
+    cell = lambda v: F.trim(F.replace(F.regexp_replace(v, r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|")))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
     return F.array_join(F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, F.lit(2), F.size(rows)), line)), "\n")
