@@ -114,6 +114,33 @@ def table_chunks(markdown: str, size: int = SIZE) -> list[str]:
     return [*out, "\n".join((head, *rows))] if rows else out
 
 
+def chunk_elements(version: str, text: str, elements: list[dict], size: int = SIZE, overlap: int = OVERLAP) -> list[tuple]:
+    """Chunks of a structured document. Elements have start, end, kind, unit, place, path, searchable, and for tables
+    their Markdown. Neighbours of the same unit, place and path go together while they span no more than size; tables
+    stand alone, row by row; what isn't searchable ends a group."""
+    pieces: list[tuple[str, int, int]] = []
+    group: list[dict] = []
+
+    def close() -> None:
+        if group:
+            pieces.extend((text[a:b], a, b) for a, b in windows(text, group[0]["start"], group[-1]["end"], size, overlap))
+            group.clear()
+
+    context = lambda e: (e.get("unit"), e.get("place"), tuple(e.get("path", ())))
+    inside = (e for e in elements if 0 <= e["start"] < e["end"] <= len(text))
+    for e in sorted(inside, key=lambda e: (e["start"], e["end"])):
+        if not e.get("searchable", True) or e["kind"] == "table":
+            close()
+            if e.get("searchable", True):
+                pieces.extend((p, e["start"], e["end"]) for p in table_chunks(e["markdown"], size))
+            continue
+        if group and (context(e) != context(group[0]) or e["end"] - group[0]["start"] > size):
+            close()
+        group.append(e)
+    close()
+    return [(chunk_id(version, n), n, p, hashlib.sha256(p.encode()).hexdigest(), estimate_tokens(p), a, b) for n, (p, a, b) in enumerate(pieces, 1)]
+
+
 def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of (document_id, markdown), with heading anchors of the text."""
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import access, documents, governance, search
+from quern.plans import access, documents, governance, search, workflow
 
-_FAMILIES = (governance, access, search, documents)
+_FAMILIES = (governance, access, search, documents, workflow)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
