@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 def repeated_margins(lines: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc, role, fingerprint, pages): texts of the top and bottom 12 % of pages, digits as '#', that are on enough of
-    a document's pages: the share, rounded up, and two at least. lines: doc, page, text, top, page_height."""
-    role = F.when(F.col("top") <= F.col("page_height") * 0.12, "header").when(F.col("top") >= F.col("page_height") * 0.88, "footer")
-    own = lines.withColumn("role", role).filter("role is not null").withColumn("fingerprint", F.lower(F.trim(F.regexp_replace(F.regexp_replace("text", r"\d+", "#"), r"\s+", " "))))
+    a document's pages: the share, rounded up, and two at least. lines: doc, page, text, top,
+    height, page_height. Bare page numbers at the foot count wherever they are."""
+    role = F.when(F.col("top") <= F.col("page_height") * 0.12, "header").when(F.col("top") + F.col("height") >= F.col("page_height") * 0.88, "footer")
+    own = lines.withColumn("role", role).filter("role is not null").withColumn("fingerprint", F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"\d+", "#"), r"\s+", " ")))
     pages = lines.groupBy("doc").agg(F.count_distinct("page").alias("of"))
     seen = own.groupBy("doc", "role", "fingerprint").agg(F.count_distinct("page").alias("pages")).join(pages, "doc")
-    bare = (F.col("role") == "footer") & F.col("fingerprint").rlike("^[-– ]*#[-– ]*$")
+    bare = (F.col("role") == "footer") & F.col("fingerprint").rlike(r"^(page\s*)?#(\s*(of|/)\s*#)?$")
     return seen.filter((F.col("pages") >= F.greatest(F.lit(2), F.ceil(F.col("of") * share))) | bare).select("doc", "role", "fingerprint", "pages")
 
 
@@ -41,14 +42,15 @@ def regions(cells: DataFrame) -> DataFrame:
 
 
 def body_font(lines: DataFrame) -> DataFrame:
-    """(doc, size): median of the smaller 60 % of font sizes."""
+    """(doc, size): median of the smaller 60 % of font sizes, rounded down, one at least."""
     w = Window.partitionBy("doc").orderBy("size", "line")
     own = lines.withColumn("n", F.count("*").over(Window.partitionBy("doc"))).withColumn("k", F.row_number().over(w))
-    return own.filter(F.col("k") <= F.ceil(F.col("n") * 0.6)).groupBy("doc").agg(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY size)").alias("body"))
+    return own.filter(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.6))).groupBy("doc").agg(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY size)").alias("body"))
 
 
 def heading_level(size: Column, body: Column, text: Column) -> Column:
-    """1, 2 or 3 by the ratio to the body font (1.5, 1.25, 1.12); numbered lines by their depth; else null."""
-    ratio = size / body
-    numbered = F.regexp_extract(text, r"^(\d+(?:\.\d+)*)[.)]?\s+\S", 1)
-    return F.when(ratio >= 1.5, 1).when(ratio >= 1.25, 2).when(ratio >= 1.12, 3).when((numbered != "") & (F.length(text) <= 80), F.least(F.lit(3), F.size(F.split(numbered, r"\."))))
+    """1, 2 or 3 by the ratio to the body font (1.5, 1.25, 1.12); numbered lines 3; null for body text."""
+    ratio = size / F.greatest(F.lit(1.0), body)
+    numbered = text.rlike(r"^(?:第[一二三四五六七八九十百千\d]+[章节篇]|(?:\d+\.){0,3}\d+\s+\S+)")
+    plain = (F.length(F.trim(text)) == 0) | (F.length(text) > 160) | F.contains(text, F.lit("\t"))
+    return F.when(plain, F.lit(None).cast("int")).when(ratio >= 1.5, 1).when(ratio >= 1.25, 2).when((ratio >= 1.12) | numbered, 3)

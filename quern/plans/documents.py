@@ -56,16 +56,16 @@ def clean_markdown(spark, sf_dir):
 
 
 _PAGE_LINES = """lines AS (SELECT source AS doc, doc_id AS page, 5.0 AS top, 100.0 AS page_height, string_split(coalesce(text, ''), chr(10))[1] AS text FROM documents
-  UNION ALL SELECT source, doc_id, 50.0, 100.0, 'body ' || doc_id FROM documents UNION ALL SELECT source, doc_id, 95.0, 100.0, CASE WHEN doc_id % 3 = 0 THEN '- ' || doc_id || ' -' ELSE 'Page ' || doc_id || ' of 9' END FROM documents)"""
+  UNION ALL SELECT source, doc_id, 50.0, 100.0, 'body ' || doc_id FROM documents UNION ALL SELECT source, doc_id, 95.0, 100.0, CASE WHEN doc_id % 3 = 0 THEN doc_id || ' / ' || doc_id ELSE 'Page ' || doc_id || ' of 9' END FROM documents)"""
 
 
 @query(B.with_(_PAGE_LINES, r"""o AS (SELECT *, CASE WHEN top <= page_height * 0.12 THEN 'header' WHEN top >= page_height * 0.88 THEN 'footer' END AS role, lower(trim(regexp_replace(regexp_replace(text, '\d+', '#', 'g'), '\s+', ' ', 'g'))) AS fingerprint FROM lines),
 n AS (SELECT doc, count(DISTINCT page) AS n FROM lines GROUP BY doc), s AS (SELECT doc, role, fingerprint, count(DISTINCT page) AS pages FROM o WHERE role IS NOT NULL GROUP BY ALL)""") + """
-SELECT doc, role, fingerprint, pages FROM s JOIN n USING (doc) WHERE pages >= greatest(2, ceil(n * 0.1)) OR (role = 'footer' AND regexp_matches(fingerprint, '^[-– ]*#[-– ]*$'))""")
+SELECT doc, role, fingerprint, pages FROM s JOIN n USING (doc) WHERE pages >= greatest(2, ceil(n * 0.1)) OR (role = 'footer' AND regexp_matches(fingerprint, '^(page\s*)?#(\s*(of|/)\s*#)?$'))""")
 def repeated_margins(spark, sf_dir):
     docs = B.read(spark, sf_dir, "documents")
-    line = lambda top, text: docs.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.lit(top).alias("top"), F.lit(100.0).alias("page_height"), text.alias("text"))
-    foot = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("- "), "doc_id", F.lit(" -"))).otherwise(F.concat(F.lit("Page "), "doc_id", F.lit(" of 9")))
+    line = lambda top, text: docs.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.lit(top).alias("top"), F.lit(1.0).alias("height"), F.lit(100.0).alias("page_height"), text.alias("text"))
+    foot = F.when(F.col("doc_id") % 3 == 0, F.concat("doc_id", F.lit(" / "), "doc_id")).otherwise(F.concat(F.lit("Page "), "doc_id", F.lit(" of 9")))
     rows = line(5.0, F.split(F.coalesce("text", F.lit("")), "\n", -1)[0]).unionByName(line(50.0, F.concat(F.lit("body "), "doc_id"))).unionByName(line(95.0, foot))
     return L.repeated_margins(rows, 0.1)
 

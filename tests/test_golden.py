@@ -154,7 +154,7 @@ def test_regions(spark):
 def test_heading_levels(spark):
     lines = spark.createDataFrame([(1, i, s) for i, s in enumerate([10.0, 10.0, 10.0, 12.0, 18.0])], "doc int, line int, size double")
     assert layout.body_font(lines).first().body == 10.0
-    assert one(spark, layout.heading_level(F.lit(18.0), F.lit(10.0), F.lit("x"))) == 1 and one(spark, layout.heading_level(F.lit(10.0), F.lit(10.0), F.lit("2.1 Scope"))) == 2
+    assert one(spark, layout.heading_level(F.lit(18.0), F.lit(10.0), F.lit("x"))) == 1 and one(spark, layout.heading_level(F.lit(10.0), F.lit(10.0), F.lit("2.1 Scope"))) == 3
 
 
 def test_transitions_are_closed():

@@ -108,3 +108,33 @@ def test_sinks(spark, tmp_path):
     assert sorted(map(tuple, sinks.upsert(rows((1, "a"), (2, "b")), rows((2, "z"), (3, "y")), ["k"]).collect())) == [(1, "a"), (2, "z"), (3, "y")]
     assert sorted(map(tuple, sinks.insert_absent(rows((1, "a")), rows((1, "q"), (2, "b")), ["k"]).collect())) == [(1, "a"), (2, "b")]
     assert [r.k for r in sinks.purge({"t": rows((1, "a"), (2, "b"))}, rows((2, "")), "k")["t"].collect()] == [1]
+
+
+def test_two_columns_are_read_one_after_the_other(spark):
+    from quern.sources import positioned
+
+    rows = [("Heading over both", 0.0, 0.0, 600.0)]
+    for i in range(4):
+        rows += [(f"left {i}", 0.0, 20.0 + 12 * i, 200.0), (f"right {i}", 320.0, 21.0 + 12 * i, 200.0)]
+    rows += [("two", 0.0, 100.0, 20.0), ("words", 26.0, 100.5, 30.0)]
+    items = spark.createDataFrame([(1, 1, 600.0, t, x, y, w, 10.0, 10.0) for t, x, y, w in rows], "doc long, page int, page_width double, text string, x double, top double, width double, height double, size double")
+    got = positioned.page_lines(items).orderBy("line").collect()
+    assert [r.text for r in got] == ["Heading over both", *(f"left {i}" for i in range(4)), "two words", *(f"right {i}" for i in range(4))]
+
+
+def test_structured_chunks_follow_context():
+    from quern.operators.chunking import chunk_elements
+
+    text = "alpha beta\ngamma\n| a |\n| - |\n| 1 |\nfooter\ndelta"
+    e = lambda a, b, kind="paragraph", **more: {"start": a, "end": b, "kind": kind, "unit": "u", "path": ["A"]} | more
+    elements = [e(0, 10), e(11, 16), e(17, 34, "table", markdown=text[17:34]), e(35, 41, searchable=False), e(42, 47, path=["B"])]
+    assert [c[2] for c in chunk_elements("v", text, elements)] == ["alpha beta\ngamma", "| a |\n| - |\n| 1 |", "delta"]
+
+
+def test_elements_join_lines_and_carry_paths(spark):
+    from quern.sources import positioned
+
+    rows = [(1, 1, "Head", 3.0, 0.0, 1, None), (1, 2, "exam-", 20.0, 0.0, None, None), (1, 3, "ple text", 31.0, 0.0, None, None), (1, 4, "far below", 90.0, 0.0, None, None), (1, 5, "9", 99.0, 0.0, None, "footer"), (2, 1, "goes on", 10.0, 0.0, None, None), (2, 2, "Sub", 30.0, 0.0, 3, None)]
+    df = spark.createDataFrame([(7, p, n, t, x, y, 50.0, 10.0, 10.0, 0, lv, m, 10.0) for p, n, t, y, x, lv, m in rows], "doc long, page int, line int, text string, x double, top double, width double, height double, size double, column_no int, level int, margin string, body double")
+    got = [(r.page, r.kind, r.text, r.path) for r in positioned.page_elements(df).orderBy("page", "position").collect()]
+    assert got == [(1, "heading", "Head", ["Head"]), (1, "paragraph", "example text", ["Head"]), (1, "paragraph", "far below", ["Head"]), (1, "footer", "9", ["Head"]), (2, "paragraph", "goes on", ["Head"]), (2, "heading", "Sub", ["Head", "Sub"])]
