@@ -14,9 +14,9 @@ connected matter, in three rounds:
 
 1. in each signature's bucket, by bands of size, the node that meets most others is a hub and the others' candidate;
    each node is verified against its nearest hub, which connects a family of near copies by fewer links than nodes;
-2. buckets that still hold several components give all their pairs across components, found in blocks of BLOCK rows
-   of a bucket; one pair for each pair of components is verified;
-3. the other pairs across components are verified.
+2. in buckets that still hold several components each node is paired with its nearest of another component, found in
+   blocks of BLOCK rows of a bucket, and one pair for each pair of components is verified;
+3. all pairs across the components that are left are verified.
 
 No link between different components is left unverified, no pair inside a component is made: copies don't grow
 with the square of their number. Nothing about documents is collected but the bounded list of frequent tokens.
@@ -47,8 +47,10 @@ FREQUENT = 16
 FREQUENT_TOKENS = 500_000
 #: Rows of a bucket that are compared with each other at once.
 BLOCK = 4000
-#: Nodes whose texts are fetched by a broadcast of their keys; more are joined by a shuffle.
+#: Nodes whose labels or keys are broadcast after a count; more are joined by a shuffle.
 BROADCAST_NODES = 300_000
+#: 64-bit words of the bitmaps that go into buckets.
+SHORT = 8
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -129,13 +131,17 @@ def parity(x: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def fold(x: np.ndarray, words: int = SHORT) -> np.ndarray:
+    """The bitmap with its halves laid over each other until it has so many words at most: still a bound."""
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def flipped(x: np.ndarray, y: np.ndarray) -> int:
     """Bits that differ between two bitmaps, the longer one folded."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum())
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -143,14 +149,14 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, mark, node, n, zone, bits) of each row; zone and bits are left out where the task has met the node."""
+    """(doc_id, mark, node, n, zone, bits, short) of each row; the last three are left out where the task has met the node."""
     mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), mark.alias("mark"), docs["text"].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for b in batches:
-            nodes, sizes, zones, bits = [], [], [], []
+            nodes, sizes, zones, bits, shorts = [], [], [], [], []
             for t in _texts(b.column(2)):
                 x = shingle_set(t, width)
                 node = xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63)
@@ -161,10 +167,12 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 nodes.append(node)
                 sizes.append(len(x))
                 zones.append(x[: zone_length(len(x), percent)].tobytes() if new else None)
-                bits.append(parity(x).tobytes() if new else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(zones, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "mark", "node", "n", "zone", "bits"])
+                full = parity(x) if new else None
+                bits.append(full.tobytes() if new else None)
+                shorts.append(fold(full).tobytes() if new else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(zones, pa.binary()), pa.array(bits, pa.binary()), pa.array(shorts, pa.binary())], ["doc_id", "mark", "node", "n", "zone", "bits", "short"])
 
-    return rows.mapInArrow(run, "doc_id long, mark long, node long, n long, zone binary, bits binary")
+    return rows.mapInArrow(run, "doc_id long, mark long, node long, n long, zone binary, bits binary, short binary")
 
 
 def _frequent_tokens(sets: DataFrame, percent: int) -> np.ndarray:
@@ -219,10 +227,11 @@ def _by_bitmap(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are similar by their texts."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    one = sets.select("node", "doc_id", "mark").join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("r"))
-    one = materialize(spark, one.select("node", F.col("r.doc_id").alias("d"), F.col("r.mark").alias("m")), "ends")
-    if one.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
-        one = F.broadcast(one)
+    ends = materialize(spark, ends, "ends")
+    small = ends.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    one = sets.select("node", "doc_id", "mark").join(F.broadcast(ends) if small else ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("r"))
+    one = one.select("node", F.col("r.doc_id").alias("d"), F.col("r.mark").alias("m"))
+    one = F.broadcast(one) if small else one
     mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), mark.alias("mark"), docs["text"].cast("string").alias("text"))
     texts = texts.join(one, texts["doc_id"].eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("node", "text")
@@ -247,10 +256,12 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, lab): the smallest node that links (a, b) connect to it. Label propagation with pointer jumping."""
     both = materialize(spark, links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("lab")), "labels")
+    small = labels.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "lab"), "b").groupBy(F.col("a").alias("node")).agg(F.min("lab").alias("m"))
-        step = labels.join(near, "node").select("node", F.col("lab").alias("old"), F.least("lab", "m").alias("lab"))
-        jump = step.join(labels.select(F.col("node").alias("lab"), F.col("lab").alias("far")), "lab").select("node", "old", F.least("lab", "far").alias("lab"))
+        known = F.broadcast(labels) if small else labels
+        near = both.join(known.select(F.col("node").alias("b"), "lab"), "b").groupBy(F.col("a").alias("node")).agg(F.min("lab").alias("m"))
+        step = near.join(known, "node").select("node", F.col("lab").alias("old"), F.least("lab", "m").alias("lab"))
+        jump = step.join(known.select(F.col("node").alias("lab"), F.col("lab").alias("far")), "lab").select("node", "old", F.least("lab", "far").alias("lab"))
         new = materialize(spark, jump, "labels")
         labels = new.select("node", "lab")
         if not new.filter("lab <> old").limit(1).count():
@@ -261,29 +272,27 @@ def _hub_pairs(live: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b): in each bucket and band of sizes, its hub and each other node. As many as rows of live, twice
     at most, as bands overlap. A hub is the node that meets most others over all its buckets: of a text and its edited
     copies, which resemble it more than each other, that is the text."""
-    of = live.groupBy("sig").agg(F.count("*").alias("rows"))
-    weight = live.join(of, "sig").groupBy("node").agg(F.sum("rows").alias("w"))
-    own = live.join(weight, "node")
+    weight = live.groupBy("node").agg(F.sum("rows").alias("w"))
+    # one exchange by signature serves both bands
+    own = live.select("sig", "node", "n").join(weight, "node").repartition(size_partitions(live.sparkSession), "sig")
     scale = F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) / 2
-    out = None
-    for shift in (0.0, 0.5):
-        band = own.withColumn("band", F.floor(scale + shift))
-        top = F.max(F.struct("w", F.col("node").alias("a"))).over(Window.partitionBy("sig", "band"))
-        pairs = band.select(top["a"].alias("a"), F.col("node").alias("b")).filter("a <> b")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
-
-
-def _across(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b, ca, cb, d) of nodes of different components that share a bucket and pass size and bitmap."""
-    own = live.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("lab", "node").alias("lab"))
-    # a bucket's rows and components, pre-aggregated: buckets of one component end here
-    open_ = own.groupBy("sig", "lab").agg(F.count("*").alias("k")).groupBy("sig").agg(F.count("*").alias("labs"), F.sum("k").alias("rows")).filter("labs > 1")
-    own = own.join(open_.select("sig", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "sig")
-    own = own.join(nodes.select("node", "bits"), "node")
+    top = lambda shift: F.max(F.struct("w", F.col("node").alias("a"))).over(Window.partitionBy("sig", F.floor(scale + shift)))["a"]
+    both = own.select(F.col("node").alias("b"), top(0.0).alias("a0"), top(0.5).alias("a1")).select("b", F.explode(F.array("a0", "a1")).alias("a"))
+    return both.filter("a <> b").select("a", "b").distinct()
+
+
+def _across(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Distinct pairs (a, b, ca, cb) of nodes of different components that share a bucket and pass size and a short
+    bitmap; with nearest, of each node in a bucket only the pair with the larger node that differs least."""
+    small = labels.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    own = live.select("sig", "node", "n").join(F.broadcast(labels) if small else labels, "node", "left").select("sig", "node", "n", F.coalesce("lab", "node").alias("lab"))
+    # buckets of one component end here
+    w = Window.partitionBy("sig")
+    own = own.select("*", F.min("lab").over(w).alias("l1"), F.max("lab").over(w).alias("l2"), F.count("*").over(w).alias("rows")).filter("l1 <> l2")
+    own = own.select("sig", "node", "n", "lab", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")).join(nodes.select("node", "short"), "node")
     # each row goes to every pair of blocks that its own block is in
     own = own.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "lab", "bits")
+    own = own.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "lab", "short")
     own = own.repartition(size_partitions(live.sparkSession), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "node")
 
     def block(rows: list[tuple]) -> list[tuple]:
@@ -294,10 +303,7 @@ def _across(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
         width = min(len(r[7]) for r in rows) // 8
         maps = np.empty((len(rows), width), np.uint64)
         for k, r in enumerate(rows):
-            x = np.frombuffer(r[7], "<u8")
-            while len(x) > width:
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            maps[k] = x
+            maps[k] = fold(np.frombuffer(r[7], "<u8"), width)
         ends = np.searchsorted(n, n * 100 // percent, side="right")
         out = []
         for k in range(len(rows)):
@@ -308,11 +314,12 @@ def _across(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
             if not ok.any():
                 continue
             d = np.bitwise_count(maps[some] ^ maps[k]).sum(axis=1)
-            for m in np.flatnonzero(ok & (d <= allowed(n[some], n[k], percent))) + k + 1:
-                a, b = sorted((k, int(m)), key=lambda v: rows[v][4])
-                full = flipped(np.frombuffer(rows[a][7], "<u8"), np.frombuffer(rows[b][7], "<u8"))
-                if full <= allowed(rows[a][5], rows[b][5], percent):
-                    out.append((rows[a][4], rows[b][4], rows[a][6], rows[b][6], full))
+            found = np.flatnonzero(ok & (d <= allowed(n[some], n[k], percent)))
+            if nearest and len(found):
+                found = found[[np.argmin(d[found])]]
+            for m in (found + k + 1).tolist():
+                a, b = sorted((k, m), key=lambda v: rows[v][4])
+                out.append((rows[a][4], rows[b][4], rows[a][6], rows[b][6]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,39 +346,36 @@ def _across(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
         if len(rows) > 1:
             yield _pairs(give(block(rows)))
 
-    return own.mapInArrow(run, "a long, b long, ca long, cb long, d long").groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.first("d").alias("d"))
+    found = own.mapInArrow(run, "a long, b long, ca long, cb long").distinct()
+    return found.join(_by_bitmap(found.select("a", "b"), nodes, percent).select("a", "b", "d"), ["a", "b"])
 
 
 def _pairs(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["a", "b", "ca", "cb", "d"])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["a", "b", "ca", "cb"])
 
 
 def join(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(sets, labels): sets (doc_id, mark, node, n) of each row, labels (node, lab) of the nodes with links."""
     sets = materialize(spark, _sets(docs, width, percent), "sets")
-    nodes = sets.filter("zone is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = sets.filter("zone is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("short").alias("short"))
     nodes = materialize(spark, nodes, "nodes")
     postings = _postings(sets, _frequent_tokens(sets, percent), percent)
     w = Window.partitionBy("sig").orderBy("n", "node")
     fits = lambda small, large: (F.col(small) * 100 >= F.col(large) * percent)
-    near = postings.select("sig", "node", "n", F.lag("node").over(w).alias("before"), F.lag("n").over(w).alias("nb"), F.lead("n").over(w).alias("na"))
+    near = postings.select("sig", "node", "n", F.lag("node").over(w).alias("before"), F.lag("n").over(w).alias("nb"), F.lead("n").over(w).alias("na"), F.count("*").over(Window.partitionBy("sig")).alias("rows"))
     near = near.filter((F.col("before").isNull() | (F.col("before") != F.col("node"))) & (fits("nb", "n") | fits("n", "na")))
-    live = materialize(spark, near.select("sig", "node", "n"), "buckets")
+    live = materialize(spark, near.select("sig", "node", "n", "rows"), "buckets")
     best = _by_bitmap(_hub_pairs(live, percent), nodes, percent).groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = _verified(spark, materialize(spark, best, "stars"), docs, sets, width, percent)
     labels = components(spark, links)
-    # rounds 2 and 3: what may link different components
-    across = materialize(spark, _across(live.select("sig", "node", "n"), labels, nodes, percent), "across")
-    if across.limit(1).count():
+    # rounds 2 and 3: what may link different components, first by the nearest of each node, then whatever is left
+    for nearest in (True, False):
+        across = materialize(spark, _across(live, labels, nodes, percent, nearest), "across")
+        if not across.limit(1).count():
+            continue
         once = across.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b")
-        links = links.unionByName(_verified(spark, once, docs, sets, width, percent))
+        links = links.unionByName(_verified(spark, once if nearest else across.select("a", "b"), docs, sets, width, percent))
         labels = components(spark, links)
-        ends = labels.withColumnRenamed("lab", "l")
-        left = across.join(ends.select(F.col("node").alias("a"), F.col("l").alias("la")), "a", "left").join(ends.select(F.col("node").alias("b"), F.col("l").alias("lb")), "b", "left")
-        left = left.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b").join(once, ["a", "b"], "left_anti")
-        left = materialize(spark, left, "left")
-        if left.limit(1).count():
-            labels = components(spark, links.unionByName(_verified(spark, left, docs, sets, width, percent)))
     return sets.select("doc_id", "mark", "node", "n"), labels
 
 
