@@ -36,12 +36,12 @@ from quern.llm.common import materialize, size_partitions
 
 SCALE = 20
 LOW = 1 << 31
-LANES = 1024
-BLOCK = 1 << 18
+LANES = 2048
+BLOCK = 1 << 19
 EVERY = 128
 END_ID = 1
 #: Encoded words that a worker keeps; beyond that those go that the last texts did not need.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Outside of these characters (ASCII white space, printable ASCII, Latin letters) a text is encoded as a whole.
 _OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ]")
 _HEAD = struct.Struct("<4sIQIII")
@@ -182,10 +182,9 @@ def _run(x: np.ndarray, words: np.ndarray, at: int, n: int, table: Table) -> np.
         s = symbols[slot]
         out[a:b] = s
         y = freq[s] * (y >> scale) + slot - start[s]
-        need = y < LOW
-        k = int(need.sum())
-        y[need] = (y[need] << low) | words[at : at + k].astype(np.uint64)
-        at += k
+        need = np.flatnonzero(y < LOW)
+        y[need] = (y[need] << low) | words[at : at + len(need)]
+        at += len(need)
         x[: b - a] = y
     return out
 
@@ -284,8 +283,9 @@ def encode_blocks(blocks: DataFrame, table: Table) -> DataFrame:
     return blocks.mapInArrow(run, f"{BLOCK_SCHEMA}, payload binary")
 
 
-def decode_documents(files: DataFrame, table: Table) -> DataFrame:
-    """(part, doc_id, start within the part, n_tokens, ids binary u32) of each document."""
+def decode_documents(files: DataFrame, table: Table, checksum: bool = False) -> DataFrame:
+    """(part, doc_id, start within the part, n_tokens, ids binary u32) of each document, or with checksum ids_crc32."""
+    last, kind = ("ids_crc32", "long") if checksum else ("ids", "binary")
     freq = table.freq.astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,11 +295,11 @@ def decode_documents(files: DataFrame, table: Table) -> DataFrame:
                 ids = decode_block(row["payload"], own).astype("<u4")
                 lens = np.array(row["lens"], np.int64)
                 ends = np.cumsum(lens)
-                out = [ids[a:b].tobytes() for a, b in zip(ends - lens, ends, strict=True)]
+                out = [(zlib.crc32 if checksum else bytes)(ids[a:b].tobytes()) for a, b in zip(ends - lens, ends, strict=True)]
                 n = len(lens)
-                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + ends - lens), pa.array(lens), pa.array(out, pa.binary())], ["part", "doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + ends - lens), pa.array(lens), pa.array(out, pa.int64() if checksum else pa.binary())], ["part", "doc_id", "start", "n_tokens", last])
 
-    return files.select("part", "start", "doc_ids", "lens", "payload").mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids binary")
+    return files.select("part", "start", "doc_ids", "lens", "payload").mapInArrow(run, f"part int, doc_id long, start long, n_tokens long, {last} {kind}")
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, Table, dict[int, int]]:
@@ -318,5 +318,5 @@ def digests(spark: SparkSession, docs: DataFrame, path: str | None = None) -> Da
     """(doc_id, start, n_tokens, ids_crc32) of each document, read back from the files."""
     files, table, bases = write(spark, docs, path)
     parts = spark.createDataFrame(list(bases.items()), "part int, base long")
-    out = decode_documents(files, table).select("part", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    out = decode_documents(files, table, checksum=True)
     return out.join(F.broadcast(parts), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
