@@ -17,7 +17,7 @@ in group_size each and are all marked kept; kept() returns one of them. Other co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import SPACE, materialize, size_partitions
@@ -90,18 +90,13 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns: one of each group of equal texts."""
     names = docs.columns
-    ids = dedup(spark, docs).filter("kept").select(F.col("doc_id").alias("__q_id"), F.unhex("text_sha256").alias("__q_d")).distinct()
-    own = docs.withColumn("__q_d", F.unhex(F.sha2(normalize(docs["text"]), 256)))
-    kept = own.join(ids.withColumnRenamed("__q_d", "__q_e"), F.col("doc_id").cast("long").eqNullSafe(F.col("__q_id")) & (F.col("__q_d") == F.col("__q_e")), "left_semi")
+    # null has a place of its own among the keys, so that join and window share one exchange of the texts
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    ids = dedup(spark, docs).filter("kept").select(key.alias("__q_k"), F.unhex("text_sha256").alias("__q_d")).distinct()
+    own = docs.withColumn("__q_k", key).withColumn("__q_d", F.unhex(F.sha2(normalize(docs["text"]), 256)))
     # rows repeated under one doc_id: the longest text, then the first in order, stays
-    order = F.row_number().over(_one())
-    return kept.withColumn("__q_n", order).filter("__q_n = 1").select(*names)
-
-
-def _one():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("__q_d", "doc_id").orderBy(F.length("text").desc_nulls_last(), F.col("text"))
+    order = Window.partitionBy("__q_k", "__q_d").orderBy(F.length("text").desc_nulls_last(), F.col("text"))
+    return own.join(ids, ["__q_k", "__q_d"], "left_semi").withColumn("__q_n", F.row_number().over(order)).filter("__q_n = 1").select(*names)
 
 
 ORACLE = r"""
