@@ -88,9 +88,9 @@ def vision_replies(spark, sf_dir):
     return own.select("id", "v.kind", "v.description", "v.searchable", "v.confidence")
 
 
-@query("""SELECT page_id AS id, replace('see ' || r || ' twice ' || r, r, '#' || substring('asset-unavailable' || repeat('-', 4000), 1, length(r) - 1)) AS markdown FROM (SELECT page_id, 'knowledge-asset://img-' || page_id || '.png' AS r FROM pages)""")
+@query("""SELECT page_id AS id, replace('see ' || r || ' twice ' || r, r, '#' || substring('asset-unavailable' || repeat('-', 4000), 1, length(r) - 1)) AS markdown FROM (SELECT page_id, 'asset://img-' || page_id || '.png' AS r FROM pages)""")
 def asset_placeholders(spark, sf_dir):
-    r = F.concat(F.lit("knowledge-asset://img-"), "page_id", F.lit(".png"))
+    r = F.concat(F.lit("asset://img-"), "page_id", F.lit(".png"))
     return B.read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), W.asset_placeholder(F.concat(F.lit("see "), r, F.lit(" twice "), r), r).alias("markdown"))
 
 

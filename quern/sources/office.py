@@ -109,7 +109,7 @@ def read_docx(data: bytes) -> tuple[list[dict], list[str]]:
             for blip in e.iter("blip"):
                 kind, target = relations.get(blip.get("embed", ""), ("", ""))
                 if kind == "image":
-                    add("figure", f"![](knowledge-asset://{posixpath.basename(target)})")
+                    add("figure", f"![](asset://{posixpath.basename(target)})")
                 else:
                     warnings.append("an image is missing")
     return blocks, warnings
@@ -242,7 +242,7 @@ def read_pptx(data: bytes) -> tuple[list[dict], list[str]]:
             if e.tag == "pic":
                 blip = next(e.iter("blip"), None)
                 target = images.get(blip.get("embed", ""), ("", ""))[1] if blip is not None else ""
-                items.append((box, "figure", f"![](knowledge-asset://{posixpath.basename(target)})"))
+                items.append((box, "figure", f"![](asset://{posixpath.basename(target)})"))
             elif (t := next(e.iter("tbl"), None)) is not None:
                 rows = [[_text(c).strip() for c in r.findall("tc")] for r in t.findall("tr")]
                 n_cells += sum(map(len, rows))

@@ -44,7 +44,7 @@ PPTX = files({
 
 def test_docx():
     blocks, warnings = office.read_docx(DOCX)
-    assert [(b["kind"], b["text"]) for b in blocks] == [("heading", "# Top"), ("paragraph", "Hello\nyou"), ("list", "  - item"), ("table", "| a\\|b |  |\n| --- | --- |"), ("figure", "![](knowledge-asset://p.png)")]
+    assert [(b["kind"], b["text"]) for b in blocks] == [("heading", "# Top"), ("paragraph", "Hello\nyou"), ("list", "  - item"), ("table", "| a\\|b |  |\n| --- | --- |"), ("figure", "![](asset://p.png)")]
     assert not warnings and blocks[1]["place"] == {"section": ["Top"]}
 
 
