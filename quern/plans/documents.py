@@ -60,7 +60,7 @@ _PAGE_LINES = """lines AS (SELECT source AS doc, doc_id AS page, 5.0 AS top, 100
 
 
 @query(B.with_(_PAGE_LINES, r"""o AS (SELECT *, CASE WHEN top <= page_height * 0.12 THEN 'header' WHEN top >= page_height * 0.88 THEN 'footer' END AS role, lower(trim(regexp_replace(regexp_replace(text, '\d+', '#', 'g'), '\s+', ' ', 'g'))) AS fingerprint FROM lines),
-n AS (SELECT doc, count(DISTINCT page) AS n FROM lines GROUP BY doc), s AS (SELECT doc, role, fingerprint, count(DISTINCT page) AS pages FROM o WHERE role IS NOT NULL GROUP BY ALL)""") + """
+n AS (SELECT doc, count(DISTINCT page) AS n FROM lines GROUP BY doc), s AS (SELECT doc, role, fingerprint, count(DISTINCT page) AS pages FROM o WHERE role IS NOT NULL GROUP BY ALL)""") + r"""
 SELECT doc, role, fingerprint, pages FROM s JOIN n USING (doc) WHERE pages >= greatest(2, ceil(n * 0.1)) OR (role = 'footer' AND regexp_matches(fingerprint, '^(page\s*)?#(\s*(of|/)\s*#)?$'))""")
 def repeated_margins(spark, sf_dir):
     docs = B.read(spark, sf_dir, "documents")
