@@ -4,7 +4,8 @@ Texts are cut into sentences (at line ends and after . ; : ! ? followed by white
 normalised: A-Z in lower case, everything but letters and digits as one blank, notices of years and holders set
 aside. Known licence sentences have identifiers; a document becomes the sequence of the identifiers it holds, with
 their places. A rule is a sequence of identifiers that names a licence; it matches where its identifiers follow each
-other in order, with at most GAP sentences between neighbours. Longer rules win over rules they contain.
+other in order, with at most GAP pieces between the end of one and the start of the next, bare numbers and pieces
+without letters or digits not counted. Longer rules win over rules they contain.
 
 The dictionary is a fixed table of this module (or a parameter), so that it is broadcast in the functions' closure;
 nothing is shuffled. Whole texts are read.
@@ -17,12 +18,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, licenses string, rules string, n_sentences long, first_sentence long"
-#: Sentences that may stand between neighbours of a rule.
+#: Pieces of the text that may stand between neighbours of a rule.
 GAP = 2
 
 # Sentences of public licences and notices, and the rules over them.
@@ -102,6 +104,10 @@ def normalize(sentence: str) -> str:
     """Letters and digits with single blanks between; a copyright notice is empty."""
     if _NOTICE.match(sentence.strip()):
         return ""
+    return plain(sentence)
+
+
+def plain(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.lower()).strip()
 
 
@@ -110,10 +116,12 @@ class Scanner:
         self.ids = {normalize(s): k for k, s in known.items()}
         # all its words begin with one of these, or no sentence is looked up: most lines of a corpus end here
         self.heads = {s.split(" ", 1)[0] for s in self.ids}
+        # a sentence wrapped over lines is joined for as long as words of a longer known one may follow
+        self.open = {s[: m.start()] for s in self.ids for m in re.finditer(" ", s)}
         self.rules, self.gap = sorted(rules, key=lambda r: -len(r[2])), gap
 
-    def identifiers(self, text: str) -> tuple[int, list[tuple[int, str]]]:
-        """Number of sentences, and (place, identifier) of the known ones; a sentence cut in two is joined again."""
+    def identifiers(self, text: str) -> tuple[list[str], list[tuple[int, int, str]]]:
+        """The pieces, and (first piece, last piece, identifier) of the known sentences; wrapped ones are joined again."""
         parts = sentences(text)
         found = []
         for i, s in enumerate(parts):
@@ -122,26 +130,43 @@ class Scanner:
             if head not in self.heads:
                 continue
             n = normalize(s)
-            for more in range(6):
-                if n in self.ids:
-                    found.append((i, self.ids[n]))
-                if i + more + 1 >= len(parts) or len(n) > 600:
-                    break
-                n = f"{n} {normalize(parts[i + more + 1])}".strip()
-        return len(parts), found
-
-    def matches(self, found: list[tuple[int, str]]) -> list[tuple[int, str, str]]:
+            if n in self.ids:
+                found.append((i, i, self.ids[n]))
+            last = i
+            while n in self.open and last + 1 < len(parts):
+                last += 1
+                joined = f"{n} {plain(parts[last])}".rstrip()
+                # a wrapped line may begin with "copyright notice" and be part of the sentence
+                if joined not in self.open and joined not in self.ids and not normalize(parts[last]):
+                    continue
+                if joined != n and joined in self.ids:
+                    found.append((i, last, self.ids[joined]))
+                n = joined
+        return parts, found
+
+    def matches(self, parts: list[str], found: list[tuple[int, int, str]]) -> list[tuple[int, str, str]]:
         """(place, rule, licence) of the rules that match, each once, without those inside a longer match."""
+        counts = [bool(n) and not n.replace(" ", "").isdigit() for n in map(normalize, parts[found[0][0] : found[-1][0]])]
+        before, base = list(accumulate(counts, initial=0)), found[0][0]
         out, taken = [], set()
         for name, licence, ids in self.rules:
             first = None
-            for start, (_, key) in enumerate(found):
+            for start, (_, _, key) in enumerate(found):
                 if key != ids[0]:
                     continue
-                used, at = [start], start
+                used = [start]
                 for want in ids[1:]:
-                    at = next((j for j in range(at + 1, len(found)) if found[j][0] - found[at][0] > self.gap + 1 or found[j][1] == want), None)
-                    if at is None or found[at][1] != want or found[at][0] - found[used[-1]][0] > self.gap + 1:
+                    end, at = found[used[-1]][1] + 1 - base, None
+                    for j in range(used[-1] + 1, len(found)):
+                        place = found[j][0] - base
+                        if place < end:
+                            continue
+                        if before[place] - before[end] > self.gap:
+                            break
+                        if found[j][2] == want:
+                            at = j
+                            break
+                    if at is None:
                         break
                     used.append(at)
                 if len(used) == len(ids) and not taken.issuperset(used):
@@ -152,9 +177,9 @@ class Scanner:
         return sorted(out)
 
     def scan(self, text: str) -> tuple[str, str, int, int | None]:
-        n, found = self.identifiers(text)
-        got = self.matches(found) if found else []
-        return ",".join(sorted({x for _, _, x in got})), ",".join(r for _, r, _ in got), n, got[0][0] if got else None
+        parts, found = self.identifiers(text)
+        got = self.matches(parts, found) if found else []
+        return ",".join(sorted({x for _, _, x in got})), ",".join(r for _, r, _ in got), len(parts), got[0][0] if got else None
 
 
 def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -271,6 +272,64 @@ def test_license_rules_need_their_order():
     assert s.scan("alpha one. beta two.")[0] == "AB" and s.scan("beta two. alpha one.")[0] == "B" and s.scan("alpha one. x. y. z. beta two.")[0] == "B"
 
 
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+
+@pytest.mark.parametrize("text, want", [(MIT, ("MIT", "mit-text")), (BSD, ("BSD-3-Clause", "bsd-3-text")), (GPL, ("GPL-3.0-or-later", "gpl-3-header"))], ids=["mit", "bsd-3", "gpl-3"])
+def test_wrapped_licenses(text, want):
+    s = license_scan.Scanner()
+    assert s.scan(text)[:2] == want
+    # as comments with empty lines, and wrapped narrowly
+    assert s.scan("\n".join(f" * {line}" for line in text.split("\n")))[:2] == want
+    for width in (45, 60, 72, 100):
+        assert s.scan("\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n")))[:2] == want
+
+
+def test_license_gaps_count_from_the_end():
+    s = license_scan.Scanner({"a": "alpha one and two", "b": "beta two"}, (("ab", "AB", ("a", "b")),), gap=1)
+    assert s.scan("alpha\none\nand\ntwo.\nx\n2.\n --\nbeta two.") == ("AB", "ab", 8, 0)
+    assert s.scan("alpha\none\nand\ntwo.\nx\ny\nbeta two.") == ("", "", 7, None)
+
+
 def test_licenses_of_odd_rows(odd, empty):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(empty).count() == 0
 
