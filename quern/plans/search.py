@@ -118,11 +118,11 @@ def lexical_rerank(spark, sf_dir):
     return R.lexical_rerank(found, queries)
 
 
-def _ranked_chunks(spark, sf_dir):
-    """Chunks of twenty documents as the ranked candidates of two queries."""
+def _ranked_chunks(chunks, qid):
+    """Chunks as the ranked candidates of queries."""
     from pyspark.sql import Window
 
-    own = B.chunks(spark, sf_dir).filter("document_id < 20").withColumn("qid", F.col("document_id") % 2).withColumn("content_hash", F.sha2(F.lower("content"), 256))
+    own = chunks.withColumn("qid", qid).withColumn("content_hash", F.sha2(F.lower("content"), 256))
     return own.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("ordinal") % 5, "document_id", "ordinal")))
 
 
@@ -132,12 +132,14 @@ _RANKED = "ranked AS (SELECT *, document_id % 2 AS qid, sha256(lower(content)) A
 @query(B.with_(B.CHUNKS, _RANKED, "a AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY qid, content_hash ORDER BY rank) = 1)", "b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY qid, document_id ORDER BY rank) <= 3)")
        + "SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS position FROM b QUALIFY position <= 12")
 def rerank_prepare_caps(spark, sf_dir):
-    return R.rerank_candidates(_ranked_chunks(spark, sf_dir), 3, 12).select("qid", "chunk_id", "position")
+    own = B.chunks(spark, sf_dir).filter("document_id < 20")
+    return R.rerank_candidates(_ranked_chunks(own, F.col("document_id") % 2), 3, 12).select("qid", "chunk_id", "position")
 
 
 @query()
 def rerank_prepare_budget(spark, sf_dir):
-    return R.pack_for_rerank(_ranked_chunks(spark, sf_dir).select("qid", "chunk_id", "document_id", "content", "content_hash", "rank"), 3, 12, 200)
+    """All chunks are candidates: those of ten documents of one query each, so that queries grow with the table."""
+    return R.pack_for_rerank(_ranked_chunks(B.chunks(spark, sf_dir), F.expr("document_id div 10")).select("qid", "chunk_id", "document_id", "content", "content_hash", "rank"), 3, 12, 200)
 
 
 @query("SELECT source AS qid, doc_id AS chunk_id, n_chars AS score FROM documents QUALIFY row_number() OVER (PARTITION BY source, sha256(text) ORDER BY n_chars DESC, doc_id) = 1")
