@@ -93,6 +93,7 @@ RULES = (
 
 _SENTENCE = re.compile(r"\n+|(?<=[.;:!?])[^\S\n]+")
 _OTHER = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
 _NOTICE = re.compile(r"^(?:copyright )?(?:\(c\)|©|copyright)\s.*$", re.I)
 
 
@@ -125,9 +126,8 @@ class Scanner:
         parts = sentences(text)
         found = []
         for i, s in enumerate(parts):
-            word = _OTHER.sub(" ", s[:40].lower()).split(" ")
-            head = next((w for w in word if w), "")
-            if head not in self.heads:
+            word = _WORD.search(s)
+            if not word or _OTHER.split(word[0].lower(), maxsplit=1)[0] not in self.heads:
                 continue
             n = normalize(s)
             if n in self.ids:

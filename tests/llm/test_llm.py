@@ -330,6 +330,12 @@ def test_license_gaps_count_from_the_end():
     assert s.scan("alpha\none\nand\ntwo.\nx\ny\nbeta two.") == ("", "", 7, None)
 
 
+def test_license_words_far_into_a_line():
+    s = license_scan.Scanner()
+    for before in (" " * 36, " " * 80, "*" * 45 + " ", "# " + "-" * 40 + " ", "\t" * 200 + "__"):
+        assert s.scan(before + "Released under the MIT License.")[:2] == ("MIT", "mit-released"), before
+
+
 def test_licenses_of_odd_rows(odd, empty):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(empty).count() == 0
 
