@@ -86,6 +86,17 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: bool =
     return top(found, k)
 
 
+def nearest_in_blocks(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, size: int = MAX_QUERIES) -> DataFrame:
+    """nearest() of any number of query vectors: blocks of so many, each with a scan of its own."""
+    ids = [r.qid for r in queries.select("qid").filter("qid is not null").distinct().orderBy("qid").collect()]
+    out = None
+    for i in range(0, max(1, len(ids)), size):
+        block = queries.filter(F.col("qid").between(ids[i], ids[min(i + size, len(ids)) - 1])) if ids else queries
+        found = nearest(chunks, block, k, exclude_self)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def fuse(rankings: DataFrame, constant: int = RANK_CONSTANT, key: str = "chunk_id", limit: int | None = None) -> DataFrame:
     """Weighted reciprocal rank fusion of (qid, key, rank, weight): sum of weight / (constant + rank); weights of 0 or
     less are left out."""

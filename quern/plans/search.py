@@ -171,7 +171,7 @@ def near_duplicate_pairs(spark, sf_dir):
 
 
 def _vector_candidates(spark, sf_dir):
-    near = R.nearest(B.vector_chunks(spark, sf_dir), B.vector_queries(spark, sf_dir), 50)
+    near = R.nearest_in_blocks(B.vector_chunks(spark, sf_dir), B.all_vector_queries(spark, sf_dir), 50)
     return near.join(B.vector_chunks(spark, sf_dir).select("chunk_id", "embedding", (F.col("label") % 3).alias("source")), "chunk_id")
 
 
@@ -266,7 +266,7 @@ def evaluation_ratios(spark, sf_dir):
 
 @query()
 def extractive_answer(spark, sf_dir):
-    queries = B.text_queries(spark, sf_dir)
+    queries = B.all_text_queries(spark, sf_dir)
     hits = R.bm25(_texts(spark, sf_dir), queries, 3).join(_texts(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
     return N.extractive_answer(hits, queries)
 
@@ -302,7 +302,7 @@ def conversation_history_window(spark, sf_dir):
 
 @query()
 def prompt_packing(spark, sf_dir):
-    hits = R.bm25(_texts(spark, sf_dir), B.text_queries(spark, sf_dir), 8).join(_texts(spark, sf_dir).select("chunk_id", T.estimate_tokens(F.col("content")).alias("tokens")), "chunk_id")
+    hits = R.bm25(_texts(spark, sf_dir), B.all_text_queries(spark, sf_dir), 8).join(_texts(spark, sf_dir).select("chunk_id", T.estimate_tokens(F.col("content")).alias("tokens")), "chunk_id")
     return N.pack_prompt(hits.select("qid", "rank", "tokens"), 1500)
 
 

@@ -3,7 +3,13 @@
 import hashlib
 from collections import defaultdict
 
+import numpy as np
+import pytest
+
+from quern.operators import retrieval as R
+from quern.plans import bindings as B
 from quern.plans import catalog
+from tests.oracle import DATA
 
 
 def test_rerank_budget_takes_all_chunks(spark, tmp_path):
@@ -31,3 +37,33 @@ def test_rerank_budget_takes_all_chunks(spark, tmp_path):
             left -= take
     got = catalog.queries()["rerank_prepare_budget"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want) and {q for q, *_ in want} == set(range(10))
+
+
+@pytest.mark.parametrize("name", ["extractive_answer", "prompt_packing"])
+def test_all_benchmark_items_are_queries(spark, name):
+    items = {r.item_id for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    assert {r.qid for r in catalog.queries()[name](spark, DATA).collect()} == items
+
+
+@pytest.mark.parametrize("name", ["consolidate_greedy", "mmr_select"])
+def test_vectors_divisible_by_fifty_are_queries(spark, name):
+    ids = {r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect() if r.vec_id % 50 == 0}
+    assert {r.qid for r in catalog.queries()[name](spark, DATA).collect()} == ids
+
+
+def test_text_queries_are_whole(spark):
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    assert {r.qid: r.query for r in B.all_text_queries(spark, DATA).collect()} == texts
+
+
+def test_nearest_in_blocks_against_plain_search(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4)).round(2)
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<double>").repartition(3)
+    queries = chunks.filter("chunk_id % 5 = 0").selectExpr("chunk_id as qid", "embedding as query_vector")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 6)
+    want = {(q, c, r) for q in range(0, 60, 5) for r, c in enumerate(sorted((c for c in range(60) if c != q), key=lambda c: (-s[q, c], c))[:7], 1)}
+    for size in (1, 5, 12, 100):
+        got = R.nearest_in_blocks(chunks, queries, 7, size=size).collect()
+        assert len(got) == len(want) and {(r.qid, r.chunk_id, r["rank"]) for r in got} == want
