@@ -1,10 +1,12 @@
-"""Exact deduplication by a tree merge of sorted digest runs (operator 6).
+"""Exact deduplication by a tree of merges of digest runs (operator 6).
 
-Each partition sorts the digests of its rows into a run with one row a digest. Runs are exchanged in rounds:
-in round r the runs whose numbers agree after division by FAN**r meet, slice by slice of the digest space, and
-a multiway merge keeps one row a digest, whose survivor is the best identifier of either side. The last round
-leaves one run. Every level verifies what it merges: a digest is the full SHA-256 with the normalised length,
-so that a collision would need both. Texts never leave the first scan; runs hold fixed-size rows.
+A run is the digests of one input partition. Runs are brought together in rounds: in round r the runs whose numbers
+agree after division by FAN**r meet, slice by slice of the digest space, and the merge keeps one row a digest, whose
+survivor is the best identifier of either side. The merge is Spark's aggregation by run, slice and digest, combining
+equal digests of a task before its exchange; runs are neither sorted nor merged by hand, and with FAN input partitions
+or fewer there is one round. The last round leaves one run. Every level verifies what it merges: a digest is the full
+SHA-256 with the normalised length, so that a collision would need both. Texts never leave the first scan; runs hold
+fixed-size rows.
 
 A group of copies is one row in each run from the first level on, so a hot group never meets in one task. Rows
 learn their survivor from the last run: digests held by more than 1/HOT of all rows (hence fewer than HOT of
@@ -53,7 +55,6 @@ def _merge(runs: DataFrame, *by: str) -> DataFrame:
 def tree_merge(spark: SparkSession, rows: DataFrame, n_runs: int, fan: int = FAN) -> DataFrame:
     """(digest, norm_len, doc_id, n_points, n): the last run."""
     parts = size_partitions(spark)
-    # the first level merges within a run; its rows stay where they are, as later levels sort what they exchange
     runs = rows.select("run", "digest", "norm_len", "doc_id", "n_points", F.lit(1).cast("long").alias("n"))
     left = max(1, n_runs)
     while True:
