@@ -13,6 +13,7 @@ by the same heap of ranks, in n log n. Rows may repeat; each row gets its own re
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
@@ -23,9 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quern.llm.common import trim_memory
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Encoded words that a worker keeps; beyond that those go that the last texts did not need.
-CACHE_WORDS = 400_000
+#: Bytes of encoded words that a task keeps; beyond that those go that the last texts did not need.
+CACHE_BYTES = 100_000_000
+#: What a kept word takes besides its characters.
+ENTRY = 200
 #: Bytes of text that go through the merges together.
 SLICE = 16_000_000
 #: White space that isn't a single blank or line end between words: texts with it go through the pattern as a whole.
@@ -37,8 +42,8 @@ def _odd(t: str) -> bool:
 
 
 class MergeReplay:
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, cache_words: int = CACHE_WORDS):
-        self.ranks, self.pattern, self.cache_words = ranks, regex.compile(pattern), cache_words
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, cache_bytes: int = CACHE_BYTES):
+        self.ranks, self.pattern, self.cache_bytes = ranks, regex.compile(pattern), cache_bytes
         self.tokens = {i: t for t, i in ranks.items()}
         top = max(ranks.values(), default=0)
         self.width = "<u2" if top < 1 << 16 else "<u4"
@@ -57,8 +62,12 @@ class MergeReplay:
         self.pair_keys, self.pair_ranks = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(1, np.int64) - 1, np.zeros(1, np.int64))
         #: Tokens that may at once take part in a merge of lower rank than their own.
         self.early = early
+        self.forget()
+
+    def forget(self) -> None:
         self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
+        self.words_size = self.units_size = 0
 
     @classmethod
     def from_file(cls, path: str, **options) -> MergeReplay:
@@ -146,6 +155,7 @@ class MergeReplay:
                 rest.append((w, b))
             else:
                 whole[w] = r
+        self.words_size += sum(map(len, new)) * 3 + len(new) * ENTRY
         self.words.update({w: np.array(r, self.width).tobytes() for w, r in whole.items()})
         self.words.update(zip((w for w, _ in rest), self.replay([b for _, b in rest]), strict=True))
 
@@ -176,26 +186,37 @@ class MergeReplay:
         word = self.words.__getitem__
         for u, ws in split.items():
             known[u] = b"".join(map(word, ws))
+        self.units_size += sum(map(len, missing)) * 3 + len(missing) * ENTRY
         get = known.__getitem__
         out = [b"".join(map(get, parts)) if parts else b"".join(map(word, ws)) for parts, ws in zip(units, odd, strict=True)]
-        if len(known) > self.cache_words:  # what this batch didn't need goes
+        if self.units_size > self.cache_bytes:  # what this batch didn't need goes, and if that is too much all does
             self.units = {u: known[u] for u in here}
-        if len(self.words) > self.cache_words:
-            self.words = {}
+            self.units_size = sum(map(len, here)) * 3 + len(here) * ENTRY
+            if self.units_size > self.cache_bytes:
+                self.units, self.units_size = {}, 0
+        if self.words_size > self.cache_bytes:
+            self.words, self.words_size = {}, 0
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_workers: dict[str, MergeReplay] = {}
+_coders: dict[str, MergeReplay] = {}
 
 
-def _coder(path: str) -> MergeReplay:
-    """One for each Python worker: its words serve all its tasks."""
-    if path not in _workers:
-        _workers[path] = MergeReplay.from_file(path)
-    return _workers[path]
+@contextlib.contextmanager
+def _coder(path: str) -> Iterator[MergeReplay]:
+    """The coder of this worker. Its tables (one row a rank) stay; the words it learns go when the task ends."""
+    if path not in _coders:
+        _coders.clear()
+        _coders[path] = MergeReplay.from_file(path)
+    coder = _coders[path]
+    try:
+        yield coder
+    finally:
+        coder.forget()
+        trim_memory()
 
 
 def _slices(batch: pa.RecordBatch, column: str, chars: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -214,11 +235,11 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: st
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
     def run(batches):
-        coder = _coder(path)
-        for batch in batches:
-            for part, texts in _slices(batch, text, SLICE):
-                ids = [np.frombuffer(x, coder.width).astype("<u4").tobytes() for x in coder.encode_batch(texts)]
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(ids, pa.binary())], [key, "ids"])
+        with _coder(path) as coder:
+            for batch in batches:
+                for part, texts in _slices(batch, text, SLICE):
+                    ids = [np.frombuffer(x, coder.width).astype("<u4").tobytes() for x in coder.encode_batch(texts)]
+                    yield pa.RecordBatch.from_arrays([part.column(key), pa.array(ids, pa.binary())], [key, "ids"])
 
     schema = docs.select(key).schema.add("ids", "binary")
     return docs.select(key, text).mapInArrow(run, schema)
@@ -229,10 +250,10 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", key: s
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
     def run(batches):
-        coder = _coder(path)
-        for batch in batches:
-            out = [coder.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.binary())], [key, "text"])
+        with _coder(path) as coder:
+            for batch in batches:
+                out = [coder.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.binary())], [key, "text"])
 
     return encoded.select(key, ids).mapInArrow(run, encoded.select(key).schema.add("text", "binary"))
 
@@ -242,15 +263,15 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
     def run(batches):
-        coder = _coder(path)
-        for batch in batches:
-            for part, texts in _slices(batch, "text", SLICE):
-                n, a, b = [], [], []
-                for x in coder.encode_batch(texts):
-                    ids = np.frombuffer(x, coder.width)
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    b.append(hashlib.sha256(coder.decode(ids.tolist())).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with _coder(path) as coder:
+            for batch in batches:
+                for part, texts in _slices(batch, "text", SLICE):
+                    n, a, b = [], [], []
+                    for x in coder.encode_batch(texts):
+                        ids = np.frombuffer(x, coder.width)
+                        n.append(len(ids))
+                        a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                        b.append(hashlib.sha256(coder.decode(ids.tolist())).hexdigest())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, SCHEMA)

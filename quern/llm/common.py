@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the contracts: U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
+#: Rows of fixed size that a broadcast may have.
+BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_scratch: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,34 +29,94 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def mark(docs: DataFrame) -> Column:
+    """64-bit hash of a row's text, null as empty."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+class Scope:
+    """The scratch tables of one run; see scratch_scope()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def delete(self) -> None:
+        """Removes the tables. Frames that read them must have been used."""
+        while self.paths:
+            path, files = _file_system(self.spark, self.paths.pop())
+            files.delete(path, True)
+
+
+_scope: contextvars.ContextVar[Scope | None] = contextvars.ContextVar("scope", default=None)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Scope]:
+    """Tables materialized within belong to the scope given and to no other run: its owner deletes them once their
+    readers are done. Tables outside of any scope are deleted when the application ends."""
+    scope = Scope(spark)
+    token = _scope.set(scope)
+    try:
+        yield scope
+    finally:
+        _scope.reset(token)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests) a folder of this machine."""
+    """The shared folder of ``spark.checkpoint.dir``. A folder of this machine only where that is unset and driver and
+    executors are one process (tests); elsewhere an unset folder is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{tempfile.gettempdir()}/quern-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{tempfile.gettempdir()}/quern-checkpoints"
 
-def materialize(spark: SparkSession, df: DataFrame, name: str, passing: bool = True) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: later steps survive lost executors.
 
-    release() removes the files of passing tables.
-    """
+def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: later steps survive lost executors."""
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    if passing:
-        _scratch.append(path)
+    if (scope := _scope.get()) is not None:
+        scope.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    where, files = _file_system(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes the passing tables written so far. Frames that read them must have been used."""
-    jvm = spark.sparkContext._jvm
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if a count finds that it has so many rows at most. For materialized rows of fixed size."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, mark) aren't in gone; of rows alike in a (doc_id, mark) of repeated one stays.
+
+    Both frames have columns d, m, are distinct and materialized. Texts move only where gone is too long to broadcast,
+    or for the rows that repeat.
+    """
+    names = docs.columns
+    own = docs.withColumn("__q_d", docs["doc_id"].cast("long")).withColumn("__q_m", mark(docs))
+    on = lambda keys: F.col("__q_d").eqNullSafe(keys["d"]) & (F.col("__q_m") == keys["m"])
+    left = own.join(small(gone), on(gone), "left_anti")
+    if not repeated.limit(1).count():
+        return left.select(*names)
+    twice = small(repeated)
+    once = left.join(twice, on(repeated), "left_semi").dropDuplicates(["__q_d", "__q_m"])
+    return left.join(twice, on(repeated), "left_anti").unionByName(once).select(*names)
+
+
+def trim_memory() -> None:
+    """Gives freed memory of this Python worker back to the system: workers outlive their tasks."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -21,19 +21,21 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fold
+from quern.llm.common import fold, trim_memory
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 8000
 #: Features that the model keeps, at most.
 MAX_FEATURES = 3000
-#: Parts of texts that a worker remembers.
-CACHE_WORDS = 400_000
+#: Bytes of parts of texts that a task remembers, and what a part takes besides its characters.
+CACHE_BYTES = 60_000_000
+ENTRY = 150
 _WORD = re.compile(r"[^\W\d_]+")
 #: Of a feature's share of a text's words, in hundredths, so much counts.
 MOST = 4.0
@@ -72,18 +74,24 @@ class Model:
         self._known = dict(zip(features.tolist(), range(len(features)), strict=True))
         self._hits: dict[str, tuple[int, ...]] = {}
         self._seen: set[str] = set()
+        self._size = 0
+
+    def forget(self) -> None:
+        self._seen.clear()
+        self._hits.clear()
+        self._size = 0
 
     def score(self, text: str) -> float:
         if not len(self.features):
             return 0.0
         parts, n = _chunks(text)
-        if len(self._seen) > CACHE_WORDS:
-            self._seen.clear()
-            self._hits.clear()
+        if self._size > CACHE_BYTES:
+            self.forget()
         for part in (new := parts.keys() - self._seen):
             if at := tuple(k for w in _WORD.findall(part) for f in word_features(w) if (k := self._known.get(f)) is not None):
                 self._hits[part] = at
         self._seen |= new
+        self._size += sum(map(len, new)) + len(new) * ENTRY
         got: Counter[int] = Counter()
         for part in parts.keys() & self._hits.keys():
             for k in self._hits[part]:
@@ -189,9 +197,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [model.score("" if t is None else t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+        try:
+            for b in batches:
+                s = [model.score("" if t is None else t) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+        finally:
+            model.forget()
+            trim_memory()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -206,7 +218,12 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int
     model = train(docs, labels, folds)
 
     @F.pandas_udf("double")
-    def toxic(texts):
-        return texts.map(lambda t: model.score("" if t is None else t))
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield texts.map(lambda t: model.score("" if t is None else t))
+        finally:
+            model.forget()
+            trim_memory()
 
     return docs.filter(toxic(docs["text"].cast("string")) < threshold)

@@ -155,7 +155,7 @@ def test_rans_query_equals_the_library(spark, odd, empty):
 
 
 def test_word_encoder_forgets_and_stays_right():
-    e = rans.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), cache_words=5)
+    e = rans.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), cache_bytes=5)
     texts = ["the cat sat.", "don't x's!", "A <|endoftext|> b", "ok ok, ok.", "é ñandú, 12 3.4"]
     for _ in range(3):
         assert [[*np.frombuffer(x, "<u2"), 1] for x in e.encode(texts)] == library_ids(texts)
@@ -467,7 +467,7 @@ def test_bpe_query_equals_the_library(spark, odd, empty, reference):
 
 
 def test_merge_replay_on_odd_texts(reference):
-    coder = bpe.MergeReplay.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), cache_words=10)
+    coder = bpe.MergeReplay.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), cache_bytes=10)
     texts = ["", " ", "\n", "  a  b\n\n c", "a\tb \n", " lead", "trail ", "aaaaaaa" * 50, "don't 've 12 34½ ²³", "日本語 テスト　x", "a\x1cb c", "\xa0 z", "x\x00 \x00y", "a\nb\nc", "é" * 3000]
     for _ in range(2):
         assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode_batch(texts)] == [reference.encode_ordinary(t) for t in texts]
