@@ -78,15 +78,22 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/quern-checkpoints"
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: later steps survive lost executors."""
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, of the scope if there is one; it goes when the application ends at the latest."""
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
     if (scope := _scope.get()) is not None:
         scope.paths.append(path)
-    df.write.option("compression", "zstd").parquet(path)
     where, files = _file_system(spark, path)
+    files.mkdirs(where)
     files.deleteOnExit(where)
+    return path
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: later steps survive lost executors."""
+    path = f"{scratch_path(spark, name)}/rows"
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

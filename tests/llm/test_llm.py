@@ -125,6 +125,41 @@ def test_damage_is_found():
         rans.decode_block(bytes(block), table)
 
 
+def test_a_stretch_needs_no_other():
+    ids = (np.random.default_rng(4).zipf(1.3, 300_000) % 49408).astype(np.uint16)
+    table = rans.Table.from_counts(np.bincount(ids, minlength=49408))
+    block = bytearray(rans.encode_block(ids, table))
+    block[-1000:] = bytes(1000)  # the last stretch's words
+    size = rans.EVERY * rans.LANES
+    for i in range(300_000 // size):
+        assert (rans.decode_block(bytes(block), table, part=i) == ids[i * size : (i + 1) * size]).all()
+    for part in (None, 300_000 // size):
+        with pytest.raises(ValueError):
+            rans.decode_block(bytes(block), table, part=part)
+    other = rans.Table.from_counts(np.bincount(ids[:1000], minlength=49408))
+    with pytest.raises(ValueError):
+        rans.decode_block(rans.encode_block(ids, table), other)
+
+
+def test_files_hold_all_that_decoding_needs(spark, odd, tmp_path):
+    rans.write_files(spark, odd, str(tmp_path))
+    files, table, bases = rans.open_files(spark.newSession(), str(tmp_path))
+    got = sorted((bases[r.part] + r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in rans.decode_documents(files, table).collect())
+    want = library_ids([t or "" for _, t in rows_of(odd)])
+    assert Counter(map(tuple, want)) == Counter(tuple(x) for _, x in got)
+    assert [at for at, _ in got] == np.cumsum([0, *(len(x) for _, x in got)])[:-1].tolist()
+
+
+@pytest.mark.parametrize("cut", [1, 7, 300])
+def test_word_encoder_equals_the_library(cut):
+    rng = random.Random(cut)
+    pieces = ["the", "Cat", "don't", "x.", "a,b", "É", "ñandú.", "×", "÷.", "µm", "ª", "...", "?!", ".", "12", "3.4", "ß", "İ", "\xa0", "\t", "\x1c", "\x85", "日本", "<|endoftext|>", "ſ", "Ǆ", "_a_", "naïve;", "x:y:"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "", "  ", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(600)]
+    e = rans.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for i in range(0, len(texts), cut):
+        assert [[*np.frombuffer(x, "<u2"), 1] for x in e.encode(texts[i : i + cut])] == library_ids(texts[i : i + cut])
+
+
 def test_frequencies_fill_the_table():
     counts = np.zeros(49408, np.int64)
     counts[:40000] = 1
@@ -247,6 +282,20 @@ def test_copies_against_brute_force(spark, odd, empty, monkeypatch, hot):
     assert kept.columns == odd.columns and kept.count() == len(groups)
 
 
+def test_runs_merge_where_first_words_collide():
+    rng = np.random.default_rng(8)
+    x = np.zeros(3000, exact_dedup.RECORD)
+    x["d"] = rng.integers(0, 3, (3000, 4))
+    x["norm_len"], x["worse"], x["null"] = rng.integers(0, 2, 3000), -rng.integers(0, 3, 3000), rng.integers(0, 2, 3000)
+    x["doc_id"], x["mark"], x["n"] = rng.integers(0, 50, 3000), rng.integers(0, 9, 3000), 1
+    want = defaultdict(list)
+    for r in x.tolist():
+        want[(*r[0], r[1])].append(r[2:])
+    runs = [exact_dedup.merge([x[i : i + 1]]) for i in range(100)] + [exact_dedup.merge([x[i : i + 290]]) for i in range(100, 3000, 290)]
+    got = exact_dedup.merge([exact_dedup.merge(runs[:40]), exact_dedup.merge(runs[40:])])
+    assert [(*r[0], r[1], *r[2:]) for r in got.tolist()] == [(*k, *min(v)[:4], len(v)) for k, v in sorted(want.items())]
+
+
 # 7: licences
 
 
