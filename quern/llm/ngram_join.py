@@ -9,21 +9,28 @@ easily, as a differing token may touch two of them, so prefixes that hold freque
 signature must survive (see prefix_length).
 
 Pairs that share a signature are checked by size, then by parity bitmaps (each differing token flips one bit, so more
-flipped bits than differences allowed exclude a pair), then verified on the texts. Only links between what isn't yet
-connected matter, in three rounds:
+flipped bits than differences allowed exclude a pair; there are as many bits as tokens at least), then verified on the
+texts. Only links between what isn't yet connected matter, in three rounds:
 
-1. in each signature's bucket, by bands of size, the node that meets most others is a hub and the others' candidate;
-   each node is verified against its nearest hub, which connects a family of near copies by fewer links than nodes;
-2. in buckets that still hold several components each node is paired with its nearest of another component, found in
-   blocks of BLOCK rows of a bucket, and one pair for each pair of components is verified;
-3. all pairs across the components that are left are verified.
+1. in each signature's bucket, by bands of size, the node that meets most others is a hub; each node is verified
+   against the hub that it meets in most buckets, which connects a family of near copies by fewer links than nodes;
+2. in buckets that still hold several components each node is paired with its nearest of another component, and one
+   pair for each pair of components is verified;
+3. pairs across the components that are left and that the bitmaps do not exclude are verified.
 
 No link between different components is left unverified, no pair inside a component is made: copies don't grow
 with the square of their number. Nothing about documents is collected but the bounded list of frequent tokens.
 
+Signatures with more than 1/HOT of all postings are hot; a sketch of fixed size finds them, HOT at most. What is known
+of them comes from aggregations with map-side combining and is broadcast, so that no task gets their rows; windows see
+the others only. Buckets of more than BLOCK rows are cut by bands of size and then into blocks that meet pairwise.
+For verification a hub's text travels once for each CROWD of its nodes, and each other text once.
+
 Edge cases: null text counts as empty; a document without words has no set and is its own component. With fewer words
 than a shingle has, the whole sequence is one. Rows may repeat; rows of equal sets share a component, whose id is the
-smallest doc_id (nulls ignored). Other columns are ignored. Nodes are known by 64 bits of a hash of their set.
+smallest doc_id (nulls ignored; null if there is no other). keep() leaves one row of each component, that of the smallest
+doc_id (null last), then of the smallest hash of its text; documents without words all stay. Very long texts are one set
+each, of any size. Other columns are ignored, whatever their names. Nodes are known by 64 bits of a hash of their set.
 """
 
 from __future__ import annotations
@@ -33,10 +40,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, size_partitions
+from quern.llm.common import mark, materialize, size_partitions, small, without
 
 #: What near-duplicate stages take by default; a contract may ask for others.
 WIDTH = 5
@@ -45,12 +52,13 @@ PERCENT = 80
 FREQUENT = 16
 #: Bound of the list of frequent tokens that goes to all workers.
 FREQUENT_TOKENS = 500_000
+#: A signature (or node) with more than 1/HOT of all postings (or rows) is hot; there are fewer than HOT.
+HOT = 1000
+SKETCH_ITEMS = 10_000
 #: Rows of a bucket that are compared with each other at once.
 BLOCK = 4000
-#: Nodes whose labels or keys are broadcast after a count; more are joined by a shuffle.
-BROADCAST_NODES = 300_000
-#: 64-bit words of the bitmaps that go into buckets.
-SHORT = 8
+#: Nodes that are verified against one copy of their hub's text.
+CROWD = 500
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -122,16 +130,16 @@ def signatures(zone: np.ndarray, n: int, frequent: np.ndarray, percent: int = PE
 
 
 def parity(x: np.ndarray) -> np.ndarray:
-    """Bitmap in which each token flips a bit; at least twice as many bits as tokens, 64 to 65536, so that few differing
-    tokens meet in a bit and cancel out."""
+    """Bitmap in which each token flips a bit; at least as many bits as tokens, 64 to 65536, so that few differing tokens
+    meet in a bit and cancel out, and unrelated sets differ in more bits than are allowed."""
     bits = 64
-    while bits < 2 * len(x) and bits < 65536:
+    while bits < len(x) and bits < 65536:
         bits *= 2
     odd = np.bincount((x >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
-def fold(x: np.ndarray, words: int = SHORT) -> np.ndarray:
+def fold(x: np.ndarray, words: int) -> np.ndarray:
     """The bitmap with its halves laid over each other until it has so many words at most: still a bound."""
     while len(x) > words:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
@@ -149,15 +157,14 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, mark, node, n, zone, bits, short) of each row; the last three are left out where the task has met the node."""
-    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), mark.alias("mark"), docs["text"].cast("string").alias("text"))
+    """(doc_id, mark, node, n, place, zone, bits) of each row; zone and bits are left out where the task has met the node."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), mark(docs).alias("mark"), F.monotonically_increasing_id().alias("place"), docs["text"].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for b in batches:
-            nodes, sizes, zones, bits, shorts = [], [], [], [], []
-            for t in _texts(b.column(2)):
+            nodes, sizes, zones, bits = [], [], [], []
+            for t in _texts(b.column(3)):
                 x = shingle_set(t, width)
                 node = xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63)
                 new = len(x) > 0 and node not in met
@@ -167,15 +174,21 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 nodes.append(node)
                 sizes.append(len(x))
                 zones.append(x[: zone_length(len(x), percent)].tobytes() if new else None)
-                full = parity(x) if new else None
-                bits.append(full.tobytes() if new else None)
-                shorts.append(fold(full).tobytes() if new else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(zones, pa.binary()), pa.array(bits, pa.binary()), pa.array(shorts, pa.binary())], ["doc_id", "mark", "node", "n", "zone", "bits", "short"])
+                bits.append(parity(x).tobytes() if new else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), b.column(2), pa.array(zones, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "mark", "node", "n", "place", "zone", "bits"])
+
+    return rows.mapInArrow(run, "doc_id long, mark long, node long, n long, place long, zone binary, bits binary")
 
-    return rows.mapInArrow(run, "doc_id long, mark long, node long, n long, zone binary, bits binary, short binary")
 
+def _nodes(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """(node, n, zone, bits), each node once. Only the places of those that several tasks met are compared."""
+    own = sets.filter("zone is not null")
+    first = own.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("k")).filter("k > 1")
+    again = own.select("node", "place").join(first, "node").filter("place <> first").select("place")
+    return own.join(small(materialize(spark, again, "again")), "place", "left_anti").select("node", "n", "zone", "bits")
 
-def _frequent_tokens(sets: DataFrame, percent: int) -> np.ndarray:
+
+def _frequent_tokens(nodes: DataFrame, percent: int) -> np.ndarray:
     """Sorted tokens of many prefix places: FREQUENT_TOKENS at most, by the threshold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,80 +198,117 @@ def _frequent_tokens(sets: DataFrame, percent: int) -> np.ndarray:
                 t, k = np.unique(np.concatenate(zones), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(t.view("<i8")), pa.array(k)], ["t", "k"])
 
-    own = sets.filter("zone is not null").select("zone", "n")
+    own = nodes.select("zone", "n")
     total = own.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1).alias("t")).first().t or 0
     least = max(FREQUENT, int(total) // FREQUENT_TOKENS + 1)
     often = own.mapInArrow(count, "t long, k long").groupBy("t").agg(F.sum("k").alias("k")).filter(F.col("k") >= least).select("t")
-    return np.sort(np.array([r.t for r in often.collect()], np.int64).view(np.uint64))
+    return np.sort(often.toArrow()["t"].to_numpy().view(np.uint64))
 
 
-def _postings(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def _postings(nodes: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
     """(sig, node, n)."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+    shared = nodes.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for b in batches:
-            nodes, sizes = b.column(1).to_numpy(), b.column(2).to_numpy()
+            names, sizes = b.column(1).to_numpy(), b.column(2).to_numpy()
             out = [signatures(np.frombuffer(z, "<u8"), int(n), often, percent) for z, n in zip(b.column(0).to_pylist(), sizes, strict=True)]
             k = [len(x) for x in out]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view("<i8")), pa.array(np.repeat(nodes, k)), pa.array(np.repeat(sizes, k))], ["sig", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view("<i8")), pa.array(np.repeat(names, k)), pa.array(np.repeat(sizes, k))], ["sig", "node", "n"])
+
+    return nodes.select("zone", "node", "n").mapInArrow(run, "sig long, node long, n long")
+
+
+def _buckets(spark: SparkSession, postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sig, node, n, rows) of the postings that may pair with another of their bucket, by size, rows being the
+    bucket's; and the hot signatures, to be broadcast."""
+    found = postings.agg(F.expr(f"approx_top_k(sig, {HOT}, {SKETCH_ITEMS})").alias("t"), F.count("*").alias("n")).first()
+    hot = F.broadcast(spark.createDataFrame([(r["item"],) for r in found.t or [] if r["count"] > max(2, found.n // HOT)], "sig long"))
+    w = Window.partitionBy("sig").orderBy("n", "node")
+    cold = postings.join(hot, "sig", "left_anti").select("sig", "node", "n", F.lag("n").over(w).alias("nb"), F.lead("n").over(w).alias("na"), F.count("*").over(Window.partitionBy("sig")).alias("rows"))
+    cold = cold.filter((F.col("nb") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("na") * percent)).drop("nb", "na")
+    many = postings.join(hot, "sig", "left_semi")
+    many = many.join(F.broadcast(many.groupBy("sig").agg(F.count("*").alias("rows"))), "sig")
+    return materialize(spark, cold.unionByName(many.select("sig", "node", "n", "rows")), "buckets"), hot
 
-    return sets.filter("zone is not null").select("zone", "node", "n").mapInArrow(run, "sig long, node long, n long")
+
+def _band(n: Column, percent: int, shift: float = 0.0) -> Column:
+    """Number of a band of sizes. Sizes of similar sets fall into a band or two neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) * 0.999 + shift)
+
+
+def _hub_pairs(live: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of each node b that has met a hub, the hub that it meets in most buckets. A hub is, in a bucket and band of
+    sizes, the node that meets most others over all its buckets: of a text and its edited copies, which resemble it
+    more than each other, that is the text."""
+    weight = live.groupBy("node").agg(F.sum("rows").alias("w"))
+    # bands of twice the width, from two places on: similar sizes share one of them
+    cell = lambda shift: (2 * F.floor(_band(F.col("n"), percent) / 2 + shift) + int(2 * shift)).cast("long")
+    own = live.join(weight, "node").select("sig", "node", "w", cell(0.0).alias("c0"), cell(0.5).alias("c1"))
+    top = F.max(F.struct("w", "node"))
+    cold = own.join(hot, "sig", "left_anti").repartition(size_partitions(live.sparkSession), "sig")
+    cold = cold.select("node", *(top.over(Window.partitionBy("sig", c))["node"].alias(a) for c, a in (("c0", "a0"), ("c1", "a1"))))
+    cold = cold.select(F.col("node").alias("b"), F.explode(F.array("a0", "a1")).alias("a"))
+    cells = own.join(hot, "sig", "left_semi").select("sig", "node", "w", F.explode(F.array("c0", "c1")).alias("c"))
+    hubs = cells.groupBy("sig", "c").agg(top["node"].alias("a"))
+    many = cells.join(F.broadcast(hubs), ["sig", "c"]).select(F.col("node").alias("b"), "a")
+    met = cold.unionByName(many).filter("a <> b").groupBy("a", "b").count()
+    return met.groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a")).select("a", "b")
 
 
 def _by_bitmap(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with the bits that differ, without those that differ in too many."""
-    x = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    y = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb")
+    """The pairs (a, b) whose bitmaps do not differ in too many bits."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            na, nb = p.column(2).to_numpy(), p.column(3).to_numpy()
             d = np.array([flipped(np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")) for s, t in zip(p.column(4).to_pylist(), p.column(5).to_pylist(), strict=True)], np.int64)
-            keep = pa.array(d <= allowed(na, nb, percent))
-            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), p.column(2), p.column(3), pa.array(d)], ["a", "b", "na", "nb", "d"]).filter(keep)
+            keep = pa.array(d <= allowed(p.column(2).to_numpy(), p.column(3).to_numpy(), percent))
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], ["a", "b"]).filter(keep)
 
-    return both.mapInArrow(run, "a long, b long, na long, nb long, d long")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are similar by their texts."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = materialize(spark, ends, "ends")
-    small = ends.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    one = sets.select("node", "doc_id", "mark").join(F.broadcast(ends) if small else ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("r"))
-    one = one.select("node", F.col("r.doc_id").alias("d"), F.col("r.mark").alias("m"))
-    one = F.broadcast(one) if small else one
-    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), mark.alias("mark"), docs["text"].cast("string").alias("text"))
-    texts = texts.join(one, texts["doc_id"].eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("node", "text")
-    texts = materialize(spark, texts, "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """Those of the pairs (a, b) that are similar by their texts. pairs is materialized."""
+    crowds = pairs.groupBy("a").agg(F.ceil(F.count("*") / CROWD).alias("crowds"))
+    # what each text is needed for: its own comparison with a hub, or to be one for a crowd
+    crowd = F.pmod(F.xxhash64("b"), F.col("crowds"))
+    nodes = pairs.join(crowds, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), crowd.alias("crowd"), F.lit(1).alias("role"))
+    hubs = crowds.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowds") - 1)).alias("crowd"), F.lit(0).alias("role"))
+    roles = materialize(spark, nodes.unionByName(hubs), "roles")
+    ends = small(materialize(spark, roles.select("node").distinct(), "ends"))
+    one = sets.select("node", "doc_id", "mark").join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("r"))
+    wanted = roles.join(one, "node").select(F.col("r.doc_id").alias("d"), F.col("r.mark").alias("m"), "node", "hub", "crowd", "role")
+    wanted = small(materialize(spark, wanted, "wanted"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), mark(docs).alias("mark"), docs["text"].cast("string").alias("text"))
+    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("d")) & (texts["mark"] == F.col("m"))).select("hub", "crowd", "role", "node", "text")
+    rows = rows.repartition(size_partitions(spark), "hub", "crowd").sortWithinPartitions("hub", "crowd", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
+        hub = np.zeros(0, np.uint64)
         for p in batches:
             ok = []
-            for ta, tb in zip(_texts(p.column(2)), _texts(p.column(3)), strict=True):
-                if tb != last[0]:
-                    last = (tb, shingle_set(tb, width))
-                ok.append(similar(shingle_set(ta, width), last[1], percent))
-            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for role, text in zip(p.column(1).to_pylist(), _texts(p.column(3)), strict=True):
+                x = shingle_set(text, width)
+                if role == 0:
+                    hub = x
+                ok.append(role == 1 and similar(hub, x, percent))
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(2)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     # rows repeated under one doc_id and text give a pair more than once
-    return materialize(spark, both.mapInArrow(run, "a long, b long").distinct(), "links")
+    return materialize(spark, rows.select("hub", "role", "node", "text").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, lab): the smallest node that links (a, b) connect to it. Label propagation with pointer jumping."""
     both = materialize(spark, links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("lab")), "labels")
-    small = labels.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
     while True:
-        known = F.broadcast(labels) if small else labels
+        known = small(labels)
         near = both.join(known.select(F.col("node").alias("b"), "lab"), "b").groupBy(F.col("a").alias("node")).agg(F.min("lab").alias("m"))
         step = near.join(known, "node").select("node", F.col("lab").alias("old"), F.least("lab", "m").alias("lab"))
         jump = step.join(known.select(F.col("node").alias("lab"), F.col("lab").alias("far")), "lab").select("node", "old", F.least("lab", "far").alias("lab"))
@@ -268,130 +318,155 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
-def _hub_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b): in each bucket and band of sizes, its hub and each other node. As many as rows of live, twice
-    at most, as bands overlap. A hub is the node that meets most others over all its buckets: of a text and its edited
-    copies, which resemble it more than each other, that is the text."""
-    weight = live.groupBy("node").agg(F.sum("rows").alias("w"))
-    # one exchange by signature serves both bands
-    own = live.select("sig", "node", "n").join(weight, "node").repartition(size_partitions(live.sparkSession), "sig")
-    scale = F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) / 2
-    top = lambda shift: F.max(F.struct("w", F.col("node").alias("a"))).over(Window.partitionBy("sig", F.floor(scale + shift)))["a"]
-    both = own.select(F.col("node").alias("b"), top(0.0).alias("a0"), top(0.5).alias("a1")).select("b", F.explode(F.array("a0", "a1")).alias("a"))
-    return both.filter("a <> b").select("a", "b").distinct()
-
-
-def _across(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Distinct pairs (a, b, ca, cb) of nodes of different components that share a bucket and pass size and a short
-    bitmap; with nearest, of each node in a bucket only the pair with the larger node that differs least."""
-    small = labels.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    own = live.select("sig", "node", "n").join(F.broadcast(labels) if small else labels, "node", "left").select("sig", "node", "n", F.coalesce("lab", "node").alias("lab"))
-    # buckets of one component end here
+def _mixed(spark: SparkSession, live: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with their component lab."""
+    own = live.join(small(labels), "node", "left").select("sig", "node", "n", "rows", F.coalesce("lab", "node").alias("lab"))
+    own = materialize(spark, own, "labelled")
     w = Window.partitionBy("sig")
-    own = own.select("*", F.min("lab").over(w).alias("l1"), F.max("lab").over(w).alias("l2"), F.count("*").over(w).alias("rows")).filter("l1 <> l2")
-    own = own.select("sig", "node", "n", "lab", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")).join(nodes.select("node", "short"), "node")
-    # each row goes to every pair of blocks that its own block is in
-    own = own.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "lab", "short")
-    own = own.repartition(size_partitions(live.sparkSession), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "node")
-
-    def block(rows: list[tuple]) -> list[tuple]:
-        """Pairs of a block, whose rows are in order of size."""
-        i, j = rows[0][1], rows[0][2]
-        n = np.array([r[5] for r in rows])
-        lab, side = np.array([r[6] for r in rows]), np.array([r[3] for r in rows])
-        width = min(len(r[7]) for r in rows) // 8
-        maps = np.empty((len(rows), width), np.uint64)
-        for k, r in enumerate(rows):
-            maps[k] = fold(np.frombuffer(r[7], "<u8"), width)
-        ends = np.searchsorted(n, n * 100 // percent, side="right")
-        out = []
-        for k in range(len(rows)):
-            some = slice(k + 1, int(ends[k]))
-            ok = lab[some] != lab[k]
-            if i != j:
-                ok &= side[some] != side[k]
-            if not ok.any():
-                continue
-            d = np.bitwise_count(maps[some] ^ maps[k]).sum(axis=1)
-            found = np.flatnonzero(ok & (d <= allowed(n[some], n[k], percent)))
-            if nearest and len(found):
-                found = found[[np.argmin(d[found])]]
-            for m in (found + k + 1).tolist():
-                a, b = sorted((k, m), key=lambda v: rows[v][4])
-                out.append((rows[a][4], rows[b][4], rows[a][6], rows[b][6]))
-        return out
+    cold = own.join(hot, "sig", "left_anti").select("*", F.min("lab").over(w).alias("l1"), F.max("lab").over(w).alias("l2")).filter("l1 <> l2").drop("l1", "l2")
+    many = own.join(hot, "sig", "left_semi")
+    many = many.join(F.broadcast(many.groupBy("sig").agg(F.min("lab").alias("l1"), F.max("lab").alias("l2")).filter("l1 <> l2").select("sig")), "sig", "left_semi")
+    return materialize(spark, cold.unionByName(many), "mixed")
+
+
+def _cells(spark: SparkSession, mixed: DataFrame, percent: int) -> DataFrame:
+    """(sig, band, i, j, side, guest, node, n, lab): rows that are compared with each other share (sig, band, i, j).
+
+    A bucket of BLOCK rows at most is one cell. Another is cut by bands of size, to each of which the next lower band
+    comes as guests, and a band into blocks of about BLOCK rows, each pair of which is a cell.
+    """
+    whole = mixed.filter(F.col("rows") <= BLOCK).select("sig", F.lit(-1).cast("long").alias("band"), *(F.lit(0).alias(c) for c in ("i", "j", "side", "guest")), "node", "n", "lab")
+    band = _band(F.col("n"), percent)
+    cut = mixed.filter(F.col("rows") > BLOCK).select("sig", "node", "n", "lab", F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("guest")), F.struct((band + 1).alias("band"), F.lit(1).alias("guest")))).alias("x"))
+    cut = cut.select("sig", "x.band", "x.guest", "node", "n", "lab")
+    sizes = materialize(spark, cut.groupBy("sig", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("guest").alias("g")).filter("g = 0").drop("g"), "cells")
+    cut = cut.join(small(sizes), ["sig", "band"])
+    cut = cut.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return whole.unionByName(cut.select("sig", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "guest", "node", "n", "lab"))
+
+
+def _cell_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[list[np.ndarray]]:
+    """[a, b, ca, cb, d] of the pairs of a cell, whose rows are in order of size; with nearest only the one of each row that
+    differs least among those of its size or larger."""
+    i, j = rows[0][2], rows[0][3]
+    side, guest = np.array([r[4] for r in rows]), np.array([r[5] for r in rows], bool)
+    node, n, lab = (np.array([r[k] for r in rows]) for k in (6, 7, 8))
+    width = min(len(r[9]) for r in rows) // 8
+    maps = np.empty((len(rows), width), np.uint64)
+    for k, r in enumerate(rows):
+        maps[k] = fold(np.frombuffer(r[9], "<u8"), width)
+    ends = np.searchsorted(n, n * 100 // percent, side="right")
+    out: list[list[np.ndarray]] = []
+    held = 0
+
+    def give() -> list[np.ndarray]:
+        x, y, d = (np.concatenate(c) for c in zip(*out, strict=True))
+        turned = node[x] > node[y]
+        a, b = np.where(turned, y, x), np.where(turned, x, y)
+        return [node[a], node[b], lab[a], lab[b], d]
+
+    for k in range(len(rows)):
+        some = slice(k + 1, int(ends[k]))
+        ok = lab[some] != lab[k]
+        if i != j:
+            ok &= side[some] != side[k]
+        if guest[k]:
+            ok &= ~guest[some]
+        found = np.flatnonzero(ok) + k + 1
+        if not len(found):
+            continue
+        d = np.bitwise_count(maps[found] ^ maps[k]).sum(axis=1).astype(np.int64)
+        close = d <= allowed(n[found], n[k], percent)
+        found, d = found[close], d[close]
+        if not len(found):
+            continue
+        if nearest:
+            found, d = found[[np.argmin(d)]], d[[np.argmin(d)]]
+        out.append([np.full(len(found), k), found, d])
+        held += len(found)
+        if held > 200_000:
+            yield give()
+            out, held = [], 0
+    if out:
+        yield give()
+
+
+def _across(spark: SparkSession, mixed: DataFrame, nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Distinct pairs (a, b, ca, cb, d) of nodes of different components that share a bucket and pass size and bitmap."""
+    own = _cells(spark, mixed, percent).join(nodes.select("node", "bits"), "node").select("sig", "band", "i", "j", "side", "guest", "node", "n", "lab", "bits")
+    key = ["sig", "band", "i", "j"]
+    own = own.repartition(size_partitions(spark), *key).sortWithinPartitions(*key, "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        met: set[tuple] = set()
 
-        def give(found: list[tuple]) -> list[tuple]:
-            new = [x for x in dict.fromkeys(found) if x not in met]
-            if len(met) > 500_000:
-                met.clear()
-            met.update(new)
-            return new
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                for columns in _cell_pairs(rows, percent, nearest):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "ca", "cb", "d"])
+            rows.clear()
 
-        out: list[tuple] = []
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if rows and rows[0][:3] != r[:3]:
-                    out += give(block(rows)) if len(rows) > 1 else []
-                    rows = []
-                if not rows or rows[-1][4] != r[4]:
-                    rows.append(r)
-            yield _pairs(out)
-            out = []
-        if len(rows) > 1:
-            yield _pairs(give(block(rows)))
-
-    found = own.mapInArrow(run, "a long, b long, ca long, cb long").distinct()
-    return found.join(_by_bitmap(found.select("a", "b"), nodes, percent).select("a", "b", "d"), ["a", "b"])
+                if rows and rows[0][:4] != r[:4]:
+                    yield from close()
+                rows.append(r)
+        yield from close()
 
-
-def _pairs(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["a", "b", "ca", "cb"])
+    return own.mapInArrow(run, "a long, b long, ca long, cb long, d long").groupBy("a", "b", "ca", "cb").agg(F.min("d").alias("d"))
 
 
 def join(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(sets, labels): sets (doc_id, mark, node, n) of each row, labels (node, lab) of the nodes with links."""
     sets = materialize(spark, _sets(docs, width, percent), "sets")
-    nodes = sets.filter("zone is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("short").alias("short"))
-    nodes = materialize(spark, nodes, "nodes")
-    postings = _postings(sets, _frequent_tokens(sets, percent), percent)
-    w = Window.partitionBy("sig").orderBy("n", "node")
-    fits = lambda small, large: (F.col(small) * 100 >= F.col(large) * percent)
-    near = postings.select("sig", "node", "n", F.lag("node").over(w).alias("before"), F.lag("n").over(w).alias("nb"), F.lead("n").over(w).alias("na"), F.count("*").over(Window.partitionBy("sig")).alias("rows"))
-    near = near.filter((F.col("before").isNull() | (F.col("before") != F.col("node"))) & (fits("nb", "n") | fits("n", "na")))
-    live = materialize(spark, near.select("sig", "node", "n", "rows"), "buckets")
-    best = _by_bitmap(_hub_pairs(live, percent), nodes, percent).groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = _verified(spark, materialize(spark, best, "stars"), docs, sets, width, percent)
+    nodes = _nodes(spark, sets)
+    postings = materialize(spark, _postings(nodes, _frequent_tokens(nodes, percent), percent), "postings")
+    live, hot = _buckets(spark, postings, percent)
+    stars = materialize(spark, _by_bitmap(_hub_pairs(live, hot, percent), nodes, percent), "stars")
+    links = _verified(spark, stars, docs, sets, width, percent)
     labels = components(spark, links)
     # rounds 2 and 3: what may link different components, first by the nearest of each node, then whatever is left
     for nearest in (True, False):
-        across = materialize(spark, _across(live, labels, nodes, percent, nearest), "across")
+        across = materialize(spark, _across(spark, _mixed(spark, live, labels, hot), nodes, percent, nearest), "across")
         if not across.limit(1).count():
             continue
-        once = across.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b")
-        links = links.unionByName(_verified(spark, once if nearest else across.select("a", "b"), docs, sets, width, percent))
+        pairs = across.select("a", "b")
+        if nearest:
+            once = across.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b")
+            pairs = materialize(spark, once, "once")
+        links = links.unionByName(_verified(spark, pairs, docs, sets, width, percent))
         labels = components(spark, links)
     return sets.select("doc_id", "mark", "node", "n"), labels
 
 
+def decided(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, mark, n, keep_id, keep_mark: the row that its component leaves, itself if it has no words."""
+    sets, labels = join(spark, docs, width, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "mark"))
+    words = sets.filter("n > 0")
+    own = words.groupBy("node").agg(first.alias("r"), F.count("*").alias("k")).join(labels, "node", "left").filter("lab is not null or k > 1").withColumn("lab", F.coalesce("lab", "node"))
+    own = materialize(spark, own, "firsts")
+    known = own.join(own.groupBy("lab").agg(F.min("r").alias("best")), "lab").select("node", "k", F.col("best.doc_id").alias("keep_id"), F.col("best.mark").alias("keep_mark"))
+    known = materialize(spark, known, "known")
+    # rows of hot nodes, which many rows share, go round the shuffled join
+    least = max(2, sets.count() // HOT + 1)
+    hot = F.broadcast(known.filter(F.col("k") >= least).drop("k").withColumnsRenamed({"keep_id": "hot_id", "keep_mark": "hot_mark"}).withColumn("is_hot", F.lit(True)))
+    near = words.join(hot, "node", "left")
+    done = near.filter("is_hot").select("doc_id", "mark", "n", F.col("hot_id").alias("keep_id"), F.col("hot_mark").alias("keep_mark"))
+    rest = near.filter("is_hot is null").select("doc_id", "mark", "n", "node").join(small(known.filter(F.col("k") < least).select("node", "keep_id", "keep_mark")), "node", "left")
+    itself = lambda c: F.when(F.col("keep_mark").isNull(), F.col(c)).otherwise(F.col("keep_id" if c == "doc_id" else "keep_mark"))
+    rest = rest.select("doc_id", "mark", "n", itself("doc_id").alias("keep_id"), itself("mark").alias("keep_mark"))
+    return done.unionByName(rest).unionByName(sets.filter("n = 0").select("doc_id", "mark", "n", F.col("doc_id").alias("keep_id"), F.col("mark").alias("keep_mark")))
+
+
 def report(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id; mark (a hash of the text) follows."""
-    sets, labels = join(spark, docs, width, percent)
-    firsts = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("lab", F.coalesce("lab", "node"))
-    ids = firsts.groupBy("lab").agg(F.min("least").alias("component_id"))
-    # one row a node; rows of a hot node are dealt by the adaptive skew join
-    known = firsts.select("node", "lab").join(ids, "lab").select("node", "component_id")
-    out = sets.join(known, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "mark")
+    return decided(spark, docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("keep_id").alias("component_id"), "mark")
 
 
 def keep(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay, with their columns: the smallest doc_id of each component."""
-    gone = report(spark, docs, width, percent).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__q_d"), F.col("mark").alias("__q_m"))
-    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(gone.distinct(), docs["doc_id"].cast("long").eqNullSafe(F.col("__q_d")) & (mark == F.col("__q_m")), "left_anti")
+    """The rows of docs that stay, with their columns: one of each component."""
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
+    rows = decided(spark, docs, width, percent).filter("n > 0").groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m"), stays.alias("stays")).count().filter("not stays or count > 1")
+    rows = materialize(spark, rows, "members")
+    return without(docs, rows.filter("not stays").select("d", "m"), rows.filter("stays").select("d", "m"))

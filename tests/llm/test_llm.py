@@ -431,6 +431,25 @@ def test_join_of_few_rows(spark, empty):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_one_row_of_each_component_stays(spark, odd, monkeypatch, limit):
+    from quern.llm import common
+
+    monkeypatch.setattr(common.small, "__defaults__", (limit,))
+    base = [f"v{i}" for i in range(200)]
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (20, 60, 100)]
+    rows = [(1, near[0], 1), (1, near[1], 2), (1, near[1], 3), (None, near[2], 4), (None, "alone in this", 5), (None, "alone in this", 6), (None, "a b c", 7), (None, "A B  C", 8), (2, "", 9), (2, "", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = ngram_join.keep(spark, df)
+    assert got.columns == df.columns
+    kept = sorted(r.n for r in got.collect())
+    assert len(kept) == 5 and len({1, 2, 3} & set(kept)) == 1 and len({5, 6} & set(kept)) == 1 and len({7, 8} & set(kept)) == 1 and {9, 10} <= set(kept)
+    whole = ngram_join.keep(spark, odd)
+    kinds = Counter((i, c) for (i, _, c), n in join_brute(rows_of(odd), 5, 80).items() for _ in range(n))
+    n_empty = sum(not (t or "").encode().split() for _, t in rows_of(odd))
+    assert whole.columns == odd.columns and whole.count() == n_empty + len({c for (i, c), _ in kinds.items()} - {i for i, t in rows_of(odd) if not (t or "").encode().split()})
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_similar_sets_share_a_signature(percent):
     rng = np.random.default_rng(percent)
