@@ -351,10 +351,8 @@ def _cell_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[list
     i, j = rows[0][2], rows[0][3]
     side, guest = np.array([r[4] for r in rows]), np.array([r[5] for r in rows], bool)
     node, n, lab = (np.array([r[k] for r in rows]) for k in (6, 7, 8))
-    width = min(len(r[9]) for r in rows) // 8
-    maps = np.empty((len(rows), width), np.uint64)
-    for k, r in enumerate(rows):
-        maps[k] = fold(np.frombuffer(r[9], "<u8"), width)
+    words = np.array([len(r[9]) // 8 for r in rows])  # ascending, as sizes are
+    maps, begins, width = np.zeros((0, 0), np.uint64), 0, 0
     ends = np.searchsorted(n, n * 100 // percent, side="right")
     out: list[list[np.ndarray]] = []
     held = 0
@@ -366,6 +364,9 @@ def _cell_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[list
         return [node[a], node[b], lab[a], lab[b], d]
 
     for k in range(len(rows)):
+        if words[k] != width:  # similar sets have as many bits, or twice as many: these are folded
+            width, begins = int(words[k]), k
+            maps = np.stack([fold(np.frombuffer(r[9], "<u8"), width) for r in rows[k : int(np.searchsorted(words, 2 * width, side="right"))]])
         some = slice(k + 1, int(ends[k]))
         ok = lab[some] != lab[k]
         if i != j:
@@ -375,7 +376,7 @@ def _cell_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[list
         found = np.flatnonzero(ok) + k + 1
         if not len(found):
             continue
-        d = np.bitwise_count(maps[found] ^ maps[k]).sum(axis=1).astype(np.int64)
+        d = np.bitwise_count(maps[found - begins] ^ maps[k - begins]).sum(axis=1).astype(np.int64)
         close = d <= allowed(n[found], n[k], percent)
         found, d = found[close], d[close]
         if not len(found):
