@@ -14,9 +14,10 @@ texts. Only links between what isn't yet connected matter, in three rounds:
 
 1. in each signature's bucket, by bands of size, the node that meets most others is a hub; each node is verified
    against the hub that it meets in most buckets, which connects a family of near copies by fewer links than nodes;
-2. in buckets that still hold several components each node is paired with its nearest of another component, and one
-   pair for each pair of components is verified;
-3. pairs across the components that are left and that the bitmaps do not exclude are verified.
+2. in buckets that still hold several components each node is paired with its nearest of each other component, NEAREST
+   of them at most, and one pair for each pair of components is verified;
+3. where that did not connect two components, or a node had more than NEAREST, all pairs across components that the
+   bitmaps do not exclude are verified.
 
 No link between different components is left unverified, no pair inside a component is made: copies don't grow
 with the square of their number. Nothing about documents is collected but the bounded list of frequent tokens.
@@ -56,7 +57,9 @@ FREQUENT_TOKENS = 500_000
 HOT = 1000
 SKETCH_ITEMS = 10_000
 #: Rows of a bucket that are compared with each other at once.
-BLOCK = 4000
+BLOCK = 2000
+#: Other components to which a row of a cell names its nearest node at once.
+NEAREST = 8
 #: Nodes that are verified against one copy of their hub's text.
 CROWD = 500
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -345,9 +348,9 @@ def _cells(spark: SparkSession, mixed: DataFrame, percent: int) -> DataFrame:
     return whole.unionByName(cut.select("sig", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "guest", "node", "n", "lab"))
 
 
-def _cell_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[list[np.ndarray]]:
-    """[a, b, ca, cb, d] of the pairs of a cell, whose rows are in order of size; with nearest only the one of each row that
-    differs least among those of its size or larger."""
+def _cell_pairs(rows: list[tuple], percent: int, most: int | None) -> Iterator[list[np.ndarray]]:
+    """[a, b, ca, cb, d] of the pairs of a cell, whose rows are in order of size. With most only the nearest of each other
+    component for each row, so many of the nearest; if there are more, (sig, sig, 0, 0, -1) is given once for the cell."""
     i, j = rows[0][2], rows[0][3]
     side, guest = np.array([r[4] for r in rows]), np.array([r[5] for r in rows], bool)
     node, n, lab = (np.array([r[k] for r in rows]) for k in (6, 7, 8))
@@ -355,7 +358,7 @@ def _cell_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[list
     maps, begins, width = np.zeros((0, 0), np.uint64), 0, 0
     ends = np.searchsorted(n, n * 100 // percent, side="right")
     out: list[list[np.ndarray]] = []
-    held = 0
+    held, cut = 0, False
 
     def give() -> list[np.ndarray]:
         x, y, d = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -381,8 +384,11 @@ def _cell_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[list
         found, d = found[close], d[close]
         if not len(found):
             continue
-        if nearest:
-            found, d = found[[np.argmin(d)]], d[[np.argmin(d)]]
+        if most is not None:
+            order = np.argsort(d, kind="stable")
+            firsts = np.sort(np.unique(lab[found[order]], return_index=True)[1])
+            cut |= len(firsts) > most
+            found, d = found[order[firsts[:most]]], d[order[firsts[:most]]]
         out.append([np.full(len(found), k), found, d])
         held += len(found)
         if held > 200_000:
@@ -390,10 +396,13 @@ def _cell_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[list
             out, held = [], 0
     if out:
         yield give()
+    if cut:
+        yield [np.array([v]) for v in (rows[0][0], rows[0][0], 0, 0, -1)]
 
 
-def _across(spark: SparkSession, mixed: DataFrame, nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Distinct pairs (a, b, ca, cb, d) of nodes of different components that share a bucket and pass size and bitmap."""
+def _across(spark: SparkSession, mixed: DataFrame, nodes: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Distinct pairs (a, b, ca, cb, d) of nodes of different components that share a bucket and pass size and bitmap;
+    with most also (sig, sig, 0, 0, -1) of the buckets that have more."""
     own = _cells(spark, mixed, percent).join(nodes.select("node", "bits"), "node").select("sig", "band", "i", "j", "side", "guest", "node", "n", "lab", "bits")
     key = ["sig", "band", "i", "j"]
     own = own.repartition(size_partitions(spark), *key).sortWithinPartitions(*key, "n", "node")
@@ -403,7 +412,7 @@ def _across(spark: SparkSession, mixed: DataFrame, nodes: DataFrame, percent: in
 
         def close() -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
-                for columns in _cell_pairs(rows, percent, nearest):
+                for columns in _cell_pairs(rows, percent, most):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "ca", "cb", "d"])
             rows.clear()
 
@@ -426,17 +435,29 @@ def join(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int
     stars = materialize(spark, _by_bitmap(_hub_pairs(live, hot, percent), nodes, percent), "stars")
     links = _verified(spark, stars, docs, sets, width, percent)
     labels = components(spark, links)
-    # rounds 2 and 3: what may link different components, first by the nearest of each node, then whatever is left
-    for nearest in (True, False):
-        across = materialize(spark, _across(spark, _mixed(spark, live, labels, hot), nodes, percent, nearest), "across")
-        if not across.limit(1).count():
-            continue
-        pairs = across.select("a", "b")
-        if nearest:
-            once = across.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b")
-            pairs = materialize(spark, once, "once")
-        links = links.unionByName(_verified(spark, pairs, docs, sets, width, percent))
-        labels = components(spark, links)
+    mixed = _mixed(spark, live, labels, hot)
+    across = materialize(spark, _across(spark, mixed, nodes, percent, NEAREST), "across")
+    pairs, more = across.filter("d >= 0"), across.filter("d < 0").select(F.col("a").alias("sig"))
+    once = pairs.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b")
+    links = links.unionByName(_verified(spark, materialize(spark, once, "once"), docs, sets, width, percent))
+    labels = components(spark, links)
+    # what is left: components (of round 1) that met and are still apart, and buckets with more than was named
+    now = small(labels)
+    side = lambda c: F.coalesce(F.col(f"l{c}"), F.col(c))
+    apart = pairs.select("ca", "cb").distinct()
+    for c in ("ca", "cb"):
+        apart = apart.join(now.select(F.col("node").alias(c), F.col("lab").alias(f"l{c}")), c, "left")
+    apart = apart.filter(side("ca") != side("cb"))
+    apart = materialize(spark, apart.select(F.explode(F.array("ca", "cb")).alias("lab")).distinct(), "apart")
+    left = mixed.join(small(apart), "lab", "left_semi").unionByName(mixed.join(small(more), "sig", "left_semi")).distinct()
+    left = materialize(spark, left.select("sig", "node", "n", "rows", "lab"), "left")
+    if left.limit(1).count():
+        # by the components of now
+        own = left.drop("lab").join(now, "node", "left").withColumn("lab", F.coalesce("lab", "node"))
+        across = materialize(spark, _across(spark, own, nodes, percent, None).select("a", "b"), "across")
+        if across.limit(1).count():
+            links = links.unionByName(_verified(spark, across, docs, sets, width, percent))
+            labels = components(spark, links)
     return sets.select("doc_id", "mark", "node", "n"), labels
 
 

@@ -427,6 +427,7 @@ def join_brute(rows, width=3, percent=90):
 def test_join_against_brute_force(spark, odd, monkeypatch, frequent, block, percent, width):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "NEAREST", 1 if block < 5 else 8)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.report(spark, odd, width, percent).collect())
     assert got == join_brute(rows_of(odd), width, percent)
 
