@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay (operator 10).
 
-Words are those of the pre-tokenisation pattern. The distinct words that a worker has not met yet form one
-corpus: their bytes lie in one array, linked to their neighbours, and an inverted index from the rank of a
-token pair to its positions applies every merge in rank order over all words at once; a merge looks only at
-the two neighbours it touched. Encoded words are kept for the worker's later batches (bounded), so that a
-document costs a table lookup a word. Words are independent, so this equals encoding each match on its own.
-
-Edge cases: null text counts as empty; an empty text has no ids. A text of a single very long word is encoded
-by the same heap of ranks, in n log n. Rows may repeat; each row gets its own result. Other columns are ignored.
+Words are those of the pre-tokenisation pattern. The distinct words that a task has not met yet form one corpus: their
+bytes lie in one array, linked to their neighbours, and an inverted index from the rank of a token pair to its
+positions applies every merge in rank order over all words at once; a merge looks only at the two neighbours it
+touched. Texts are cut into units, where a single blank stands between two characters that are no white space: no
+match of the pattern goes on there. Distinct units are found and looked up on the bytes of many texts at once, and the
+ids of those known are kept for the task's later texts (bounded). Units are independent, so this equals encoding each
+match on its own.
+
+Edge cases: null text counts as empty; an empty text has no ids. A very long text goes through as a whole; a text of a
+single very long word is encoded by the same heap of ranks, in n log n. Rows may repeat; each row gets its own result,
+ties of any kind too. Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,39 +19,44 @@ import base64
 import contextlib
 import hashlib
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from quern.llm.common import trim_memory
+from quern.llm.words import binary, distinct, gather
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Bytes of encoded words that a task keeps; beyond that those go that the last texts did not need.
-CACHE_BYTES = 100_000_000
-#: What a kept word takes besides its characters.
+#: Bytes of encoded units that a task keeps, and of words (with what an entry takes besides its characters).
+CACHE_BYTES = 48_000_000
 ENTRY = 200
-#: Bytes of text that go through the merges together.
-SLICE = 16_000_000
-#: White space that isn't a single blank or line end between words: texts with it go through the pattern as a whole.
-_ODD = ("  ", " \n", "\n ", "\n\n", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-
-
-def _odd(t: str) -> bool:
-    return t[0] in " \n" or t[-1] in " \n" or any(x in t for x in _ODD)
+#: Bytes of text that go through together.
+SLICE = 6_000_000
+#: White space beyond ASCII, and the separators of ASCII: texts with it go through the pattern as a whole.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, cache_bytes: int = CACHE_BYTES):
         self.ranks, self.pattern, self.cache_bytes = ranks, regex.compile(pattern), cache_bytes
-        self.tokens = {i: t for t, i in ranks.items()}
         top = max(ranks.values(), default=0)
         self.width = "<u2" if top < 1 << 16 else "<u4"
         #: Ends each word in the corpus; it is in no pair.
         self.stop = top + 1
+        tokens = [b""] * (top + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.token_size = np.fromiter(map(len, tokens), np.int64, top + 1)
+        self.token_first = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs, early = [], np.zeros(top + 2, bool)
         for token, rank in ranks.items():
@@ -65,9 +73,14 @@ class MergeReplay:
         self.forget()
 
     def forget(self) -> None:
+        self._forget_words()
+        self.units = pa.array([], pa.large_binary())
+        self.store = np.zeros(0, self.width)
+        self.first = self.size = np.zeros(0, np.int64)
+
+    def _forget_words(self) -> None:
         self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        self.words_size = self.units_size = 0
+        self.words_size = 0
 
     @classmethod
     def from_file(cls, path: str, **options) -> MergeReplay:
@@ -115,7 +128,7 @@ class MergeReplay:
         while heap:
             rank = heapq.heappop(heap)
             found = index.pop(rank)
-            at = np.unique(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
+            at = distinct(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
             at = at[pair[at] == rank]
             if len(at) > 1 and (after[at[:-1]] == at[1:]).any():  # of overlapping pairs the leftmost goes first
                 keep, last = [], -1
@@ -159,47 +172,67 @@ class MergeReplay:
         self.words.update({w: np.array(r, self.width).tobytes() for w, r in whole.items()})
         self.words.update(zip((w for w, _ in rest), self.replay([b for _, b in rest]), strict=True))
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, of self.width."""
-        units = []
-        for t in texts:
-            if not t or _odd(t):
-                units.append(None)
-                continue
-            # a blank before a word belongs to it and a line end stands alone, so the parts are independent;
-            # the first part has no blank: it is marked by a line end, with which no other can begin
-            parts = t.split(" ")
-            parts[0] = f"\n{parts[0]}"
-            units.append(parts)
-        known, find = self.units, self.pattern.findall
-        here = set().union(*filter(None, units))
-        missing = sorted(here.difference(known))
-        split: dict[str, list[str]] = {u: find(u[1:]) for u in missing if u[0] == "\n"}
-        later = [u for u in missing if u[0] != "\n"]
-        own: list[str] = []
-        for w in find(" " + " ".join(later)) if later else []:
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit."""
+        find = self.pattern.findall
+        # a unit whose one blank is its first character: many at a time, each beginning a new group of words
+        simple = [u for u in units if u[:1] == " " and " " not in u[1:] and not u[-1].isspace()]
+        split: dict[str, list[str]] = {}
+        at = iter(simple)
+        for w in find("".join(simple)):
             if w[0] == " ":
-                own = split[later[len(split) - len(missing) + len(later)]] = []
+                own = split[next(at)] = []
             own.append(w)
-        odd = [find(t) if t and parts is None else [] for t, parts in zip(texts, units, strict=True)]
-        self._learn(w for ws in (*split.values(), *odd) for w in ws)
+        split.update((u, find(u)) for u in units if u not in split)
+        self._learn(w for ws in split.values() for w in ws)
         word = self.words.__getitem__
-        for u, ws in split.items():
-            known[u] = b"".join(map(word, ws))
-        self.units_size += sum(map(len, missing)) * 3 + len(missing) * ENTRY
-        get = known.__getitem__
-        out = [b"".join(map(get, parts)) if parts else b"".join(map(word, ws)) for parts, ws in zip(units, odd, strict=True)]
-        if self.units_size > self.cache_bytes:  # what this batch didn't need goes, and if that is too much all does
-            self.units = {u: known[u] for u in here}
-            self.units_size = sum(map(len, here)) * 3 + len(here) * ENTRY
-            if self.units_size > self.cache_bytes:
-                self.units, self.units_size = {}, 0
+        out = [b"".join(map(word, split[u])) for u in units]
         if self.words_size > self.cache_bytes:
-            self.words, self.words_size = {}, 0
+            self._forget_words()
         return out
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def _codes(self, units: pa.Array) -> np.ndarray:
+        codes = pc.index_in(units, value_set=self.units)
+        if codes.null_count:
+            new = units.filter(codes.is_null())
+            ids = self._units([u.decode("utf-8", "surrogatepass") for u in new.to_pylist()])
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // int(self.width[-1])
+            self.first = np.append(self.first, len(self.store) + np.cumsum(size) - size)
+            self.size, self.store = np.append(self.size, size), np.append(self.store, np.frombuffer(b"".join(ids), self.width))
+            self.units = pa.concat_arrays([self.units, new])
+            codes = pc.index_in(units, value_set=self.units)
+        return codes.to_numpy()
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, of self.width, and where each text ends."""
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        blank = _BLANK[flat]
+        cuts = np.flatnonzero((flat[1:-1] == 32) & ~blank[:-2] & ~blank[2:]) + 1
+        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
+        if odd:  # no cuts within
+            cuts = cuts[~np.isin(np.searchsorted(ends, cuts, side="right"), odd)]
+        bounds = distinct(np.concatenate(([0], cuts, ends)))
+        units = binary(bounds, flat.tobytes()).dictionary_encode()
+        codes = self._codes(units.dictionary)[units.indices.to_numpy()]
+        ids, cut = gather(self.store, self.first, self.size, codes)
+        out = ids, np.append(0, cut)[np.searchsorted(bounds, ends)]
+        if self.units.nbytes + self.store.nbytes + 16 * len(self.size) > self.cache_bytes:
+            self.forget()
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text, of self.width."""
+        ids, ends = self.encode_flat(texts)
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+
+    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids, and where those of each id end."""
+        return gather(self.token_bytes, self.token_first, self.token_size, ids.astype(np.int64))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.decode_flat(np.asarray(ids))[0].tobytes()
 
 
 _coders: dict[str, MergeReplay] = {}
@@ -252,7 +285,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", key: s
     def run(batches):
         with _coder(path) as coder:
             for batch in batches:
-                out = [coder.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(ids).to_pylist()]
+                out = [coder.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.binary())], [key, "text"])
 
     return encoded.select(key, ids).mapInArrow(run, encoded.select(key).schema.add("text", "binary"))
@@ -266,12 +299,12 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         with _coder(path) as coder:
             for batch in batches:
                 for part, texts in _slices(batch, "text", SLICE):
-                    n, a, b = [], [], []
-                    for x in coder.encode_batch(texts):
-                        ids = np.frombuffer(x, coder.width)
-                        n.append(len(ids))
-                        a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                        b.append(hashlib.sha256(coder.decode(ids.tolist())).hexdigest())
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    ids, ends = coder.encode_flat(texts)
+                    back, token_ends = coder.decode_flat(ids)
+                    wide, byte_ends = memoryview(ids.astype("<u4")).cast("B"), np.append(0, token_ends)[ends].tolist()
+                    back, id_ends = memoryview(back), (ends * 4).tolist()
+                    columns = [part.column("doc_id"), pa.array(np.diff(ends, prepend=0))]
+                    columns += [pa.array([hashlib.sha256(data[i:j]).hexdigest() for i, j in zip([0, *cuts], cuts, strict=False)], pa.string()) for data, cuts in ((wide, id_ends), (back, byte_ends))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, SCHEMA)

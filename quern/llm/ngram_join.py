@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import mark, materialize, size_partitions, small, without
+from quern.llm.words import distinct
 
 #: What near-duplicate stages take by default; a contract may ask for others.
 WIDTH = 5
@@ -84,7 +85,7 @@ def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     x = h[:n].copy()
     for i in range(1, width):
         x = x * _A + h[i : n + i] * _B + _C
-    return np.unique(_mix(x))
+    return distinct(_mix(x))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -129,7 +130,7 @@ def signatures(zone: np.ndarray, n: int, frequent: np.ndarray, percent: int = PE
     often = np.zeros(len(zone), bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] == zone
     p = prefix_length(often, n, percent)
     following = np.append(zone[1:], np.uint64(0))[:p]  # 0 ends a set
-    return np.unique(np.where(often[:p], _mix(zone[:p] * _A + following * _B + _C), zone[:p]))
+    return distinct(np.where(often[:p], _mix(zone[:p] * _A + following * _B + _C), zone[:p]))
 
 
 def parity(x: np.ndarray) -> np.ndarray:

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import materialize, scratch_path, size_partitions, trim_memory
+from quern.llm.words import binary, gather, parts
 
 SCALE = 20
 LOW = 1 << 31
@@ -58,25 +59,6 @@ _STRETCH = np.dtype([("first", "<u8"), ("words", "<u8"), ("words_crc", "<u4"), (
 BLOCK_SCHEMA = "part int, block int, start long, n_tokens long, doc_ids array<long>, lens array<long>"
 
 
-def _binary(offsets: np.ndarray, data: bytes | np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
-
-
-def _parts(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of an array without nulls, from 0 on."""
-    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
-    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
-
-
-def _gather(store: np.ndarray, first: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces of store that codes name, one after the other, and where each ends."""
-    lens = size[codes]
-    ends = np.cumsum(lens)
-    total = int(ends[-1]) if len(ends) else 0
-    return store[np.repeat(first[codes] - (ends - lens), lens) + np.arange(total)], ends
-
-
 class WordEncoder:
     """The tokenizers library with a table of the words met so far.
 
@@ -123,7 +105,7 @@ class WordEncoder:
         for some, alone in ((words.filter(pa.array(plain)), False), (words.filter(pa.array(~plain)), True)):
             if not len(some):
                 continue
-            offsets, data = _parts(some)
+            offsets, data = parts(some)
             cuts = offsets if alone else np.append(offsets[:-1:200], offsets[-1])
             data = data.tobytes()
             ids = self._library([data[a : b - 1].decode() for a, b in zip(cuts, cuts[1:], strict=False)])
@@ -146,7 +128,7 @@ class WordEncoder:
 
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words (distinct, each with its blank) one after the other, and where each ends."""
-        offsets, data = _parts(words)
+        offsets, data = parts(words)
         strange = self.OTHER[data]
         lead = np.flatnonzero(data[:-1] == 0xC3)
         strange[lead[(data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7)]] = True
@@ -156,7 +138,7 @@ class WordEncoder:
         left = np.ones(len(data), bool)
         left[offsets[1:][marked] - 2] = False
         shorter = offsets - np.append(0, np.cumsum(marked))
-        bases = _binary(shorter, data[left].tobytes()).dictionary_encode()
+        bases = binary(shorter, data[left].tobytes()).dictionary_encode()
         of = bases.indices.to_numpy()
         plain = np.zeros(len(bases.dictionary), bool)
         plain[of] = n - marked == 0
@@ -166,7 +148,7 @@ class WordEncoder:
         both = np.empty(ends[-1] if len(ends) else 0, np.int64)
         both[ends - 1 - marked] = codes
         both[ends[marked] - 1] = self.mark_code[last[marked]]
-        flat, cut = _gather(self.store, self.first, self.size, both)
+        flat, cut = gather(self.store, self.first, self.size, both)
         return flat, cut[ends - 1]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -177,10 +159,10 @@ class WordEncoder:
         # a word ends with its blank; a text ends with one
         joined = b" ".join([*data, b""])
         bounds = np.append(0, np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) + 1)
-        words = _binary(bounds, joined).dictionary_encode()
+        words = binary(bounds, joined).dictionary_encode()
         store, ends = self._distinct(words.dictionary)
         size = np.diff(ends, prepend=0)
-        out, ends = _gather(store, ends - size, size, words.indices.to_numpy())
+        out, ends = gather(store, ends - size, size, words.indices.to_numpy())
         # the place of each text's last word
         last = np.searchsorted(bounds, np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) + 1)) - 1
         cuts = [0, *(ends[last] * 2).tolist()]
