@@ -29,15 +29,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from quern.llm.common import trim_memory
+from quern.llm.common import lean_memory
 from quern.llm.words import binary, distinct, gather
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Bytes of encoded units that a task keeps, and of words (with what an entry takes besides its characters).
-CACHE_BYTES = 48_000_000
+CACHE_BYTES = 40_000_000
 ENTRY = 200
 #: Bytes of text that go through together.
-SLICE = 6_000_000
+SLICE = 3_000_000
 #: White space beyond ASCII, and the separators of ASCII: texts with it go through the pattern as a whole.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BLANK = np.zeros(256, bool)
@@ -241,15 +241,15 @@ _coders: dict[str, MergeReplay] = {}
 @contextlib.contextmanager
 def _coder(path: str) -> Iterator[MergeReplay]:
     """The coder of this worker. Its tables (one row a rank) stay; the words it learns go when the task ends."""
-    if path not in _coders:
-        _coders.clear()
-        _coders[path] = MergeReplay.from_file(path)
-    coder = _coders[path]
-    try:
-        yield coder
-    finally:
-        coder.forget()
-        trim_memory()
+    with lean_memory():
+        if path not in _coders:
+            _coders.clear()
+            _coders[path] = MergeReplay.from_file(path)
+        coder = _coders[path]
+        try:
+            yield coder
+        finally:
+            coder.forget()
 
 
 def _slices(batch: pa.RecordBatch, column: str, chars: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

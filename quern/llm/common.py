@@ -9,8 +9,9 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,11 +120,34 @@ def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
     return left.join(twice, on(repeated), "left_anti").unionByName(once).select(*names)
 
 
-def trim_memory() -> None:
-    """Gives freed memory of this Python worker back to the system: workers outlive their tasks."""
-    gc.collect()
+@contextlib.contextmanager
+def lean_memory() -> Iterator[None]:
+    """For a task of a Python worker: large arrays are freed to the system at once, and at the end all that is unused is,
+    as workers outlive their tasks and share an executor's memory with other operators' workers."""
+    libc = None
     with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError):
+            libc.malloc_trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, for mapInArrow, within lean_memory()."""
+
+    def lean_run(batches: Batches) -> Batches:
+        with lean_memory():
+            yield from run(batches)
+
+    return lean_run
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -21,14 +21,15 @@ their names. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE, mark, materialize, size_partitions, without
+from quern.llm.common import SPACE, Batches, lean, mark, materialize, size_partitions, without
 
 #: Runs that one merge takes.
 FAN = 16
@@ -107,7 +108,33 @@ def first_runs(rows: DataFrame, bits: int) -> DataFrame:
         if held:
             yield _slices(number, merge(held), bits)
 
-    return rows.select("doc_id", "mark", "digest", "norm_len", "n_points").mapInArrow(run, RUN_SCHEMA)
+    return rows.select("doc_id", "mark", "digest", "norm_len", "n_points").mapInArrow(lean(run), RUN_SCHEMA)
+
+
+def _survivors(_: int, x: np.ndarray) -> pa.RecordBatch:
+    """The last run as rows."""
+    data = x["d"].astype(">u8").tobytes()
+    digests = [data[i : i + 32] for i in range(0, len(data), 32)]
+    columns = [pa.array(digests, pa.binary()), pa.array(x["norm_len"]), pa.array(x["doc_id"], mask=x["null"] == 1), pa.array(x["mark"]), pa.array(x["n"])]
+    return pa.RecordBatch.from_arrays(columns, ["digest", "norm_len", "keep_id", "keep_mark", "n"])
+
+
+def _merging(give: Callable[[int, np.ndarray], pa.RecordBatch]) -> Callable[[Batches], Batches]:
+    """Merges the records of each (run, slice), which come one after the other."""
+
+    def run(batches: Batches) -> Batches:
+        key, held = None, []
+        for b in batches:
+            for number, piece, records in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and (number, piece) != key:
+                    yield give(key[0], merge(held))
+                    held = []
+                key = number, piece
+                held.append(np.frombuffer(records, RECORD))
+        if held:
+            yield give(key[0], merge(held))
+
+    return run
 
 
 def tree_merge(spark: SparkSession, rows: DataFrame, n_rows: int, fan: int = FAN) -> DataFrame:
@@ -124,35 +151,13 @@ def tree_merge(spark: SparkSession, rows: DataFrame, n_rows: int, fan: int = FAN
     while True:
         narrower = bits_for(-(-left // fan)) if left > 1 else bits
 
-        def run(batches: Iterator[pa.RecordBatch], bits: int = narrower) -> Iterator[pa.RecordBatch]:
-            key, held = None, []
-            for b in batches:
-                for number, piece, records in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if held and (number, piece) != key:
-                        yield _slices(key[0], merge(held), bits)
-                        held = []
-                    key = number, piece
-                    held.append(np.frombuffer(records, RECORD))
-            if held:
-                yield _slices(key[0], merge(held), bits)
-
         runs = runs.select(F.floor(F.col("run") / fan).alias("run"), "slice", "records")
-        runs = runs.repartition(parts, "run", "slice").sortWithinPartitions("run", "slice").mapInArrow(run, RUN_SCHEMA)
+        runs = runs.repartition(parts, "run", "slice").sortWithinPartitions("run", "slice")
         if left == 1:
-            break
+            return runs.mapInArrow(lean(_merging(_survivors)), "digest binary, norm_len long, keep_id long, keep_mark long, n long")
+        runs = runs.mapInArrow(lean(_merging(partial(_slices, bits=narrower))), RUN_SCHEMA)
         left, bits = -(-left // fan), narrower
 
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for records in b.column(0).to_pylist():
-                x = np.frombuffer(records, RECORD)
-                data = x["d"].astype(">u8").tobytes()
-                digests = [data[i : i + 32] for i in range(0, len(data), 32)]
-                columns = [pa.array(digests, pa.binary()), pa.array(x["norm_len"]), pa.array(x["doc_id"], mask=x["null"] == 1), pa.array(x["mark"]), pa.array(x["n"])]
-                yield pa.RecordBatch.from_arrays(columns, ["digest", "norm_len", "keep_id", "keep_mark", "n"])
-
-    return runs.select("records").mapInArrow(last, "digest binary, norm_len long, keep_id long, keep_mark long, n long")
-
 
 def decided(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per row: doc_id, mark, digest, keep_id, keep_mark, group_size."""

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import mark, materialize, size_partitions, small, without
+from quern.llm.common import lean, mark, materialize, size_partitions, small, without
 from quern.llm.words import distinct
 
 #: What near-duplicate stages take by default; a contract may ask for others.
@@ -181,7 +181,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 bits.append(parity(x).tobytes() if new else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), b.column(2), pa.array(zones, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "mark", "node", "n", "place", "zone", "bits"])
 
-    return rows.mapInArrow(run, "doc_id long, mark long, node long, n long, place long, zone binary, bits binary")
+    return rows.mapInArrow(lean(run), "doc_id long, mark long, node long, n long, place long, zone binary, bits binary")
 
 
 def _nodes(spark: SparkSession, sets: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def _frequent_tokens(nodes: DataFrame, percent: int) -> np.ndarray:
     own = nodes.select("zone", "n")
     total = own.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1).alias("t")).first().t or 0
     least = max(FREQUENT, int(total) // FREQUENT_TOKENS + 1)
-    often = own.mapInArrow(count, "t long, k long").groupBy("t").agg(F.sum("k").alias("k")).filter(F.col("k") >= least).select("t")
+    often = own.mapInArrow(lean(count), "t long, k long").groupBy("t").agg(F.sum("k").alias("k")).filter(F.col("k") >= least).select("t")
     return np.sort(often.toArrow()["t"].to_numpy().view(np.uint64))
 
 
@@ -222,7 +222,7 @@ def _postings(nodes: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view("<i8")), pa.array(np.repeat(names, k)), pa.array(np.repeat(sizes, k))], ["sig", "node", "n"])
 
-    return nodes.select("zone", "node", "n").mapInArrow(run, "sig long, node long, n long")
+    return nodes.select("zone", "node", "n").mapInArrow(lean(run), "sig long, node long, n long")
 
 
 def _buckets(spark: SparkSession, postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -273,7 +273,7 @@ def _by_bitmap(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(d <= allowed(p.column(2).to_numpy(), p.column(3).to_numpy(), percent))
             yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], ["a", "b"]).filter(keep)
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
@@ -304,7 +304,7 @@ def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, sets: Data
             yield pa.RecordBatch.from_arrays([p.column(0), p.column(2)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     # rows repeated under one doc_id and text give a pair more than once
-    return materialize(spark, rows.select("hub", "role", "node", "text").mapInArrow(run, "a long, b long").distinct(), "links")
+    return materialize(spark, rows.select("hub", "role", "node", "text").mapInArrow(lean(run), "a long, b long").distinct(), "links")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -424,7 +424,7 @@ def _across(spark: SparkSession, mixed: DataFrame, nodes: DataFrame, percent: in
                 rows.append(r)
         yield from close()
 
-    return own.mapInArrow(run, "a long, b long, ca long, cb long, d long").groupBy("a", "b", "ca", "cb").agg(F.min("d").alias("d"))
+    return own.mapInArrow(lean(run), "a long, b long, ca long, cb long, d long").groupBy("a", "b", "ca", "cb").agg(F.min("d").alias("d"))
 
 
 def join(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

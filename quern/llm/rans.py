@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, scratch_path, size_partitions, trim_memory
+from quern.llm.common import lean_memory, materialize, scratch_path, size_partitions
 from quern.llm.words import binary, gather, parts
 
 SCALE = 20
@@ -181,15 +181,15 @@ _encoders: dict[str, WordEncoder] = {}
 @contextlib.contextmanager
 def _encoder(path: str) -> Iterator[WordEncoder]:
     """The encoder of this worker. The library's vocabulary stays; the words it learns go when the task ends."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = WordEncoder(path)
-    encoder = _encoders[path]
-    try:
-        yield encoder
-    finally:
-        encoder.forget()
-        trim_memory()
+    with lean_memory():
+        if path not in _encoders:
+            _encoders.clear()
+            _encoders[path] = WordEncoder(path)
+        encoder = _encoders[path]
+        try:
+            yield encoder
+        finally:
+            encoder.forget()
 
 
 class Table:

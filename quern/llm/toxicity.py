@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fold, trim_memory
+from quern.llm.common import fold, lean_memory
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 8000
@@ -197,13 +197,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
+        with lean_memory():
             for b in batches:
                 s = [model.score("" if t is None else t) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
-        finally:
             model.forget()
-            trim_memory()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -219,11 +217,9 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int
 
     @F.pandas_udf("double")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
+        with lean_memory():
             for texts in batches:
                 yield texts.map(lambda t: model.score("" if t is None else t))
-        finally:
             model.forget()
-            trim_memory()
 
     return docs.filter(toxic(docs["text"].cast("string")) < threshold)
