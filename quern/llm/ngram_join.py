@@ -9,7 +9,7 @@ easily, as a differing token may touch two of them, so prefixes that hold freque
 signature must survive (see prefix_length).
 
 Pairs that share a signature are checked by size, then by parity bitmaps (each differing token flips one bit, so more
-flipped bits than differences allowed exclude a pair; there are as many bits as tokens at least), then verified on the
+flipped bits than differences allowed exclude a pair; there are BITS times as many bits as tokens), then verified on the
 texts. Only links between what isn't yet connected matter, in three rounds:
 
 1. in each signature's bucket, by bands of size, the node that meets most others is a hub; each node is verified
@@ -61,6 +61,8 @@ SKETCH_ITEMS = 10_000
 BLOCK = 2000
 #: Other components to which a row of a cell names its nearest node at once.
 NEAREST = 8
+#: Bits of a bitmap for each token of its set, at least. In the first comparison of a bucket's rows a quarter is used.
+BITS = 4
 #: Nodes that are verified against one copy of their hub's text.
 CROWD = 500
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -134,10 +136,10 @@ def signatures(zone: np.ndarray, n: int, frequent: np.ndarray, percent: int = PE
 
 
 def parity(x: np.ndarray) -> np.ndarray:
-    """Bitmap in which each token flips a bit; at least as many bits as tokens, 64 to 65536, so that few differing tokens
-    meet in a bit and cancel out, and unrelated sets differ in more bits than are allowed."""
+    """Bitmap in which each token flips a bit; at least BITS for each token, 64 to 262144, so that few differing tokens
+    meet in a bit and cancel out, and sets that aren't similar differ in more bits than are allowed."""
     bits = 64
-    while bits < len(x) and bits < 65536:
+    while bits < BITS * len(x) and bits < 262144:
         bits *= 2
     odd = np.bincount((x >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
@@ -161,13 +163,14 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, mark, node, n, place, zone, bits) of each row; zone and bits are left out where the task has met the node."""
+    """(doc_id, mark, node, n, place, zone, bits, short) of each row; the last three are left out where the task has met the
+    node. short is bits folded to a quarter, 512 bits or more."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), mark(docs).alias("mark"), F.monotonically_increasing_id().alias("place"), docs["text"].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for b in batches:
-            nodes, sizes, zones, bits = [], [], [], []
+            nodes, sizes, zones, bits, shorts = [], [], [], [], []
             for t in _texts(b.column(3)):
                 x = shingle_set(t, width)
                 node = xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63)
@@ -178,18 +181,21 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 nodes.append(node)
                 sizes.append(len(x))
                 zones.append(x[: zone_length(len(x), percent)].tobytes() if new else None)
-                bits.append(parity(x).tobytes() if new else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), b.column(2), pa.array(zones, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "mark", "node", "n", "place", "zone", "bits"])
+                full = parity(x) if new else None
+                bits.append(full.tobytes() if new else None)
+                shorts.append(fold(full, max(8, len(full) // 4)).tobytes() if new else None)
+            columns = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), b.column(2), *(pa.array(c, pa.binary()) for c in (zones, bits, shorts))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "node", "n", "place", "zone", "bits", "short"])
 
-    return rows.mapInArrow(lean(run), "doc_id long, mark long, node long, n long, place long, zone binary, bits binary")
+    return rows.mapInArrow(lean(run), "doc_id long, mark long, node long, n long, place long, zone binary, bits binary, short binary")
 
 
 def _nodes(spark: SparkSession, sets: DataFrame) -> DataFrame:
-    """(node, n, zone, bits), each node once. Only the places of those that several tasks met are compared."""
+    """(node, n, zone, bits, short), each node once. Only the places of those that several tasks met are compared."""
     own = sets.filter("zone is not null")
     first = own.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("k")).filter("k > 1")
     again = own.select("node", "place").join(first, "node").filter("place <> first").select("place")
-    return own.join(small(materialize(spark, again, "again")), "place", "left_anti").select("node", "n", "zone", "bits")
+    return own.join(small(materialize(spark, again, "again")), "place", "left_anti").select("node", "n", "zone", "bits", "short")
 
 
 def _frequent_tokens(nodes: DataFrame, percent: int) -> np.ndarray:
@@ -351,7 +357,7 @@ def _cells(spark: SparkSession, mixed: DataFrame, percent: int) -> DataFrame:
 
 def _cell_pairs(rows: list[tuple], percent: int, most: int | None) -> Iterator[list[np.ndarray]]:
     """[a, b, ca, cb, d] of the pairs of a cell, whose rows are in order of size. With most only the nearest of each other
-    component for each row, so many of the nearest; if there are more, (sig, sig, 0, 0, -1) is given once for the cell."""
+    component for each row, so many of the nearest, and of those one pair for each two components; if there are more, (sig, sig, 0, 0, -1) is given once for the cell."""
     i, j = rows[0][2], rows[0][3]
     side, guest = np.array([r[4] for r in rows]), np.array([r[5] for r in rows], bool)
     node, n, lab = (np.array([r[k] for r in rows]) for k in (6, 7, 8))
@@ -365,6 +371,11 @@ def _cell_pairs(rows: list[tuple], percent: int, most: int | None) -> Iterator[l
         x, y, d = (np.concatenate(c) for c in zip(*out, strict=True))
         turned = node[x] > node[y]
         a, b = np.where(turned, y, x), np.where(turned, x, y)
+        if most is not None:  # one pair for each pair of components
+            low, high = np.minimum(lab[a], lab[b]), np.maximum(lab[a], lab[b])
+            order = np.lexsort((d, high, low))
+            order = order[np.append(True, (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0))]
+            a, b, d = a[order], b[order], d[order]
         return [node[a], node[b], lab[a], lab[b], d]
 
     for k in range(len(rows)):
@@ -404,7 +415,7 @@ def _cell_pairs(rows: list[tuple], percent: int, most: int | None) -> Iterator[l
 def _across(spark: SparkSession, mixed: DataFrame, nodes: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Distinct pairs (a, b, ca, cb, d) of nodes of different components that share a bucket and pass size and bitmap;
     with most also (sig, sig, 0, 0, -1) of the buckets that have more."""
-    own = _cells(spark, mixed, percent).join(nodes.select("node", "bits"), "node").select("sig", "band", "i", "j", "side", "guest", "node", "n", "lab", "bits")
+    own = _cells(spark, mixed, percent).join(nodes.select("node", F.col("bits" if most is None else "short").alias("bits")), "node").select("sig", "band", "i", "j", "side", "guest", "node", "n", "lab", "bits")
     key = ["sig", "band", "i", "j"]
     own = own.repartition(size_partitions(spark), *key).sortWithinPartitions(*key, "n", "node")
 
