@@ -10,11 +10,15 @@ place. The masks are lossless: a window has more stretches than its substitution
 13 - 5 + 1 = 9 stretches of weight 4, of which two substitutions touch 8 at most. Items shorter than a window are
 held to the stretches they have.
 
-The benchmark side is broadcast while its hashes number BROADCAST_SEEDS at most, so that documents never shuffle and
-common passages make no hot key; beyond that, hashes meet in a shuffled join and hits fetch their texts.
-
-Edge cases: null text or fewer tokens than a mask: no overlap. Null and repeated items are harmless. Rows may
-repeat; each gets its own result. An empty benchmark flags nothing. Other columns are ignored.
+Texts are cut into pieces of PIECE tokens that overlap by what a window around a hit needs, so a hit carries a piece
+and never a whole text. The benchmark side is broadcast while its hashes number BROADCAST_SEEDS at most, so that
+documents never shuffle and common passages make no hot key; beyond that, hashes meet in a shuffled join and hits
+fetch their pieces.
+
+Edge cases: null text or fewer tokens than a mask: no overlap. Items of fewer than SHORTEST tokens never flag anything.
+Very long texts are cut as any other, in linear time. Null and repeated items are harmless. Rows may repeat; each gets
+its own result. An empty table gives no rows, an empty benchmark flags nothing. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,15 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE, ascii_lower, materialize
+from quern.llm.common import SPACE, ascii_lower, mark, materialize, without
 
 MASKS = ("11011",)
 WINDOW = 13
 SUBSTITUTIONS = 2
 SHORTEST = 6
 BROADCAST_SEEDS = 200_000
-#: Flagged rows up to which the filter broadcasts them.
-BROADCAST_FLAGS = 500_000
+#: Tokens whose stretches a piece of a text is for.
+PIECE = 256
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -46,6 +50,14 @@ def _stretches(words: Column, mask: str) -> Column:
     return F.arrays_zip(*(F.slice(words, F.lit(i + 1), n).alias(f"t{i}") for i in picked)) if len(picked) > 1 else F.transform(F.slice(words, F.lit(1), n), lambda x: F.struct(x.alias("t0")))
 
 
+def _pieces(rows: DataFrame, window: int, span: int) -> DataFrame:
+    """(doc_id, mark, piece, w): a piece begins a window before its first own token, and goes on for a window and a
+    mask after its last."""
+    last = F.greatest(F.ceil(F.size("w") / PIECE).cast("int") - 1, F.lit(0))
+    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("w", F.greatest(k * PIECE - window, F.lit(0)) + 1, PIECE + 2 * window + span))
+    return rows.select("doc_id", "mark", F.posexplode(cut).alias("piece", "w"))
+
+
 def _seeds(rows: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
     """(keep..., pos, h) for each mask and stretch of rows' column w."""
     out = None
@@ -75,20 +87,16 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, masks:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("b")).filter(F.size("b") >= SHORTEST)
     items = materialize(spark, items, "items")
     seeds = _seeds(items.withColumn("w", F.col("b")), masks, "item_id").select("h", "item_id", F.col("pos").alias("bpos"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("mark"), tokens(docs["text"]).alias("w"))
     span = max(map(len, masks))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark(docs).alias("mark"), tokens(docs["text"]).alias("w"))
+    rows = _pieces(rows, window, span)
     if seeds.limit(limit + 1).count() <= limit:
-        hits = None
-        for mask in masks:
-            picked = [f"s.t{i}" for i, c in enumerate(mask) if c == "1"]
-            own = rows.select("doc_id", "mark", "w", F.posexplode(_stretches(F.col("w"), mask)).alias("pos", "s"))
-            own = own.select("doc_id", "mark", "w", "pos", F.xxhash64(F.lit(mask), *picked).alias("h"))
-            hits = own if hits is None else hits.unionByName(own)
-        hits = hits.join(F.broadcast(seeds), "h").join(F.broadcast(items), "item_id")
+        hits = _seeds(rows, masks, "doc_id", "mark", "w").join(F.broadcast(seeds), "h").join(F.broadcast(items), "item_id")
     else:
-        found = _seeds(rows, masks, "doc_id", "mark").join(seeds, "h").drop("h").distinct()
-        hits = found.join(items, "item_id").join(rows.dropDuplicates(["doc_id", "mark"]).withColumnsRenamed({"doc_id": "d", "mark": "m"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
-        hits = hits.drop("d", "m")
+        key = ["doc_id", "mark", "piece"]
+        found = _seeds(rows, masks, *key).join(seeds, "h").drop("h").distinct()
+        pieces = rows.dropDuplicates(key).withColumnsRenamed({c: f"own_{c}" for c in key})
+        hits = found.join(items, "item_id").join(pieces, F.col("doc_id").eqNullSafe(F.col("own_doc_id")) & (F.col("mark") == F.col("own_mark")) & (F.col("piece") == F.col("own_piece")))
     return _verified(hits, window, substitutions, span).select("doc_id", "mark", "item_id").distinct()
 
 
@@ -96,15 +104,13 @@ def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options
     """One row a row of docs: doc_id, contaminated, n_items, item_ids (in order, joined by commas)."""
     found = overlaps(spark, docs, benchmark, **options).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     found = found.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "items")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("mark"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark(docs).alias("mark"))
     out = own.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
     return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("item_ids"))
 
 
 def keep(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs without overlap, with their columns."""
-    found = materialize(spark, overlaps(spark, docs, benchmark, **options).select(F.col("doc_id").alias("__q_d"), F.col("mark").alias("__q_m")).distinct(), "flags")
-    if found.limit(BROADCAST_FLAGS + 1).count() <= BROADCAST_FLAGS:
-        found = F.broadcast(found)
-    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__q_d")) & (mark == F.col("__q_m")), "left_anti")
+    found = overlaps(spark, docs, benchmark, **options).select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct()
+    found = materialize(spark, found, "flags")
+    return without(docs, found, found.limit(0))

@@ -225,6 +225,15 @@ def test_lines_against_brute_force(spark, odd, monkeypatch, min_docs, hot_keys):
     assert Counter(map(tuple, line_dedup.apply(spark, df, min_docs).collect())) == line_brute(rows, min_docs)
 
 
+def test_lines_of_a_very_long_text(spark):
+    long = "\n".join(["same"] * 50_000 + [f"line {i}" for i in range(50_000)])
+    df = spark.createDataFrame([(1, long), (2, "same\nother")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped, len(r.text)) for r in line_dedup.apply(spark, df, 2).collect()}
+    assert got == {1: (100_000, 50_000, len(long) - 5 * 50_000), 2: (2, 1, 5)}
+    plan = line_dedup._lines(df, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64(coalesce(text")
+
+
 def test_first_lines_stay(spark):
     df = spark.createDataFrame([(1, "a\nb\na"), (2, "B\nc"), (2, "B\nc"), (3, "c")], "doc_id long, text string")
     got = sorted((r.doc_id, r.text) for r in line_dedup.apply(spark, df, None).collect())
@@ -516,6 +525,19 @@ def test_overlaps_against_brute_force(spark, limit):
     assert decontaminate.report(spark, df.limit(0), bench, limit=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_overlaps_in_a_very_long_text(spark, limit):
+    seed = "alpha beta gamma delta epsilon"
+    text = " ".join(f"{seed} n{i}" for i in range(100_000))
+    item = " ".join(f"p{k} q{k} {seed}" for k in range(6))
+    whole = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, text), (2, f"{text} {whole}"), (3, " ".join(["x"] * (256 - 5) + [whole] + ["y"] * 600)), (4, " ".join(["x"] * (512 - 12) + [whole.replace("seven", "z")]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, whole)], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.report(spark, df, bench, limit=limit).collect()}
+    assert got == {1: "", 2: "8", 3: "8", 4: "8"}
+
+
 def test_masks_are_lossless():
     from itertools import combinations
 
