@@ -115,15 +115,17 @@ def among(row: tuple[np.ndarray, np.ndarray], names: np.ndarray) -> tuple[np.nda
         return np.zeros(0, np.int64), np.zeros(0)
     at = np.minimum(np.searchsorted(names, x), len(names) - 1)
     there = names[at] == x
-    return at[there], v[there]
+    return at[there].astype(np.int32), v[there].astype(np.float32)
 
 
 def fit(names: np.ndarray, positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float, rounds: int = 300, l2: float = 2e-4) -> Model:
     """Non-negative risk with logistic loss, minimised by Adam over whole batches. Documents hold places in names."""
     if not positive or not unlabelled or not prior:
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
+    # four bytes a number: this is what the driver holds
     both = [*positive, *unlabelled]
-    where, value = np.concatenate([x for x, _ in both]), np.concatenate([v for _, v in both])
+    where, value = np.concatenate([x for x, _ in both]).astype(np.int32), np.concatenate([v for _, v in both]).astype(np.float32)
+    sizes = np.array([len(x) for x, _ in both])
     cut = sum(len(x) for x, _ in positive)
     side = lambda weights, part: np.bincount(where[part], weights[part], len(names))
     in_p, in_u = slice(0, cut), slice(cut, None)
@@ -133,11 +135,12 @@ def fit(names: np.ndarray, positive: list[tuple[np.ndarray, np.ndarray]], unlabe
     # evidence for the positive class: the negative one is what is left
     kept = np.flatnonzero(mean_p > 2 * mean_u)
     kept = np.sort(kept[np.argsort(-z[kept], kind="stable")[:MAX_FEATURES]])
-    column = np.full(len(names), -1)
+    column = np.full(len(names), -1, np.int32)
     column[kept] = np.arange(len(kept))
-    sizes = np.array([len(x) for x, _ in both])
-    row, col = np.repeat(np.arange(len(sizes)), sizes), column[where]
-    row, col, value = row[col >= 0], col[col >= 0], value[col >= 0]
+    col = column[where]
+    there = col >= 0
+    row, col, value = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[there], col[there], value[there]
+    del where, both, there
     n_p, n = len(positive), len(sizes)
     w, b = np.zeros(len(kept)), -1.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -175,9 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int | None = 5, held_out: i
         pool = pool.filter(fold(F.col("id"), folds) != held_out)
     pool = pool.distinct().orderBy(order, "id").limit(MAX_UNLABELLED)
     # both samples are of a fixed number of rows; of the unlabelled only features that positives have come here
-    positive = _gather(texts, toxic, None)
-    names = candidates(positive)
-    return fit(names, [among(r, names) for r in positive], _gather(texts, pool, names), float(stats.prior or 0))
+    with lean_memory():
+        positive = _gather(texts, toxic, None)
+        names = candidates(positive)
+        positive = [among(r, names) for r in positive]
+        return fit(names, positive, _gather(texts, pool, names), float(stats.prior or 0))
 
 
 def _gather(texts: DataFrame, ids: DataFrame, names: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -190,7 +195,7 @@ def _gather(texts: DataFrame, ids: DataFrame, names: np.ndarray | None) -> list[
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in enumerate(("<u4", "<f4")))], ["id", "x", "v"])
 
     got = texts.join(F.broadcast(ids), "id").mapInArrow(run, "id long, x binary, v binary").dropDuplicates(["id"]).toArrow().sort_by("id")
-    return [(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64), np.frombuffer(v.as_buffer(), "<f4").astype(float)) for x, v in zip(got["x"], got["v"], strict=True)]
+    return [(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(v.as_buffer(), "<f4")) for x, v in zip(got["x"], got["v"], strict=True)]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
