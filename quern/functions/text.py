@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}]+"
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 
+#: White space that trimming takes off, line ends included.
+WHITE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 
 def collapse(text: Column) -> Column:
     """Runs of white space of any script as one blank, none at the ends."""
@@ -103,7 +106,7 @@ def context_prefix(**fields: Column) -> Column:
 
 def clean_markdown(text: Column) -> Column:
     """Line feeds only, at most two blank lines in a row, none at the ends."""
-    return F.trim(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n{4,}", "\n\n\n"))
+    return F.btrim(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n{4,}", "\n\n\n"), F.lit(WHITE))
 
 
 def term_score(text: Column, terms: Column) -> Column:

@@ -65,6 +65,10 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def count_tokens(text: str, path: str, pattern: str) -> int:
+    return len(_encoding(path, pattern).encode_ordinary(text))
+
+
 def truncate_tokens(text: str, most: int, path: str, pattern: str) -> str:
     e = _encoding(path, pattern)
     return e.decode(e.encode_ordinary(text)[:most], errors="ignore")

@@ -78,20 +78,39 @@ def contained_duplicates(hits: DataFrame) -> DataFrame:
     return hits.join(other, (F.col("qid") == F.col("q")) & (F.col("location") == F.col("l")) & F.contains("c", F.col("content")) & longer, "left_anti")
 
 
+# How questions name places.
+PAGE = r"(?i)第\s*(\d+)\s*页|page\s*(\d+)"
+SLIDE = r"(?i)第\s*(\d+)\s*(?:张|页)?\s*幻灯片|slide\s*(\d+)"
+SECTION = r"""(?iu)(?:章节|小节|标题|section)\s*[:：]?\s*[“"'《]?([^”"'》,，。?？]{1,80})"""
+CELLS = r"(?iu)(?<![\p{L}\p{N}_])(?:(?:'([^']+)'|([\p{L}\p{N}_-]+))!)?\$?([A-Z]{1,3})\$?(\d+)(?:\s*(?::|到|-)\s*\$?([A-Z]{1,3})\$?(\d+))?(?![\p{L}\p{N}_])"
+
+
+def _number(question: Column, pattern: str) -> Column:
+    """The first group that took part, as a number above 0; null without one."""
+    found = F.coalesce(*(F.nullif(F.regexp_extract(question, pattern, i), F.lit("")) for i in (1, 2))).try_cast("int")
+    return F.when(found > 0, found)
+
+
 def page_of(question: Column) -> Column:
-    return F.nullif(F.regexp_extract(question, r"(?i)(?:page|p\.|第)\s*(\d+)\s*(?:页|$|\D)", 1), F.lit("")).cast("int")
+    return _number(question, PAGE)
 
 
 def slide_of(question: Column) -> Column:
-    return F.nullif(F.regexp_extract(question, r"(?i)(?:slide|幻灯片)\s*(\d+)", 1), F.lit("")).cast("int")
+    return _number(question, SLIDE)
+
+
+def section_of(question: Column) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(question, SECTION, 1)), F.lit(""))
 
 
 def cells_of(question: Column) -> Column:
-    """(letters, row, letters, row) of the first A1 range; null without one."""
-    pattern = r"(?:^|[^A-Za-z0-9])([A-Za-z]{1,3})(\d+)(?::([A-Za-z]{1,3})(\d+))?(?:$|[^A-Za-z0-9])"
-    g = [F.regexp_extract(question, pattern, i) for i in range(1, 5)]
-    end = [F.when(g[i] == "", g[i - 2]).otherwise(g[i]) for i in (2, 3)]
-    return F.when(g[0] != "", F.struct(F.upper(g[0]).alias("c1"), g[1].cast("int").alias("r1"), F.upper(end[0]).alias("c2"), end[1].cast("int").alias("r2")))
+    """(sheet, letters, row, letters, row) of the first A1 range, a single cell being a range; null without one."""
+    g = [F.regexp_extract(question, CELLS, i) for i in range(1, 7)]
+    sheet = F.trim(F.when(g[0] != "", g[0]).otherwise(g[1]))
+    end = [F.when(g[i] == "", g[i - 2]).otherwise(g[i]) for i in (4, 5)]
+    rows = [x.try_cast("int") for x in (g[3], end[1])]
+    found = F.struct(F.nullif(sheet, F.lit("")).alias("sheet"), F.upper(g[2]).alias("c1"), rows[0].alias("r1"), F.upper(end[0]).alias("c2"), rows[1].alias("r2"))
+    return F.when((g[2] != "") & rows[0].isNotNull() & rows[1].isNotNull(), found)
 
 
 def ranges_overlap(a: DataFrame, b: DataFrame) -> DataFrame:

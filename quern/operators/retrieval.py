@@ -110,9 +110,9 @@ def lexical_rerank(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, chunk_id, score): weight of the query's distinct terms found in the chunk over the weight of all; terms
     of one letter weigh a quarter."""
     weigh = F.when(F.length("term") == 1, 0.25).otherwise(1.0)
-    terms = queries.select("qid", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term")).withColumn("w", weigh)
+    terms = queries.select("qid", F.explode(F.array_distinct(tokens.tokenize_column("query"))).alias("term")).withColumn("w", weigh)
     whole = terms.groupBy("qid").agg(F.sum("w").alias("whole"))
-    found = candidates.select("qid", "chunk_id", F.explode(F.array_distinct(T.words(F.col("content")))).alias("term")).join(terms, ["qid", "term"]).groupBy("qid", "chunk_id").agg(F.sum("w").alias("part"))
+    found = candidates.select("qid", "chunk_id", F.explode(F.array_distinct(tokens.tokenize_column("content"))).alias("term")).join(terms, ["qid", "term"]).groupBy("qid", "chunk_id").agg(F.sum("w").alias("part"))
     return candidates.select("qid", "chunk_id").join(found, ["qid", "chunk_id"], "left").join(whole, "qid").select("qid", "chunk_id", F.round(F.coalesce("part", F.lit(0.0)) / F.col("whole"), 6).alias("score"))
 
 
@@ -126,26 +126,36 @@ def rerank_candidates(ranked: DataFrame, per_document: int, limit: int) -> DataF
     return out.withColumn("position", F.row_number().over(whole)).filter(F.col("position") <= limit).drop("n")
 
 
-def pack_for_rerank(ranked: DataFrame, per_document: int, limit: int, tokens: int) -> DataFrame:
-    """With a token budget: in rank order, what is selected uses up hash, document and budget; the last text is cut to
-    what is left of it. A query's candidates (500 at most) are one group."""
+def pack_for_rerank(ranked: DataFrame, per_document: int, limit: int, most: int, path: str, pattern: str) -> DataFrame:
+    """(qid, chunk_id, position, tokens, cut): with a budget of BPE tokens. In rank order, title, context and content of
+    what is selected use up hash, document and budget, each with 4 tokens of framing; the query counts first, and a
+    text is cut to what is left. path and pattern: the vocabulary's rank file.
+
+    The rule is sequential, so a query's candidates are one group: the window of a recall, not a table of any size.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, docs, left, out = set(), {}, tokens, []
+        count = lambda text: tokens.count_tokens(text, path, pattern)
+        seen, docs, out, used = set(), Counter(), [], None
         for r in pdf.sort_values("rank").itertuples():
-            if len(out) >= limit or left <= 0:
-                break
-            if r.content_hash in seen or docs.get(r.document_id, 0) >= per_document:
+            used = count(r.query or "") if used is None else used
+            if len(out) >= limit:
+                break  # nothing after it is taken
+            if (r.content_hash and r.content_hash in seen) or docs[r.document_id] >= per_document:
+                continue
+            left = most - used - 4
+            whole = "\n".join(x for x in (r.title, r.context, r.content) if x)
+            text = "" if left <= 0 else whole if count(whole) <= left else tokens.truncate_tokens(whole, left, path, pattern)
+            if not text:
                 continue
-            words = r.content.split()
-            take = min(len(words), left)
-            out.append((r.qid, r.chunk_id, len(out) + 1, take, take < len(words)))
+            size = count(text)
+            out.append((r.qid, r.chunk_id, len(out) + 1, size, text != whole))
+            used += size + 4
             seen.add(r.content_hash)
-            docs[r.document_id] = docs.get(r.document_id, 0) + 1
-            left -= take
+            docs[r.document_id] += 1
         return pd.DataFrame(out, columns=["qid", "chunk_id", "position", "tokens", "cut"])
 
-    return ranked.groupBy("qid").applyInPandas(run, "qid long, chunk_id string, position int, tokens int, cut boolean")
+    return ranked.select("qid", "query", "title", "context", "chunk_id", "document_id", "content", "content_hash", "rank").groupBy("qid").applyInPandas(run, "qid long, chunk_id string, position int, tokens int, cut boolean")
 
 
 def exact_duplicates(candidates: DataFrame) -> DataFrame:

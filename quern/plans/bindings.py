@@ -129,8 +129,8 @@ VECTOR_CHUNKS = """vector_chunks AS (SELECT vec_id AS chunk_id, vec_id // 5 AS d
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, query): the first eight words of ten benchmark items: a stated query set."""
-    return read(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("query"))
+    """(qid, query): the benchmark items whose id is divisible by 50, as whole texts: a stated query set."""
+    return all_text_queries(spark, sf_dir).filter("qid % 50 = 0")
 
 
 def all_text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,19 +138,15 @@ def all_text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-TEXT_QUERIES = r"""text_queries AS (SELECT item_id AS qid, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 8), ' ') AS query FROM benchmark WHERE item_id < 10)"""
+TEXT_QUERIES = "text_queries AS (SELECT item_id AS qid, text AS query FROM benchmark WHERE item_id % 50 = 0)"
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_chunks(spark, sf_dir).filter("chunk_id < 10").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("query_vector"))
-
-
-def all_vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, query_vector): every vector whose id is divisible by 50."""
     return vector_chunks(spark, sf_dir).filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("query_vector"))
 
 
-VECTOR_QUERIES = "vector_queries AS (SELECT chunk_id AS qid, embedding AS query_vector FROM vector_chunks WHERE chunk_id < 10)"
+VECTOR_QUERIES = "vector_queries AS (SELECT chunk_id AS qid, embedding AS query_vector FROM vector_chunks WHERE chunk_id % 50 = 0)"
 
 
 def with_(*parts: str) -> str:

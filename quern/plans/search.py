@@ -62,14 +62,14 @@ def bm25_fields(spark, sf_dir):
 
 @query(B.with_(B.VECTOR_CHUNKS, B.VECTOR_QUERIES, _KNN) + "SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM cosines QUALIFY rank <= 10")
 def knn_topk(spark, sf_dir):
-    return R.nearest(B.vector_chunks(spark, sf_dir), B.vector_queries(spark, sf_dir), 10)
+    return R.nearest_in_blocks(B.vector_chunks(spark, sf_dir), B.vector_queries(spark, sf_dir), 10)
 
 
 @query(B.with_(B.VECTOR_CHUNKS, B.VECTOR_QUERIES, _KNN) + "SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM cosines WHERE list_has_any(principals, ['all', 'label:3']) QUALIFY rank <= 10")
 def knn_topk_acl(spark, sf_dir):
     from quern.operators.access import may_read
 
-    return R.nearest(B.vector_chunks(spark, sf_dir).filter(may_read(F.col("principals"), ["all", "label:3"])), B.vector_queries(spark, sf_dir), 10)
+    return R.nearest_in_blocks(B.vector_chunks(spark, sf_dir).filter(may_read(F.col("principals"), ["all", "label:3"])), B.vector_queries(spark, sf_dir), 10)
 
 
 _CHANNELS = """vector AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM cosines QUALIFY rank <= 20),
@@ -77,9 +77,10 @@ channels AS (SELECT qid, chunk_id, rank, 1.0 AS weight FROM keyword UNION ALL SE
 fused AS (SELECT qid, chunk_id, round(CAST(sum(CAST(weight AS DOUBLE) / (60 + rank)) AS DOUBLE), 9) AS score FROM channels GROUP BY qid, chunk_id)"""
 
 
-def _channels(spark, sf_dir):
-    keyword = R.bm25(_texts(spark, sf_dir), B.text_queries(spark, sf_dir), 20).select("qid", "chunk_id", "rank", F.lit(1.0).alias("weight"))
-    vector = R.nearest(B.vector_chunks(spark, sf_dir), B.vector_queries(spark, sf_dir), 20).select("qid", "chunk_id", "rank", F.lit(1.1).alias("weight"))
+def _channels(spark, sf_dir, texts=None, vectors=None):
+    texts, vectors = texts or _texts(spark, sf_dir), vectors or B.vector_chunks(spark, sf_dir)
+    keyword = R.bm25(texts, B.text_queries(spark, sf_dir), 20).select("qid", "chunk_id", "rank", F.lit(1.0).alias("weight"))
+    vector = R.nearest_in_blocks(vectors, B.vector_queries(spark, sf_dir), 20).select("qid", "chunk_id", "rank", F.lit(1.1).alias("weight"))
     return keyword.unionByName(vector)
 
 
@@ -88,12 +89,24 @@ def rrf_two_channels(spark, sf_dir):
     return R.fuse(_channels(spark, sf_dir), limit=20)
 
 
-@query(B.with_(*_BASE, _CHANNELS) + """SELECT qid, rank, chunk_id, title, space_id, score FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM fused)
+# a reader: a tenant, and principals of which a document must grant one
+_TENANT, _READER = "t1", ["lang:en", "lang:fr", "user:7"]
+_READABLE = "texts AS (SELECT document_id AS chunk_id, document_id, title, coalesce(text, '') AS content, space_id, lang FROM catalog_documents WHERE status = 'published' AND tenant_id = 't1' AND (lang IN ('en', 'fr') OR created_by = 'user:7'))"
+_KNN_READABLE = _KNN.replace("WHERE", "WHERE chunk_id IN (SELECT chunk_id FROM texts) AND")
+
+
+@query(B.with_(B.CATALOG_DOCUMENTS, _READABLE, B.TEXT_QUERIES, _BM25, B.VECTOR_CHUNKS, B.VECTOR_QUERIES, _KNN_READABLE, _CHANNELS) + """SELECT qid, rank, chunk_id, title, space_id, score FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM fused)
 JOIN texts USING (chunk_id) WHERE rank <= 15""")
 def hybrid_search(spark, sf_dir):
-    """Keyword and vector recall, fused by rank, hydrated with what may be read; ids lost in hydration drop out."""
-    fused = R.fuse(_channels(spark, sf_dir), limit=15)
-    return fused.join(_texts(spark, sf_dir).select("chunk_id", "title", "space_id"), "chunk_id").select("qid", "rank", "chunk_id", "title", "space_id", "score")
+    """Keyword and vector recall over what the reader may read, fused by rank, and hydrated under the same check; ids lost
+    in hydration drop out."""
+    from quern.operators.access import visible
+
+    docs = B.catalog_documents(spark, sf_dir).withColumn("principals", F.array(F.concat(F.lit("lang:"), "lang"), F.col("created_by")))
+    texts = visible(docs, _TENANT, _READER).select(F.col("document_id").alias("chunk_id"), "title", F.coalesce("text", F.lit("")).alias("content"), "space_id")
+    vectors = B.vector_chunks(spark, sf_dir).join(texts.select("chunk_id"), "chunk_id", "left_semi")
+    fused = R.fuse(_channels(spark, sf_dir, texts, vectors), limit=15)
+    return fused.join(texts.select("chunk_id", "title", "space_id"), "chunk_id").select("qid", "rank", "chunk_id", "title", "space_id", "score")
 
 
 _VARIANTS = """ranked AS (SELECT label % 4 AS qid, chunk_id, label % 3 AS variant, row_number() OVER (PARTITION BY label ORDER BY chunk_id % 7, chunk_id) AS rank FROM vector_chunks),
@@ -126,20 +139,23 @@ def _ranked_chunks(chunks, qid):
     return own.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("ordinal") % 5, "document_id", "ordinal")))
 
 
-_RANKED = "ranked AS (SELECT *, document_id % 2 AS qid, sha256(lower(content)) AS content_hash, row_number() OVER (PARTITION BY document_id % 2 ORDER BY ordinal % 5, document_id, ordinal) AS rank FROM chunks WHERE document_id < 20)"
+_RANKED = "ranked AS (SELECT *, document_id // 10 AS qid, sha256(lower(content)) AS content_hash, row_number() OVER (PARTITION BY document_id // 10 ORDER BY ordinal % 5, document_id, ordinal) AS rank FROM chunks)"
 
 
 @query(B.with_(B.CHUNKS, _RANKED, "a AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY qid, content_hash ORDER BY rank) = 1)", "b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY qid, document_id ORDER BY rank) <= 3)")
        + "SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS position FROM b QUALIFY position <= 12")
 def rerank_prepare_caps(spark, sf_dir):
-    own = B.chunks(spark, sf_dir).filter("document_id < 20")
-    return R.rerank_candidates(_ranked_chunks(own, F.col("document_id") % 2), 3, 12).select("qid", "chunk_id", "position")
+    return R.rerank_candidates(_ranked_chunks(B.chunks(spark, sf_dir), F.expr("document_id div 10")), 3, 12).select("qid", "chunk_id", "position")
 
 
 @query()
 def rerank_prepare_budget(spark, sf_dir):
     """All chunks are candidates: those of ten documents of one query each, so that queries grow with the table."""
-    return R.pack_for_rerank(_ranked_chunks(B.chunks(spark, sf_dir), F.expr("document_id div 10")).select("qid", "chunk_id", "document_id", "content", "content_hash", "rank"), 3, 12, 200)
+    import public_tokenizers
+
+    ranked = _ranked_chunks(B.chunks(spark, sf_dir), F.expr("document_id div 10"))
+    ranked = ranked.select("qid", F.concat(F.lit("what of group "), "qid").alias("query"), F.concat(F.lit("document "), "document_id").alias("title"), F.lit(None).cast("string").alias("context"), "chunk_id", "document_id", "content", "content_hash", "rank")
+    return R.pack_for_rerank(ranked, 3, 12, 200, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @query("SELECT source AS qid, doc_id AS chunk_id, n_chars AS score FROM documents QUALIFY row_number() OVER (PARTITION BY source, sha256(text) ORDER BY n_chars DESC, doc_id) = 1")
@@ -171,7 +187,7 @@ def near_duplicate_pairs(spark, sf_dir):
 
 
 def _vector_candidates(spark, sf_dir):
-    near = R.nearest_in_blocks(B.vector_chunks(spark, sf_dir), B.all_vector_queries(spark, sf_dir), 50)
+    near = R.nearest_in_blocks(B.vector_chunks(spark, sf_dir), B.vector_queries(spark, sf_dir), 50)
     return near.join(B.vector_chunks(spark, sf_dir).select("chunk_id", "embedding", (F.col("label") % 3).alias("source")), "chunk_id")
 
 
@@ -306,21 +322,21 @@ def prompt_packing(spark, sf_dir):
     return N.pack_prompt(hits.select("qid", "rank", "tokens"), 1500)
 
 
-@query("""WITH h AS (SELECT doc_id % 40 AS qid, source AS location, doc_id AS rank, text AS content FROM documents WHERE doc_id % 4 = 0)
+@query("""WITH h AS (SELECT doc_id // 40 AS qid, source AS location, doc_id AS rank, text AS content FROM documents)
 SELECT qid, rank FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.qid = h.qid AND o.location = h.location AND contains(o.content, h.content) AND (length(o.content) > length(h.content) OR (length(o.content) = length(h.content) AND o.rank < h.rank)))""")
 def contained_duplicates(spark, sf_dir):
-    own = B.read(spark, sf_dir, "documents").filter("doc_id % 4 = 0").select((F.col("doc_id") % 40).alias("qid"), F.col("source").alias("location"), F.col("doc_id").alias("rank"), F.col("text").alias("content"))
+    own = B.read(spark, sf_dir, "documents").select(F.expr("doc_id div 40").alias("qid"), F.col("source").alias("location"), F.col("doc_id").alias("rank"), F.col("text").alias("content"))
     return N.contained_duplicates(own).select("qid", "rank")
 
 
-_CELLS = "SELECT p_partkey AS id, p_brand AS sheet, p_size % 9 + 1 AS r1, p_size % 9 + 1 + p_partkey % 4 AS r2, p_partkey % 30 + 1 AS c1, p_partkey % 30 + 1 + p_size % 3 AS c2 FROM part WHERE p_type = 'ECONOMY'"
+_CELLS = "SELECT p_partkey AS id, p_brand || '-' || (p_partkey // 500) AS sheet, p_size % 9 + 1 AS r1, p_size % 9 + 1 + p_partkey % 4 AS r2, p_partkey % 30 + 1 AS c1, p_partkey % 30 + 1 + p_size % 3 AS c2 FROM part"
 
 
-@query(f"WITH c AS ({_CELLS}) SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.sheet = b.sheet AND a.r1 <= b.r2 AND b.r1 <= a.r2 AND a.c1 <= b.c2 AND b.c1 <= a.c2 AND a.id % 2 = 0 AND b.id % 2 = 1")
+@query(f"WITH c AS ({_CELLS}) SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.sheet = b.sheet AND a.r1 <= b.r2 AND b.r1 <= a.r2 AND a.c1 <= b.c2 AND b.c1 <= a.c2 AND a.id < b.id")
 def a1_ranges_overlap(spark, sf_dir):
     s, p = F.col("p_size"), F.col("p_partkey")
-    own = B.read(spark, sf_dir, "part").filter("p_type = 'ECONOMY'").select(p.alias("id"), F.col("p_brand").alias("sheet"), (s % 9 + 1).alias("r1"), (s % 9 + 1 + p % 4).alias("r2"), (p % 30 + 1).alias("c1"), (p % 30 + 1 + s % 3).alias("c2"))
-    return N.ranges_overlap(own.filter("id % 2 = 0"), own.filter("id % 2 = 1"))
+    own = B.read(spark, sf_dir, "part").select(p.alias("id"), F.concat_ws("-", "p_brand", F.expr("p_partkey div 500")).alias("sheet"), (s % 9 + 1).alias("r1"), (s % 9 + 1 + p % 4).alias("r2"), (p % 30 + 1).alias("c1"), (p % 30 + 1 + s % 3).alias("c2"))
+    return N.ranges_overlap(own, own).filter("a < b")
 
 
 @query(B.with_(B.VECTOR_CHUNKS) + "SELECT a.chunk_id AS id, round(greatest(0, least(1, list_cosine_similarity(a.embedding, b.embedding))), 6) AS similarity FROM vector_chunks a JOIN vector_chunks b ON b.chunk_id = a.chunk_id + 1")

@@ -55,11 +55,11 @@ def outbox_retry(spark, sf_dir):
     return W.after_failure(_outbox(spark, sf_dir).filter("status = 'processing'"), _now()).select("id", "status", "attempts", "next_attempt_at")
 
 
-@query(B.with_(_OUTBOX, "jobs AS (SELECT o_orderkey AS version_id, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'queued' ELSE 'completed' END AS status FROM orders WHERE o_orderkey < 700)", "docs AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 > 0)",
+@query(B.with_(_OUTBOX, "jobs AS (SELECT o_orderkey AS version_id, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'queued' ELSE 'completed' END AS status FROM orders)", "docs AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 > 0)",
   """a AS (SELECT *, status <> 'cancelled' AND ((event_type = 'document.ingestion.requested' AND version_id IN (SELECT version_id FROM jobs WHERE status = 'queued')) OR (event_type = 'document.cleanup.requested' AND document_id IN (SELECT doc_id FROM docs))) AS again FROM outbox)""")
   + "SELECT id, CASE WHEN again THEN 'pending' ELSE status END AS status, CASE WHEN again THEN 0 ELSE attempts END AS attempts FROM a")
 def outbox_recover(spark, sf_dir):
-    jobs = B.read(spark, sf_dir, "orders").filter("o_orderkey < 700").select(F.col("o_orderkey").alias("version_id"), F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "P", "queued").otherwise("completed").alias("status"), F.lit(40).alias("progress"))
+    jobs = B.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version_id"), F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "P", "queued").otherwise("completed").alias("status"), F.lit(40).alias("progress"))
     docs = B.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 2 == 0).alias("deleted"), (F.col("doc_id") % 3 == 0).alias("purged"))
     return W.recover_outbox(_outbox(spark, sf_dir), W.recover_jobs(jobs), docs)
 
@@ -94,9 +94,9 @@ def asset_placeholders(spark, sf_dir):
     return B.read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), W.asset_placeholder(F.concat(F.lit("see "), r, F.lit(" twice "), r), r).alias("markdown"))
 
 
-@query("SELECT n_nationkey AS role_id, count(DISTINCT c_custkey) AS n, coalesce(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey), '') AS members FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey < 60 GROUP BY 1")
+@query("SELECT n_nationkey AS role_id, count(DISTINCT c_custkey) AS n, coalesce(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey), '') AS members FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def role_members(spark, sf_dir):
-    own = B.read(spark, sf_dir, "customer").filter("c_custkey < 60").select(F.col("c_nationkey").alias("role_id"), F.col("c_custkey").alias("user_id"))
+    own = B.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("role_id"), F.col("c_custkey").alias("user_id"))
     return W.members(B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("role_id")), own)
 
 

@@ -45,21 +45,26 @@ def kind_of(name: str, mime: str | None = None) -> str | None:
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = 64 << 20, pattern: str = "*") -> DataFrame:
-    """Files below a path; longer ones are left out before their content is read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).filter(F.col("length") <= max_bytes)
+    """Files below a path; of longer ones no content is read: it is null."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    long = found.filter(F.col("length") > max_bytes).drop("content").withColumn("content", F.lit(None).cast("binary"))
+    return found.filter(F.col("length") <= max_bytes).unionByName(long)
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """One row a file. A file that can't be read has status 'failed' and its error, and fails nothing else."""
+    """One row a file. A file that can't be read has status 'failed' and its error, and fails nothing else; one too long to
+    be read names its size. A column mime, where there is one, tells the format of names without a known extension."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
         for pdf in batches:
             out = []
-            for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                kind = kind_of(path)
+            for path, data, size, mime in zip(pdf["path"], pdf["content"], pdf["length"], pdf["mime"], strict=True):
+                kind = kind_of(path, mime)
                 try:
+                    if data is None:
+                        raise ValueError(f"file of {size} bytes is too long")
                     if kind is None:
                         raise ValueError("unsupported format")
                     text, n, warnings = PARSERS[kind](data)
@@ -68,4 +73,6 @@ def parse(files: DataFrame) -> DataFrame:
                     out.append((path, kind, "failed", None, None, 0, [], f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    size = F.col("length") if "length" in files.columns else F.length("content").cast("long")
+    mime = F.col("mime") if "mime" in files.columns else F.lit(None).cast("string")
+    return files.select("path", "content", size.alias("length"), mime.alias("mime")).mapInPandas(run, SCHEMA)

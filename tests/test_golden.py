@@ -54,9 +54,18 @@ def test_batches(spark):
 
 
 def test_rerank_budget_cuts_the_last(spark):
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     rows = [(1, "a", 1, "one two three", "h1", 1), (1, "b", 1, "one two three", "h1", 2), (1, "c", 2, "four five six", "h2", 3), (1, "d", 3, "seven", "h3", 4)]
-    df = spark.createDataFrame(rows, "qid long, chunk_id string, document_id long, content string, content_hash string, rank int")
-    assert [(r.chunk_id, r.tokens, r.cut) for r in retrieval.pack_for_rerank(df, 1, 5, 5).orderBy("position").collect()] == [("a", 3, False), ("c", 2, True)]
+    df = spark.createDataFrame([("", None, "", *r) for r in rows], "query string, title string, context string, qid long, chunk_id string, document_id long, content string, content_hash string, rank int")
+    packed = lambda most: [(r.chunk_id, r.tokens, r.cut) for r in retrieval.pack_for_rerank(df, 1, 5, most, *vocabulary).orderBy("position").collect()]
+    # each text has 4 tokens of framing
+    assert packed(3 + 4 + 2 + 4) == [("a", 3, False), ("c", 2, True)]
+    assert packed(4) == [] and packed(100) == [("a", 3, False), ("c", 3, False), ("d", 1, False)]
+    # query and title count
+    titled = df.withColumn("query", F.lit("one two")).withColumn("title", F.lit("one"))
+    assert [(r.chunk_id, r.tokens, r.cut) for r in retrieval.pack_for_rerank(titled, 1, 1, 2 + 4 + 3, *vocabulary).collect()] == [("a", 3, True)]
 
 
 def test_ndcg_of_second_place(spark):
@@ -83,7 +92,20 @@ def test_extraction_prefers_matching_sentences(spark):
 
 def test_question_places(spark):
     r = spark.createDataFrame([("see page 12 and B2:D9",), ("slide 3",)], "q string").select(answers.page_of(F.col("q")).alias("p"), answers.slide_of(F.col("q")).alias("s"), answers.cells_of(F.col("q")).alias("c")).collect()
-    assert (r[0].p, r[0].s, tuple(r[0].c)) == (12, None, ("B", 2, "D", 9)) and (r[1].p, r[1].s) == (None, 3)
+    assert (r[0].p, r[0].s, tuple(r[0].c)) == (12, None, (None, "B", 2, "D", 9)) and (r[1].p, r[1].s) == (None, 3)
+    want = {
+        "第 3 章": (None, None, None, None), "第3页": (3, None, None, None), "p. 4": (None, None, None, None), "第2张幻灯片": (None, 2, None, None),
+        "'Q1 plan'!$a$1到b3 please": (None, None, None, ("Q1 plan", "A", 1, "B", 3)), "Budget!C7": (None, None, None, ("Budget", "C", 7, "C", 7)), "section: Leave policy, now": (None, None, "Leave policy", None), "page 99999999999": (None, None, None, None),
+    }
+    places = lambda q: (answers.page_of(q), answers.slide_of(q), answers.section_of(q), answers.cells_of(q))
+    got = spark.createDataFrame([(q,) for q in want], "q string").select("q", *(c.alias(n) for n, c in zip("pstc", places(F.col("q")), strict=True))).collect()
+    assert {r.q: (r.p, r.s, r.t, tuple(r.c) if r.c else None) for r in got} == want
+
+
+def test_lexical_rerank_takes_han_characters_and_pairs(spark):
+    found = spark.createDataFrame([(1, 1, "检测 ｉｎｄｅｘ 索引"), (1, 2, "全文检索")], "qid long, chunk_id long, content string")
+    got = retrieval.lexical_rerank(found, spark.createDataFrame([(1, "检索 Index")], "qid long, query string")).collect()
+    assert {r.chunk_id: r.score for r in got} == {1: 0.6, 2: 0.6}
 
 
 def test_vector_literals(spark):

@@ -90,7 +90,12 @@ def test_registry(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[-1]: r for r in registry.parse(registry.read_files(spark, str(tmp_path))).collect()}
     assert {k: r.status for k, r in got.items()} == {"a.MD": "ready", "b.docx": "ready", "c.xlsx": "review", "d.bin": "failed", "e.txt": "failed", "f.pptx": "failed"}
     assert got["a.MD"].markdown == "# T\n\nbody" and got["c.xlsx"].markdown.startswith("## S\n\n")
-    assert registry.read_files(spark, str(tmp_path), max_bytes=5).count() == 2
+    few = registry.read_files(spark, str(tmp_path), max_bytes=5)
+    assert few.filter("content is not null").count() == 2
+    long = {r.path.rsplit("/", 1)[-1]: (r.status, r.error) for r in registry.parse(few).collect()}
+    assert len(long) == 6 and long["a.MD"] == ("failed", "ValueError: file of 11 bytes is too long")
+    typed = few.limit(0).select("path", "content").union(spark.createDataFrame([("name", bytearray(b"# T"))], "path string, content binary")).withColumn("mime", F.lit("text/markdown"))
+    assert [(r.format, r.status) for r in registry.parse(typed).collect()] == [("md", "ready")]
 
 
 def test_tables_on_both_sides(spark):

@@ -20,21 +20,27 @@ def test_rerank_budget_takes_all_chunks(spark, tmp_path):
         for n, line in enumerate(text.split("\n"), 1):
             if line.strip(" "):
                 chunks[d // 10].append((n % 5, d, n, line))
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, lines)}
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = []
     for q, own in chunks.items():
-        seen, taken, left, place = set(), defaultdict(int), 200, 0
+        seen, taken, used, place = set(), defaultdict(int), len(e.encode_ordinary(f"what of group {q}")), 0
         for _, d, n, line in sorted(own):
             h = hashlib.sha256(line.lower().encode()).digest()
-            if place >= 12 or left <= 0:
-                break
-            if h in seen or taken[d] >= 3:
+            ids, left = e.encode_ordinary(f"document {d}\n{line}"), 200 - used - 4
+            if h in seen or taken[d] >= 3 or place >= 12 or left <= 0:
                 continue
-            words = len(line.split())
-            take, place = min(words, left), place + 1
-            want.append((q, f"{d}:{n}", place, take, take < words))
+            place += 1
+            want.append((q, f"{d}:{n}", place, min(len(ids), left), len(ids) > left))
             seen.add(h)
             taken[d] += 1
-            left -= take
+            used += min(len(ids), left) + 4
     got = catalog.queries()["rerank_prepare_budget"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want) and {q for q, *_ in want} == set(range(10))
 
