@@ -24,7 +24,8 @@ with the square of their number. Nothing about documents is collected but the bo
 
 Signatures with more than 1/HOT of all postings are hot; a sketch of fixed size finds them, HOT at most. What is known
 of them comes from aggregations with map-side combining and is broadcast, so that no task gets their rows; windows see
-the others only. Buckets of more than BLOCK rows are cut by bands of size and then into blocks that meet pairwise.
+the others only. In buckets of more than BLOCK rows those of the largest component are dealt
+out, and where more than BLOCK others remain, bands of size and blocks are cut that meet pairwise.
 For verification a hub's text travels once for each CROWD of its nodes, and each other text once.
 
 Edge cases: null text counts as empty; a document without words has no set and is its own component. With fewer words
@@ -342,12 +343,22 @@ def _mixed(spark: SparkSession, live: DataFrame, labels: DataFrame, hot: DataFra
 def _cells(spark: SparkSession, mixed: DataFrame, percent: int) -> DataFrame:
     """(sig, band, i, j, side, guest, node, n, lab): rows that are compared with each other share (sig, band, i, j).
 
-    A bucket of BLOCK rows at most is one cell. Another is cut by bands of size, to each of which the next lower band
-    comes as guests, and a band into blocks of about BLOCK rows, each pair of which is a cell.
+    A bucket of BLOCK rows at most is one cell. In another the rows of its largest component, which need not meet each
+    other, are dealt to cells once each, and the other rows, BLOCK at most, come to every cell, as guests to all but the
+    first. With more other rows it is cut by bands of size, to each of which the next lower band comes as guests, and a
+    band into blocks of about BLOCK rows, each pair of which is a cell.
     """
     whole = mixed.filter(F.col("rows") <= BLOCK).select("sig", F.lit(-1).cast("long").alias("band"), *(F.lit(0).alias(c) for c in ("i", "j", "side", "guest")), "node", "n", "lab")
+    big = mixed.filter(F.col("rows") > BLOCK)
+    most = big.groupBy("sig", "lab").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "lab")).alias("m"), F.sum("c").alias("all"))
+    most = materialize(spark, most.select("sig", F.col("m.lab").alias("main"), (F.col("all") - F.col("m.c")).alias("others"), F.ceil(F.col("all") / BLOCK).cast("int").alias("parts")), "large")
+    big = big.join(small(most), "sig")
+    dealt = big.filter(F.col("others") <= BLOCK)
+    each = lambda rows, guest: rows.select("sig", F.lit(-2).cast("long").alias("band"), F.col("part").alias("i"), F.col("part").alias("j"), F.lit(0).alias("side"), guest.alias("guest"), "node", "n", "lab")
+    whole = whole.unionByName(each(dealt.filter("lab = main").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), F.lit(0)))
+    whole = whole.unionByName(each(dealt.filter("lab <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), (F.col("part") > 0).cast("int")))
     band = _band(F.col("n"), percent)
-    cut = mixed.filter(F.col("rows") > BLOCK).select("sig", "node", "n", "lab", F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("guest")), F.struct((band + 1).alias("band"), F.lit(1).alias("guest")))).alias("x"))
+    cut = big.filter(F.col("others") > BLOCK).select("sig", "node", "n", "lab", F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("guest")), F.struct((band + 1).alias("band"), F.lit(1).alias("guest")))).alias("x"))
     cut = cut.select("sig", "x.band", "x.guest", "node", "n", "lab")
     sizes = materialize(spark, cut.groupBy("sig", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("guest").alias("g")).filter("g = 0").drop("g"), "cells")
     cut = cut.join(small(sizes), ["sig", "band"])
