@@ -264,6 +264,38 @@ def test_chats_against_brute_force(spark):
     assert {(r.conv_id, r.n_copies) for r in chat.maximal(df).collect()} == {(min(i for i, c in convs.items() if tuple(c) == t), sum(tuple(c) == t for c in convs.values())) for t in top}
 
 
+def chats_brute(rows):
+    """conv_id -> (n_turns, n_copies, rendered) of the maximal ones."""
+    key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r[1:2]) + tuple((x is not None, x or "") for x in r[2:])
+    convs = defaultdict(list)
+    for r in sorted(rows, key=key):
+        convs[r[0]].append(r[2:])
+    kinds = defaultdict(list)
+    for i, c in convs.items():
+        kinds[tuple(c)].append(i)
+    out = {}
+    for c, ids in kinds.items():
+        if not any(len(o) > len(c) and o[: len(c)] == c for o in kinds):
+            text = "".join(f"<|{r or ''}|>\n{t or ''}\n" for r, t in c) + "<|end|>"
+            out[min(ids, key=lambda i: (i is None, i or 0))] = (len(c), len(ids), text)
+    return out
+
+
+@pytest.mark.parametrize("rows", [500_000, 0])
+def test_odd_chats_against_brute_force(spark, rows, monkeypatch):
+    """Ties in turn and role that texts decide, repeated rows, nulls, long texts, many turns, names that clash."""
+    monkeypatch.setattr(chat, "small", lambda df: df if not rows else F.broadcast(df))
+    rng = random.Random(9)
+    turns = [(i, rng.choice([None, 0, 1]), rng.choice([None, "", "u"]), rng.choice([None, "", "x", "y"])) for i in range(80) for _ in range(rng.randint(1, 4))]
+    turns += [(200 + i, *t) for i in range(3) for t in [(0, "u", "b"), (0, "u", "a"), (1, "a", "c")][: i + 1] * (i + 1)]
+    turns += [(300, 0, "u", "long " * 60_000), (301, 0, "u", "long " * 60_000), (301, 1, "a", "z" * 200_000), (None, 0, "u", "a"), (None, 1, "a", "b"), (302, 0, "u", "a"), (302, 1, "a", "b"), (0, 5, "u", "zero")]
+    turns += [(400 + i, k, "u", str(k % 7)) for i in range(2) for k in range(900 + i)]
+    df = spark.createDataFrame([(*t, "k", True, "d") for t in turns], "conv_id long, turn long, role string, text string, conv_key string, no_conv boolean, hashes string")
+    got = [tuple(r) for r in chat.format_chats(df).collect()]
+    want = chats_brute(turns)
+    assert len(got) == len(want) and {i: rest for i, *rest in got} == {i: list(v) for i, v in want.items()}
+
+
 # 6: exact copies
 
 
