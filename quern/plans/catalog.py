@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import access, documents, governance, search, workflow
+from quern.plans import access, documents, governance, locations, search, workflow
 
-_FAMILIES = (governance, access, search, documents, workflow)
+_FAMILIES = (governance, access, search, documents, workflow, locations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
