@@ -63,9 +63,9 @@ class WordEncoder:
     """The tokenizers library with a table of the words met so far.
 
     Its vocabulary drops white space before anything else and lower-cases, so words are independent: each new word
-    is encoded once by the library, as is any text with characters beyond Latin letters. A mark that ends a word after
-    a letter is a token of its own, so such a word is its base and the mark. Words are found, numbered and looked up
-    on the bytes of many texts at once.
+    is encoded once by the library, as is any text with characters beyond Latin letters or with the string of an added
+    token (in any case), which the library gives that token's id. A mark that ends a word after a letter is a token of its own, so
+    such a word is its base and the mark. Words are found, numbered and looked up on the bytes of many texts at once.
     """
 
     #: Marks that may end a word, and the bytes that are no (part of a) Latin letter. Of two bytes, D7 and F7 are none.
@@ -77,7 +77,8 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: The library finds these in the text as it is, before it normalises.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -153,9 +154,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
-        whole = [i for i, t in enumerate(texts) if _OTHER.search(t)]
+        lower = [t.lower() for t in texts]
+        whole = [i for i, t in enumerate(texts) if _OTHER.search(t) or any(a in lower[i] for a in self.added)]
         strange = set(whole)
-        data = [b"" if i in strange else t.lower().replace("\xa0", " ").encode().translate(_BLANKS) for i, t in enumerate(texts)]
+        data = [b"" if i in strange else t.replace("\xa0", " ").encode().translate(_BLANKS) for i, t in enumerate(lower)]
         # a word ends with its blank; a text ends with one
         joined = b" ".join([*data, b""])
         bounds = np.append(0, np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) + 1)
@@ -314,20 +316,25 @@ def decode_block(data: bytes, table: Table, part: int | None = None) -> np.ndarr
     return out
 
 
+def token_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int = END_ID) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Keys, and ids with the end id as little-endian unsigned 16-bit integers, of batches of (key, text)."""
+    end = np.array([end_id], "<u2").tobytes()
+    with _encoder(path) as encoder:
+        for batch in batches:
+            step = max(1, int(batch.num_rows * SLICE / max(1, batch.nbytes)))
+            for i in range(0, batch.num_rows, step):
+                some = batch.slice(i, step)
+                yield some.column(0), [x + end for x in encoder.encode(["" if t is None else t for t in some.column(1).to_pylist()])]
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids) of each row: big-endian unsigned 16-bit ids with the end id, so that their order is that of bytes."""
-    end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with _encoder(path) as encoder:
-            for batch in batches:
-                step = max(1, int(batch.num_rows * SLICE / max(1, batch.nbytes)))
-                for i in range(0, batch.num_rows, step):
-                    some = batch.slice(i, step)
-                    ids = [x + end for x in encoder.encode(["" if t is None else t for t in some.column(1).to_pylist()])]
-                    ends = np.cumsum([0, *map(len, ids)])
-                    data = np.frombuffer(b"".join(ids), "<u2").astype(">u2").tobytes()
-                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array([data[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["doc_id", "ids"])
+        for keys, ids in token_batches(batches, path, end_id):
+            ends = np.cumsum([0, *map(len, ids)])
+            data = np.frombuffer(b"".join(ids), "<u2").astype(">u2").tobytes()
+            yield pa.RecordBatch.from_arrays([keys, pa.array([data[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

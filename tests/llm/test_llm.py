@@ -153,13 +153,22 @@ def test_files_hold_all_that_decoding_needs(spark, odd, tmp_path):
 @pytest.mark.parametrize("cut", [1, 7, 300])
 def test_word_encoder_equals_the_library(cut):
     rng = random.Random(cut)
-    pieces = ["the", "Cat", "don't", "x.", "a,b", "É", "ñandú.", "×", "÷.", "µm", "ª", "...", "?!", ".", "12", "3.4", "ß", "İ", "\xa0", "\t", "\x1c", "\x85", "日本", "<|endoftext|>", "ſ", "Ǆ", "_a_", "naïve;", "x:y:"]
+    pieces = ["the", "Cat", "don't", "x.", "a,b", "É", "ñandú.", "×", "÷.", "µm", "ª", "...", "?!", ".", "12", "3.4", "ß", "İ", "\xa0", "\t", "\x1c", "\x85", "日本", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "ſ", "Ǆ", "_a_", "naïve;", "x:y:"]
     texts = ["".join(rng.choice(pieces) + rng.choice([" ", "", "  ", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(600)]
     e = rans.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     for i in range(0, len(texts), cut):
         assert [[*np.frombuffer(x, "<u2"), 1] for x in e.encode(texts[i : i + cut])] == library_ids(texts[i : i + cut])
 
 
+def test_special_strings_encode_as_the_library_does():
+    rng = random.Random(9)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|endoftext|", "<|ENDOFTEXT|>", "x", "the cat", "é", "日", "."]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(1, 6))) for _ in range(10_000)]
+    e = rans.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert [[*np.frombuffer(x, "<u2"), 1] for x in e.encode(texts)] == library_ids(texts)
+    assert np.frombuffer(e.encode(["x <|endoftext|> y"])[0], "<u2").tolist() == [343, 49407, 344]
+
+
 def test_frequencies_fill_the_table():
     counts = np.zeros(49408, np.int64)
     counts[:40000] = 1
@@ -172,7 +181,6 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return [[*e.ids, 1] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
