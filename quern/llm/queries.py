@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, quality, rans, toxicity
+from quern.llm import bpe, chat, decontaminate, exact_dedup, fill_middle, filter_audit, license_scan, line_dedup, ngram_join, packing, quality, rans, toxicity
 from quern.llm.common import table
 
 
@@ -50,9 +50,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_rans, op3_toxicity, op4_line_dedup, op5_chat, op6_exact_dedup, op7_license_scan, op8_ngram_join, op9_decontaminate, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_rans, op3_toxicity, op4_line_dedup, op5_chat, op6_exact_dedup, op7_license_scan, op8_ngram_join, op9_decontaminate, op10_byte_bpe, op11_filter_audit, op12_fill_middle, op13_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE, "op5_chat": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op5_chat": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_fill_middle": fill_middle.ORACLE}
