@@ -13,18 +13,21 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.functions import tokens
 from quern.functions import vectors as V
+from quern.operators import vectors
 
 K1, B = 1.2, 0.75
 RANK_CONSTANT = 60
 #: Queries by chunks that a vector recall broadcasts its queries for; larger query sets go in blocks of as many.
 MAX_QUERIES = 10_000
+#: Rows (query, term) that keyword recall broadcasts at most.
+BROADCAST_ROWS = 500_000
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, fields: dict[str, float] | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank): the best k chunks of each query; any term may match, the best boosted field counts.
 
-    Only terms of the queries leave the scan: their postings are joined by a broadcast of the query terms (a stated
-    query set), and document frequencies are counted on them alone.
+    Only terms of the queries leave the scan: document frequencies are counted on them alone. The terms and their
+    weights are broadcast where a count finds at most BROADCAST_ROWS of them, and shuffled beyond.
     """
     fields = fields or {"content": 1.0}
     terms = queries.select("qid", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term"))
@@ -38,10 +41,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, fields: dict[str, float]
         own = chunks.select("chunk_id", F.lit(name).alias("field"), T.words(F.col(name)).alias("ws"))
         own = own.select("chunk_id", "field", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
         hits = own if hits is None else hits.unionByName(own)
-    hits = hits.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("chunk_id", "field", "dl", "term").agg(F.count("*").alias("tf"))
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sent = F.broadcast if few else lambda df: df
+    hits = hits.join(sent(terms.select("term").distinct()), "term", "left_semi").groupBy("chunk_id", "field", "dl", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     weights = terms.join(df, "term").join(F.broadcast(lengths), "field").withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    scored = hits.join(F.broadcast(weights.select("qid", "term", "field", "idf", "avgdl")), ["term", "field"])
+    scored = hits.join(sent(weights.select("qid", "term", "field", "idf", "avgdl")), ["term", "field"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     by_field = scored.groupBy("qid", "chunk_id", "field").agg(F.sum(part).alias("s")).withColumn("s", F.col("s") * boost)
     best = by_field.groupBy("qid", "chunk_id").agg(F.round(F.max("s"), 6).alias("score"))
@@ -87,14 +92,11 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: bool =
 
 
 def nearest_in_blocks(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, size: int = MAX_QUERIES) -> DataFrame:
-    """nearest() of any number of query vectors: blocks of so many, each with a scan of its own."""
-    ids = [r.qid for r in queries.select("qid").filter("qid is not null").distinct().orderBy("qid").collect()]
-    out = None
-    for i in range(0, max(1, len(ids)), size):
-        block = queries.filter(F.col("qid").between(ids[i], ids[min(i + size, len(ids)) - 1])) if ids else queries
-        found = nearest(chunks, block, k, exclude_self)
-        out = found if out is None else out.unionByName(found)
-    return out
+    """nearest() of any number of query vectors: so many at most in one broadcast, more in blocks that meet slices of the
+    vectors; the number of jobs is the same for any number."""
+    if queries.limit(size + 1).count() <= size:
+        return nearest(chunks, queries, k, exclude_self)
+    return vectors.exact(chunks, queries, k, exclude_self, block=size)
 
 
 def fuse(rankings: DataFrame, constant: int = RANK_CONSTANT, key: str = "chunk_id", limit: int | None = None) -> DataFrame:
@@ -208,7 +210,9 @@ def consolidate(candidates: DataFrame, threshold: float = 0.92) -> DataFrame:
 
 def diversify(candidates: DataFrame, trade: float = 0.7, limit: int = 10) -> DataFrame:
     """Maximal marginal relevance: trade times relevance less the rest times the most similarity to what is selected;
-    of ties the earlier candidate. A query's candidates (500 at most) are one group."""
+    of ties the earlier candidate. trade is between 0 and 1. A query's candidates (500 at most) are one group."""
+    if not 0 <= trade <= 1:
+        raise ValueError("trade is between 0 and 1")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
