@@ -34,10 +34,10 @@ from quern.llm.words import binary, distinct, gather
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Bytes of encoded units that a task keeps, and of words (with what an entry takes besides its characters).
-CACHE_BYTES = 24_000_000
+CACHE_BYTES = 16_000_000
 ENTRY = 200
 #: Bytes of text that go through together.
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: White space beyond ASCII, and the separators of ASCII: texts with it go through the pattern as a whole.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BLANK = np.zeros(256, bool)

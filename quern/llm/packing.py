@@ -27,6 +27,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from quern.llm.common import materialize
 from quern.llm.rans import END_ID, token_batches
@@ -127,7 +128,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: i
 
 def _round(rows: DataFrame, number: int, groups: int, size: int, tail: int) -> DataFrame:
     """rows with sequence_id, offset and whether the sequence is opened again; packed group by group."""
-    schema = rows.schema.add("sequence_id", "long").add("offset", "long").add("again", "boolean")
+    schema = StructType([*rows.schema, StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField("again", BooleanType())])
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.drop_columns(["grp"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
