@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import access, documents, governance, locations, pages, search, workflow
+from quern.plans import access, documents, governance, locations, pages, search, tools, workflow
 
-_FAMILIES = (governance, access, search, documents, workflow, locations, pages)
+_FAMILIES = (governance, access, search, documents, workflow, locations, pages, tools)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -197,11 +196,10 @@ def _stream(spark, sf_dir):
 
 
 def _drained(spark, stream, mode="append"):
-    import tempfile
-
+    from quern.plans.scratch import folder
     from quern.streaming.state import drain
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = folder(spark, "stream")
     return drain(stream, f"{base}/out", f"{base}/checkpoint", mode)
 
 
