@@ -134,3 +134,16 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def next_version(rows: DataFrame, keys: list[str], version: str, *newest: Column) -> DataFrame:
+    """The newest row of each key, with next_version: one more than the key's largest version."""
+    whole = Window.partitionBy(*keys)
+    out = rows.withColumn("next_version", F.coalesce(F.max(version).over(whole), F.lit(0)) + 1).withColumn("__n", F.row_number().over(whole.orderBy(*newest)))
+    return out.filter("__n = 1").drop("__n")
+
+
+def orphans(objects: DataFrame, references: DataFrame, keys: list[str], now: Column, grace_hours: int) -> DataFrame:
+    """Objects that nothing refers to and that were written longer ago than the hours of grace."""
+    old = objects.filter(F.col("written") < now - F.make_interval(hours=F.lit(grace_hours)))
+    return old.join(references.select(*keys).distinct(), keys, "left_anti")

@@ -41,15 +41,22 @@ def regions(cells: DataFrame) -> DataFrame:
     return own.groupBy("sheet", "band", "block").agg(F.min("r").alias("row_start"), F.max("r").alias("row_end"), F.min("c").alias("column_start"), F.max("c").alias("column_end"), F.count("*").alias("n")).drop("band", "block")
 
 
-def body_font(lines: DataFrame) -> DataFrame:
-    """(doc, size): median of the smaller 60 % of font sizes, rounded down, one at least."""
-    w = Window.partitionBy("doc").orderBy("size", "line")
-    own = lines.withColumn("n", F.count("*").over(Window.partitionBy("doc"))).withColumn("k", F.row_number().over(w))
-    return own.filter(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.6))).groupBy("doc").agg(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY size)").alias("body"))
+def body_font(lines: DataFrame, *keys: str, default: float = 10.0) -> DataFrame:
+    """(keys, body): the page's median of the smaller 60 % of font sizes, rounded down, one at least, over the lines that
+    are no margin (margin: true for headers and footers). A page without others, or with a median of 0, has the default.
+    keys are doc and page unless given."""
+    keys = keys or ("doc", "page")
+    w = Window.partitionBy(*keys).orderBy(F.when(~F.col("margin"), 0).otherwise(1), "size", "line")
+    own = lines.withColumn("margin", F.coalesce("margin", F.lit(False)))
+    own = own.withColumn("n", F.count_if(~F.col("margin")).over(Window.partitionBy(*keys))).withColumn("k", F.row_number().over(w))
+    small = ~F.col("margin") & (F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.6)))
+    median = F.median(F.when(small, F.col("size").cast("double")))
+    return own.groupBy(*keys).agg(F.coalesce(F.nullif(median, F.lit(0.0)), F.lit(default)).alias("body"))
 
 
 def heading_level(size: Column, body: Column, text: Column) -> Column:
     """1, 2 or 3 by the ratio to the body font (1.5, 1.25, 1.12); numbered lines 3; null for body text."""
+    # The ratios and the pattern of numbered headings.
     ratio = size / F.greatest(F.lit(1.0), body)
     numbered = text.rlike(r"^(?:第[一二三四五六七八九十百千\d]+[章节篇]|(?:\d+\.){0,3}\d+\s+\S+)")
     plain = (F.length(F.trim(text)) == 0) | (F.length(text) > 160) | F.contains(text, F.lit("\t"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What a location of each type is equal by.
@@ -56,18 +56,17 @@ def merge_contents(chunks: DataFrame, *keys: str) -> DataFrame:
     their offsets; a blank line stands between others. chunk_id is that of the best score, the first of ties.
 
     A group is a run of neighbouring candidates of a recall, and is one row."""
-    part = F.struct("ordinal", F.col("offset_start").alias("start"), F.col("offset_end").alias("stop"), "content")
-
-    def add(done: Column, c: Column) -> Column:
-        overlap = F.greatest(F.lit(0), done["stop"] - c["start"]).cast("int")
-        between = F.when((done["n"] == 0) | F.endswith(done["text"], F.lit("\n")), "").otherwise("\n\n")
-        more = F.when(overlap >= F.length(c["content"]), "").when(overlap > 0, F.substr(c["content"], overlap + 1)).otherwise(F.concat(between, c["content"]))
-        return F.struct(F.concat(done["text"], more).alias("text"), F.greatest(done["stop"], c["stop"]).alias("stop"), (done["n"] + 1).alias("n"))
-
-    nothing = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("stop"), F.lit(0).alias("n"))
-    whole = F.aggregate(F.sort_array(F.collect_list(part)), nothing, add, lambda d: d["text"])
+    order = Window.partitionBy(*keys).orderBy("ordinal", "chunk_id")
+    before, size = order.rowsBetween(Window.unboundedPreceding, -1), F.length("content")
+    rows = chunks.withColumn("reached", F.max("offset_end").over(before)).withColumn("overlap", F.greatest(F.lit(0), F.col("reached") - F.col("offset_start")).cast("int"))
+    rows = rows.withColumn("added", F.col("reached").isNull() | (F.col("overlap") < size))
+    ended = F.coalesce(F.last(F.when(F.col("added") & (size > 0), F.endswith("content", F.lit("\n"))), ignorenulls=True).over(before), F.lit(False))
+    more = F.when(F.col("overlap") > 0, F.substr("content", F.col("overlap") + 1)).otherwise(F.concat(F.when(ended, "").otherwise("\n\n"), "content"))
+    rows = rows.withColumn("piece", F.when(F.col("reached").isNull(), F.col("content")).when(~F.col("added"), "").otherwise(more))
+    # the pieces are joined once, so a long group costs what it is long
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "chunk_id", "piece"))), lambda x: x["piece"]), "")
     best = F.max_by("chunk_id", F.struct("score", (-F.col("ordinal")).alias("o")))
-    return chunks.groupBy(*keys).agg(whole.alias("content"), F.min("offset_start").alias("offset_start"), F.max("offset_end").alias("offset_end"), best.alias("chunk_id"), F.count("*").alias("n"))
+    return rows.groupBy(*keys).agg(whole.alias("content"), F.min("offset_start").alias("offset_start"), F.max("offset_end").alias("offset_end"), best.alias("chunk_id"), F.count("*").alias("n"))
 
 
 def settled(used: Column, reserved: Column, actual: Column) -> Column:

@@ -135,18 +135,20 @@ def tenant_union(spark, sf_dir):
     return a.union(b).union(c).distinct()
 
 
-@query("SELECT o_custkey, o_orderkey, o_orderstatus, count(*) OVER (PARTITION BY o_custkey) + 1 AS next_version FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+@query("SELECT o_custkey, o_orderkey, o_orderstatus, max(o_orderkey % 97) OVER (PARTITION BY o_custkey) + 1 AS next_version FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def latest_version(spark, sf_dir):
-    from pyspark.sql import Window
+    """Version numbers have gaps: the next one follows the largest."""
+    own = B.read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate", (F.col("o_orderkey") % 97).alias("version"))
+    return A.next_version(own, ["o_custkey"], "version", F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_orderstatus", "next_version")
 
-    own = B.read(spark, sf_dir, "orders").withColumn("next_version", F.count("*").over(Window.partitionBy("o_custkey")) + 1)
-    return A.latest(own, ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_orderstatus", "next_version")
 
-
-@query("SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+@query("SELECT page_id, url FROM (SELECT *, TIMESTAMP '2024-01-31' - to_hours(page_id % 50) AS written FROM pages) WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) AND written < TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR")
 def orphans_anti(spark, sf_dir):
+    """Pages as objects that were written up to 49 hours ago, with a day of grace."""
     refs = B.read(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("page_id"))
-    return B.read(spark, sf_dir, "pages").select("page_id", "url").join(refs, "page_id", "left_anti")
+    now = F.lit("2024-01-31").cast("timestamp")
+    objects = B.read(spark, sf_dir, "pages").select("page_id", "url", (now - F.make_interval(hours=(F.col("page_id") % 50).cast("int"))).alias("written"))
+    return A.orphans(objects, refs, ["page_id"], now, 24).select("page_id", "url")
 
 
 @query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")

@@ -123,7 +123,7 @@ def quotas(events: DataFrame, window_seconds: int = 60, delay: str = "1 minute")
     call, and the tokens really used: the difference is added to the call's token counters whose window still runs, not
     below 0; a second one, or one for an unknown call, does nothing.
     """
-    rows = events.withWatermark("ts", delay).select("gate", "id", "ts", F.unix_millis("ts").alias("at"), "kind", "entries", "reservation", "tokens")
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select("gate", "id", "ts", F.unix_millis("ts").alias("at"), "kind", "entries", "reservation", "tokens")
     return rows.groupBy("gate").transformWithStateInPandas(_Quota(window_seconds * 1000), QUOTA_OUT, "Append", "EventTime")
 
 
@@ -229,6 +229,6 @@ def breakers(events: DataFrame, failures: int = 3, reset_seconds: int = 300, pro
     the permit, the id of the call that was let through; a second report, one without a permit, and one after twice the
     lease do nothing."""
     positive = [max(1, int(x)) for x in (failures, probes, successes, lease_seconds)]
-    rows = events.withWatermark("ts", delay).select("gate", "id", "ts", F.unix_millis("ts").alias("at"), "kind", "permit")
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select("gate", "id", "ts", F.unix_millis("ts").alias("at"), "kind", "permit")
     processor = _Breaker(positive[0], max(0, reset_seconds) * 1000, positive[1], positive[2], positive[3] * 1000)
     return rows.groupBy("gate").transformWithStateInPandas(processor, BREAKER_OUT, "Append", "EventTime")

@@ -174,8 +174,9 @@ def test_regions(spark):
 
 
 def test_heading_levels(spark):
-    lines = spark.createDataFrame([(1, i, s) for i, s in enumerate([10.0, 10.0, 10.0, 12.0, 18.0])], "doc int, line int, size double")
-    assert layout.body_font(lines).first().body == 10.0
+    rows = [(1, 1, i, s, False) for i, s in enumerate([10.0, 10.0, 10.0, 12.0, 18.0])] + [(1, 1, 9, 3.0, True), (1, 2, 0, 7.0, True), (1, 3, 0, 0.0, None), (2, 1, 0, 20.0, False)]
+    lines = spark.createDataFrame(rows, "doc int, page int, line int, size double, margin boolean")
+    assert {(r.doc, r.page): r.body for r in layout.body_font(lines).collect()} == {(1, 1): 10.0, (1, 2): 10.0, (1, 3): 10.0, (2, 1): 20.0}
     assert one(spark, layout.heading_level(F.lit(18.0), F.lit(10.0), F.lit("x"))) == 1 and one(spark, layout.heading_level(F.lit(10.0), F.lit(10.0), F.lit("2.1 Scope"))) == 3
 
 
