@@ -139,8 +139,7 @@ def relevant(fused: DataFrame, chunks: DataFrame, queries: DataFrame, score_thre
     the columns of chunks, score and rank in the order of the reranker."""
     rows = fused.select("qid", "chunk_id", "rank").join(chunks, "chunk_id")
     prepared = R.rerank_candidates(rows, per_document, rerank_limit)
-    scores = R.lexical_rerank(prepared, queries)
-    ranked = prepared.drop("rank").join(scores, ["qid", "chunk_id"]).filter(F.col("score") > score_threshold)
+    ranked = R.with_lexical_scores(prepared.drop("rank"), queries).filter(F.col("score") > score_threshold)
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "position"))).drop("position")
 
 
@@ -148,6 +147,7 @@ def search_page(chunks: DataFrame, queries: DataFrame, planned: DataFrame, vecto
     """PAGE for queries (qid, query) with their plans: recall, fusion, reranking, consolidation, diversity.
 
     chunks: (chunk_id, document_id, source, title, content, content_hash, ordinal, offset_start, offset_end, embedding).
+    Plans are read several times: give them as a table.
     """
     fused = recall(chunks, exploded(planned), vectors, fields=fields)
     keep = {k: options.pop(k) for k in ("score_threshold", "per_document", "rerank_limit") if k in options}

@@ -9,6 +9,7 @@ from quern.operators import planning as P
 from quern.operators import vectors as X
 from quern.plans import bindings as B
 from quern.plans import search as S
+from quern.plans.scratch import stored
 
 QUERIES, ORACLE = {}, {}
 
@@ -108,7 +109,7 @@ def search_merged(spark, sf_dir):
 def search_page(spark, sf_dir):
     """The second page, of five, of every query by its plan; query and chunk vectors are the given ones."""
     queries = B.text_queries(spark, sf_dir)
-    planned = P.plan(queries, 200, 8)
+    planned = stored(P.plan(queries, 200, 8), "plans")
     vectors = _vectors(spark, sf_dir, G.exploded(planned))
     chunks = _chunks(spark, sf_dir).filter(F.col("embedding").isNotNull())
     return G.search_page(chunks, queries, planned, vectors, page=2, size=5, fields={"title": 2.0, "content": 1.0}, threshold=0.9)
