@@ -147,3 +147,37 @@ def orphans(objects: DataFrame, references: DataFrame, keys: list[str], now: Col
     """Objects that nothing refers to and that were written longer ago than the hours of grace."""
     old = objects.filter(F.col("written") < now - F.make_interval(hours=F.lit(grace_hours)))
     return old.join(references.select(*keys).distinct(), keys, "left_anti")
+
+
+def folder_readers(folders: DataFrame, grants: DataFrame, permission: str = "read") -> DataFrame:
+    """(folder_id, space_id, principal): who reads a folder, by a grant on its space, on itself or on a folder above."""
+    own = grants.filter(F.col("permission") == permission).select("resource_type", "resource_id", "principal").distinct()
+    above = ancestors(folders).select("folder_id", F.col("ancestor_id").cast("string").alias("resource_id"))
+    by_folder = above.join(own.filter("resource_type = 'folder'"), "resource_id").select("folder_id", "principal")
+    by_space = folders.select("folder_id", F.col("space_id").alias("resource_id")).join(own.filter("resource_type = 'space'"), "resource_id").select("folder_id", "principal")
+    return by_folder.union(by_space).distinct().join(folders.select("folder_id", "space_id"), "folder_id").select("folder_id", "space_id", "principal")
+
+
+def visible_folders(folders: DataFrame, grants: DataFrame, own: list[str], administrator: bool = False) -> DataFrame:
+    """(folder_id, space_id, principals): folders of the spaces that one of the principals may read, with all who read
+    them, sorted; every folder for an administrator."""
+    readers = folder_readers(folders, grants).groupBy("folder_id").agg(F.sort_array(F.collect_set("principal")).alias("principals"))
+    seen = folders.select("folder_id", "space_id")
+    if not administrator:
+        spaces = grants.filter((F.col("resource_type") == "space") & (F.col("permission") == "read") & F.col("principal").isin(*own)).select(F.col("resource_id").alias("space_id")).distinct()
+        seen = seen.join(spaces, "space_id", "left_semi")
+    nobody = F.array().cast("array<string>")
+    return seen.join(readers, "folder_id", "left").select("folder_id", "space_id", F.coalesce("principals", nobody).alias("principals"))
+
+
+def audit_page(events: DataFrame, users: DataFrame, tenant: str, action: str | None = None, resource_type: str | None = None, page: int = 1, size: int = 20) -> DataFrame:
+    """A page of a tenant's audit events, newest first (ties: the larger id), with the actor's name and the total; the
+    action and the type of resource are optional."""
+    if page < 1 or size < 1:
+        raise ValueError("page and size are 1 at least")
+    out = events.filter(F.col("tenant_id") == tenant)
+    for column, value in (("action", action), ("resource_type", resource_type)):
+        out = out if value is None else out.filter(F.col(column) == value)
+    total = out.agg(F.count("*")).scalar()
+    shown = out.withColumn("total", total).orderBy(F.desc("created_at"), F.desc("id")).offset((page - 1) * size).limit(size)
+    return shown.join(users.select(F.col("id").alias("actor_id"), F.col("name").alias("actor_name")), "actor_id", "left")

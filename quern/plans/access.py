@@ -172,3 +172,21 @@ def evaluation_candidates(spark, sf_dir):
 def purge_cascade(spark, sf_dir):
     purged = B.read(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("document_id"))
     return B.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id")).join(purged, "document_id", "left_anti")
+
+
+@query("""WITH e AS (SELECT event_id AS id, 't' || (user_id % 4) AS tenant_id, event_type AS action, CASE WHEN event_id % 3 = 0 THEN 'document' ELSE 'folder' END AS resource_type, user_id AS actor_id, ts AS created_at FROM events)
+SELECT id, action, actor_id, c_name AS actor_name, total FROM (SELECT *, count(*) OVER () AS total FROM e WHERE tenant_id = 't1' AND action = 'error' AND resource_type = 'document' ORDER BY created_at DESC, id DESC LIMIT 10 OFFSET 10) LEFT JOIN customer ON c_custkey = actor_id""")
+def audit_events_page(spark, sf_dir):
+    """The second page, of ten, of a tenant's errors about documents."""
+    kind = F.when(F.col("event_id") % 3 == 0, "document").otherwise("folder")
+    events = B.read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("t"), F.col("user_id") % 4).alias("tenant_id"), F.col("event_type").alias("action"), kind.alias("resource_type"), F.col("user_id").alias("actor_id"), F.col("ts").alias("created_at"))
+    users = B.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return A.audit_page(events, users, "t1", "error", "document", 2, 10).select("id", "action", "actor_id", "actor_name", "total")
+
+
+@query(B.with_(B.FOLDERS, B.GRANTS, """up (folder_id, ancestor_id, depth) AS (SELECT folder_id, folder_id, 0 FROM folders UNION ALL SELECT u.folder_id, f.parent_id, u.depth + 1 FROM up u JOIN folders f ON f.folder_id = u.ancestor_id WHERE f.parent_id IS NOT NULL AND u.depth < 20)""",
+  """readers AS (SELECT folder_id, principal FROM up JOIN grants ON resource_type = 'folder' AND resource_id = CAST(ancestor_id AS VARCHAR) AND permission = 'read' UNION SELECT folder_id, principal FROM folders JOIN grants ON resource_type = 'space' AND resource_id = space_id AND permission = 'read')""") + """
+SELECT f.folder_id, f.space_id, coalesce(string_agg(principal, ',' ORDER BY principal), '') AS principals FROM folders f LEFT JOIN readers USING (folder_id) WHERE f.space_id IN (SELECT resource_id FROM grants WHERE resource_type = 'space' AND principal IN ('role:1', 'group:3')) GROUP BY 1, 2""")
+def visible_folder_tree(spark, sf_dir):
+    own = A.visible_folders(B.folders(spark, sf_dir), B.grants(spark, sf_dir), ["role:1", "group:3"])
+    return own.withColumn("principals", F.array_join("principals", ","))

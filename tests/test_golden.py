@@ -182,3 +182,21 @@ def test_heading_levels(spark):
 
 def test_transitions_are_closed():
     assert all(b in lifecycle.TRANSITIONS for bs in lifecycle.TRANSITIONS.values() for b in bs)
+
+
+def test_folders_are_trimmed_to_visible_spaces(spark):
+    folders = spark.createDataFrame([(1, None, "s"), (2, 1, "s"), (3, None, "t")], "folder_id long, parent_id long, space_id string")
+    grants = spark.createDataFrame([("space", "s", "user:1", "read"), ("folder", "1", "group:2", "read"), ("folder", "3", "user:1", "read"), ("folder", "2", "user:9", "manage")], "resource_type string, resource_id string, principal string, permission string")
+    see = lambda own, admin=False: {r.folder_id: r.principals for r in access.visible_folders(folders, grants, own, admin).collect()}
+    assert see(["user:1"]) == {1: ["group:2", "user:1"], 2: ["group:2", "user:1"]}
+    assert see(["group:2"]) == {} and see([], True)[3] == ["user:1"]
+
+
+def test_audit_pages(spark):
+    events = spark.createDataFrame([(i, "t", "login" if i % 2 else "edit", "doc", i % 3 or None, i // 2) for i in range(9)] + [(99, "u", "edit", "doc", 1, 0)], "id long, tenant_id string, action string, resource_type string, actor_id long, created_at long")
+    users = spark.createDataFrame([(1, "Ada")], "id long, name string")
+    got = access.audit_page(events, users, "t", page=2, size=4).collect()
+    assert sorted(((r.id, r.actor_name, r.total) for r in got), reverse=True) == [(4, "Ada", 9), (3, None, 9), (2, None, 9), (1, "Ada", 9)]
+    assert access.audit_page(events, users, "t", "edit", "folder").count() == 0
+    with pytest.raises(ValueError):
+        access.audit_page(events, users, "t", page=0)
