@@ -1,7 +1,8 @@
 """Office packages (DOCX, XLSX, PPTX) read with zip and XML parsers of the standard library.
 
 Each reader gives blocks in reading order: dicts with kind (heading, paragraph, list, table, figure), Markdown text, and
-place (section path, slide, or sheet with rows and cell range), and a list of warnings.
+place (section path, slide, or sheet with rows and cell range), and a list of warnings. Blocks of slides and sheets name
+the unit they belong to (a slide, a region of cells, a chart); pictures name their part of the package.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 import zipfile
 from collections import defaultdict
 from datetime import datetime, timedelta
+from urllib.parse import quote
 from xml.etree import ElementTree
 
 from quern.sources.markdown import table
@@ -20,7 +22,12 @@ from quern.sources.markdown import table
 MAX_ENTRIES, MAX_INFLATED, MAX_RATIO = 10_000, 200 << 20, 200
 MAX_SHEETS, MAX_ROWS, MAX_COLUMNS, MAX_CELLS = 100, 50_000, 256, 500_000
 MAX_SLIDES, MAX_SLIDE_CELLS = 500, 250_000
+MAX_IMAGES, MAX_IMAGE_BYTES, MAX_IMAGES_BYTES = 500, 10 << 20, 50 << 20
 EMU_TOLERANCE = 0.01
+#: What stands as it is in references, besides letters and digits.
+UNQUOTED = "-_.!~*'()"
+#: Rows of a chart that its summary names.
+SUMMARY_ROWS = 5
 
 
 class LimitError(ValueError):
@@ -64,6 +71,38 @@ def _relations(package: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]
     return out
 
 
+def _first(e: ElementTree.Element | None, *tags: str) -> ElementTree.Element | None:
+    """The first descendant with the first of the tags that has any."""
+    return None if e is None else next((x for tag in tags for x in e.iter(tag)), None)
+
+
+class _Pictures:
+    """Pictures of a package as they come, within the limits of number and size."""
+
+    def __init__(self, package: zipfile.ZipFile, warnings: list[str]):
+        self.package, self.warnings, self.n, self.total = package, warnings, 0, 0
+
+    def block(self, relation: tuple[str, str], place: dict, **more) -> dict | None:
+        kind, part = relation
+        self.n += 1
+        problem, size = None, 0
+        if kind != "image" or part not in self.package.NameToInfo:
+            problem = "it is missing"
+        elif self.n > MAX_IMAGES:
+            problem = f"there are more than {MAX_IMAGES}"
+        else:
+            size = self.package.getinfo(part).file_size
+            if size > MAX_IMAGE_BYTES:
+                problem = f"it has more than {MAX_IMAGE_BYTES >> 20} MB"
+            elif self.total + size > MAX_IMAGES_BYTES:
+                problem = f"all have more than {MAX_IMAGES_BYTES >> 20} MB"
+        if problem:
+            self.warnings.append(f"image {self.n} is left out: {problem}")
+            return None
+        self.total += size
+        return {"kind": "figure", "text": f"![](asset://{quote(posixpath.basename(part), safe=UNQUOTED)})", "place": place, "part": part} | more
+
+
 def _text(e: ElementTree.Element) -> str:
     out = []
     for x in e.iter():
@@ -83,6 +122,7 @@ def read_docx(data: bytes) -> tuple[list[dict], list[str]]:
     relations = _relations(package, "word/document.xml")
     blocks: list[dict] = []
     path: list[str] = []
+    pictures = _Pictures(package, warnings)
 
     def add(kind: str, text: str) -> None:
         if text.strip():
@@ -107,11 +147,8 @@ def read_docx(data: bytes) -> tuple[list[dict], list[str]]:
             else:
                 add("paragraph", text)
             for blip in e.iter("blip"):
-                kind, target = relations.get(blip.get("embed", ""), ("", ""))
-                if kind == "image":
-                    add("figure", f"![](asset://{posixpath.basename(target)})")
-                else:
-                    warnings.append("an image is missing")
+                picture = pictures.block(relations.get(blip.get("embed", ""), ("", "")), {"section": list(path)})
+                blocks += [picture] if picture else []
     return blocks, warnings
 
 
@@ -163,6 +200,65 @@ def _date_styles(package: zipfile.ZipFile) -> set[int]:
     return {i for i, x in enumerate(formats if formats is not None else ()) if is_date(int(x.get("numFmtId", 0)))}
 
 
+def _cached(e: ElementTree.Element | None) -> list[str]:
+    """What a chart keeps of the cells it refers to, in their order; a value without such a cache is the only one."""
+    text = lambda x: ((x.text if x is not None else None) or "").strip()
+    cache = _first(e, "strCache", "numCache", "multiLvlStrCache")
+    if cache is None:
+        return [v for v in (text(_first(e, "v")),) if v]
+    return [text(_first(p, "v")) for p in sorted(cache.iter("pt"), key=lambda p: int(p.get("idx", 0)))]
+
+
+def chart(root: ElementTree.Element, number: int) -> tuple[str, list[list[str]]]:
+    """Title, and rows with a heading: a column of categories and one a series."""
+    title = _first(root, "title")
+    name = " ".join(t.text or "" for t in title.iter("t")).strip() if title is not None else ""
+    series = [((_cached(_first(s, "tx")) or [f"Series {i}"])[0], _cached(_first(s, "cat", "xVal")), _cached(_first(s, "val", "yVal"))) for i, s in enumerate(root.iter("ser"), 1)]
+    n = max((len(values) for _, _, values in series), default=0)
+    at = lambda values, i, other: values[i] if i < len(values) else other
+    rows = [[at(series[0][1], i, str(i + 1)), *(at(values, i, "") for _, _, values in series)] for i in range(n)]
+    return name or f"Chart {number}", [["Category", *(s[0] for s in series)], *rows] if rows else []
+
+
+def _corner(anchor: ElementTree.Element, tag: str) -> tuple[int, int] | None:
+    """Row and column, from 1, of a corner of what lies over a sheet."""
+    own = anchor.find(tag)
+    row, column = (own.findtext("row", ""), own.findtext("col", "")) if own is not None else ("", "")
+    return (int(row) + 1, int(column) + 1) if row.strip().isdigit() and column.strip().isdigit() else None
+
+
+def _drawn(package: zipfile.ZipFile, part: str, root: ElementTree.Element, sheet: str, number: int, pictures: _Pictures) -> list[dict]:
+    """Blocks of the charts and pictures over a sheet: from the sheet to its drawing, from its anchors to their parts."""
+    drawing = _first(root, "drawing")
+    target = _relations(package, part).get(drawing.get("id", ""), ("", ""))[1] if drawing is not None else ""
+    drawn = _xml(package, target) if target else None
+    if drawn is None:
+        return []
+    relations, out = _relations(package, target), []
+    for n, anchor in enumerate([*drawn.iter("twoCellAnchor"), *drawn.iter("oneCellAnchor")], 1):
+        (top, left), end = _corner(anchor, "from") or (1, 1), _corner(anchor, "to")
+        bottom, right = (max(top, end[0]), max(left, end[1])) if end else (top, left)
+        # without a place, it is the first cell
+        cells = f"{column_letters(left)}{top}:{column_letters(right)}{bottom}" if anchor.find("from") is not None else "A1"
+        place = {"sheet": sheet, "row_start": top, "row_end": bottom, "range": cells}
+        graph, blip = _first(anchor, "chart"), _first(anchor, "blip")
+        if graph is not None:
+            source = _xml(package, relations.get(graph.get("id", ""), ("", ""))[1])
+            if source is None:
+                continue
+            title, rows = chart(source, n)
+            unit = f"sheet-{number}-chart-{n}"
+            named = "; ".join(" | ".join(r) for r in rows[1 : SUMMARY_ROWS + 1])
+            marker = f"Chart analysis: {title}. {named}" if named else f"Chart analysis: {title}"
+            out.append({"kind": "heading", "text": f"### Chart: {title} ({cells})", "place": place, "unit": unit})
+            out.append({"kind": "figure", "text": "> " + marker.replace("\n", "\n> "), "place": place, "unit": unit, "marker": marker, "source": "derived", "figure": f"{unit}-f1"})
+            out += [{"kind": "table", "text": table(rows), "place": place, "unit": unit}] if rows else []
+        elif blip is not None:
+            picture = pictures.block(relations.get(blip.get("embed", ""), ("", "")), place, unit=f"sheet-{number}-image-{n}")
+            out += [picture] if picture else []
+    return out
+
+
 def read_xlsx(data: bytes) -> tuple[list[dict], list[str]]:
     package, warnings, blocks, n_cells = open_package(data), [], [], 0
     book = _xml(package, "xl/workbook.xml")
@@ -171,7 +267,8 @@ def read_xlsx(data: bytes) -> tuple[list[dict], list[str]]:
     sheets = list(book.iter("sheet")) if book is not None else []
     if len(sheets) > MAX_SHEETS:
         raise LimitError("too many sheets")
-    for sheet in sheets:
+    pictures = _Pictures(package, warnings)
+    for number, sheet in enumerate(sheets, 1):
         name, part = sheet.get("name", ""), relations.get(sheet.get("id", ""), ("", ""))[1]
         root = _xml(package, part)
         if root is None:
@@ -211,9 +308,10 @@ def read_xlsx(data: bytes) -> tuple[list[dict], list[str]]:
             m = t is not None and re.fullmatch(r"([A-Z]+)(\d+):([A-Z]+)(\d+)", t.get("ref", ""))
             if m:
                 named.append((int(m[2]), column_number(m[1]), int(m[4]), column_number(m[3])))
-        for top, left, bottom, right in cell_regions(cells, named):
+        for region, (top, left, bottom, right) in enumerate(cell_regions(cells, named), 1):
             rows = [[cells.get((r, c), "") for c in range(left, right + 1)] for r in range(top, bottom + 1)]
-            blocks.append({"kind": "table", "text": table(rows), "place": {"sheet": name, "row_start": top, "row_end": bottom, "range": f"{column_letters(left)}{top}:{column_letters(right)}{bottom}"}})
+            blocks.append({"kind": "table", "text": table(rows), "place": {"sheet": name, "row_start": top, "row_end": bottom, "range": f"{column_letters(left)}{top}:{column_letters(right)}{bottom}"}, "unit": f"sheet-{number}-region-{region}"})
+        blocks += _drawn(package, part, root, name, number, pictures)
     return blocks, warnings
 
 
@@ -225,6 +323,7 @@ def read_pptx(data: bytes) -> tuple[list[dict], list[str]]:
     if len(parts) > MAX_SLIDES:
         raise LimitError("too many slides")
     size = show.find("sldSz") if show is not None else None
+    pictures = _Pictures(package, warnings)
     width, height = (int(size.get("cx", 1)), int(size.get("cy", 1))) if size is not None else (1, 1)
     for number, part in enumerate(parts, 1):
         root = _xml(package, part)
@@ -240,34 +339,64 @@ def read_pptx(data: bytes) -> tuple[list[dict], list[str]]:
             w, h = (int(ext.get("cx", 0)) / width, int(ext.get("cy", 0)) / height) if ext is not None and ext.get("cx") else (0.0, 0.0)
             box = tuple(round(v, 6) for v in (x, y, w, h))
             if e.tag == "pic":
-                blip = next(e.iter("blip"), None)
-                target = images.get(blip.get("embed", ""), ("", ""))[1] if blip is not None else ""
-                items.append((box, "figure", f"![](asset://{posixpath.basename(target)})"))
+                blip = _first(e, "blip")
+                picture = pictures.block(images.get(blip.get("embed", "") if blip is not None else "", ("", "")), {})
+                items += [(box, "figure", picture["text"], {"part": picture["part"]})] if picture else []
             elif (t := next(e.iter("tbl"), None)) is not None:
                 rows = [[_text(c).strip() for c in r.findall("tc")] for r in t.findall("tr")]
                 n_cells += sum(map(len, rows))
-                items.append((box, "table", table(rows)))
+                items.append((box, "table", table(rows), {}))
             elif e.tag == "sp":
                 holder = next(e.iter("ph"), None)
                 text = "\n".join(filter(None, (_text(p).strip() for p in e.iter("p"))))
                 if text:
                     title = holder is not None and holder.get("type") in ("title", "ctrTitle")
-                    items.append((box, "heading" if title else "paragraph", f"### {text}" if title else text))
+                    items.append((box, "heading" if title else "paragraph", f"### {text}" if title else text, {}))
         if n_cells > MAX_SLIDE_CELLS:
             raise LimitError("too many cells in tables")
         # rows of about the same height are read from the left
         items.sort(key=lambda i: (round(i[0][1] / EMU_TOLERANCE), i[0][0]))
-        blocks += [{"kind": k, "text": text, "place": {"slide": number, "box": box}} for box, k, text in items]
+        blocks += [{"kind": k, "text": text, "place": {"slide": number, "box": box}, "unit": f"slide-{number}"} | more for box, k, text, more in items]
     return blocks, warnings
 
 
-def to_markdown(blocks: list[dict]) -> str:
-    """Blocks under a heading for each slide or sheet."""
-    out, unit = [], None
+def plain(data: bytes) -> tuple[list[dict], list[str]]:
+    """The texts of a package's slides or sheets without their structure: what is left of a package that the readers above
+    can't read. Parts that are no XML are skipped. A package beyond its limits is refused here too."""
+    package, blocks = open_package(data), []
+    own = re.compile(r"(?:ppt/slides/slide|xl/worksheets/sheet|word/document)(\d*)\.xml|xl/sharedStrings\.xml")
+    found = sorted((int(m[1] or 0), n) for n in package.namelist() if (m := own.fullmatch(n)))
+    for _, name in found:
+        try:
+            root = _xml(package, name)
+        except (ElementTree.ParseError, zipfile.BadZipFile):
+            continue
+        tags = ("p",) if _first(root, "p") is not None else ("si", "is")
+        lines = [_text(x).strip() for tag in tags for x in root.iter(tag)]
+        blocks += [{"kind": "paragraph", "text": x, "place": {"section": []}} for x in lines if x]
+    if not blocks:
+        raise ValueError("the package holds no text that can be read")
+    return blocks, []
+
+
+def laid_out(blocks: list[dict]) -> tuple[str, list[tuple[str, dict, int, int]]]:
+    """Markdown of blocks under a heading for each slide or sheet; and (id, place, start, end) of each unit in it."""
+    out, units, shown, at = [], [], None, 0
     for b in blocks:
-        own = next(((k, b["place"][k]) for k in ("slide", "sheet") if k in b["place"]), None)
-        if own and own != unit:
+        place, start = b["place"], at
+        own = next(((k, place[k]) for k in ("slide", "sheet") if k in place), None)
+        if own and own != shown:
             out.append(f"## {'Slide ' if own[0] == 'slide' else ''}{own[1]}")
-            unit = own
+            shown, at = own, at + len(out[-1]) + 2
         out.append(b["text"])
-    return "\n\n".join(out)
+        end = at + len(b["text"])
+        at = end + 2
+        if "unit" in b:
+            if units and units[-1][0] == b["unit"]:
+                start = units.pop()[2]
+            units.append((b["unit"], {k: v for k, v in place.items() if k != "box"}, start, end))
+    return "\n\n".join(out), units
+
+
+def to_markdown(blocks: list[dict]) -> str:
+    return laid_out(blocks)[0]
