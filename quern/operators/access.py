@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import WHITE
+
+# Permissions that a claim may give, and the form of a principal.
+PERMISSIONS = ("access.manage", "system.manage", "knowledge.manage", "documents.create", "documents.review")
+PRINCIPAL = "(?i)^(?:tenant|user|department|role):[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 #: Levels of a folder tree that are followed upwards.
 MAX_DEPTH = 20
 
@@ -181,3 +186,55 @@ def audit_page(events: DataFrame, users: DataFrame, tenant: str, action: str | N
     total = out.agg(F.count("*")).scalar()
     shown = out.withColumn("total", total).orderBy(F.desc("created_at"), F.desc("id")).offset((page - 1) * size).limit(size)
     return shown.join(users.select(F.col("id").alias("actor_id"), F.col("name").alias("actor_name")), "actor_id", "left")
+
+
+def owned(rows: DataFrame, tenant: str, owner: str) -> DataFrame:
+    """Rows that one user of one tenant has made; nobody owns rows without an owner."""
+    return rows.filter((F.col("tenant_id") == tenant) & (F.col("created_by") == owner))
+
+
+def active(sessions: DataFrame, tenants: DataFrame, users: DataFrame) -> DataFrame:
+    """sessions (tenant_id, user_id, …) with active: the tenant and the user are there and active, and the user is of that
+    tenant. tenants: (tenant_id, status); users: (user_id, tenant_id, status)."""
+    t = tenants.filter("status = 'active'").select("tenant_id").distinct().withColumn("_tenant", F.lit(True))
+    u = users.filter("status = 'active'").select("user_id", "tenant_id").distinct().withColumn("_user", F.lit(True))
+    own = sessions.join(t, "tenant_id", "left").join(u, ["user_id", "tenant_id"], "left")
+    return own.select(*sessions.columns, F.coalesce(F.col("_tenant") & F.col("_user"), F.lit(False)).alias("active"))
+
+
+def partition_claims(sessions: DataFrame) -> DataFrame:
+    """sessions (tenant_id, user_id, claims array<string>, …) with principals, permissions (each once, in their order; the
+    tenant and the user themselves come first) and problem: 'empty' (no claims), or of the first claim that is refused
+    'permission' (an unknown one), 'principal' (malformed) or 'foreign' (another tenant or user); else null. Where there
+    is a problem, both lists are empty."""
+    tenant, user = F.concat(F.lit("tenant:"), "tenant_id"), F.concat(F.lit("user:"), "user_id")
+    given = F.concat(F.array(tenant, user), F.col("claims"))
+
+    def kind(claim: Column) -> Column:
+        value = F.btrim(claim, F.lit(WHITE))
+        is_permission = F.startswith(claim, F.lit("permission:"))
+        permission = F.substring(claim, len("permission:") + 1, 1 << 20)
+        foreign = (F.startswith(value, F.lit("tenant:")) & (value != tenant)) | (F.startswith(value, F.lit("user:")) & (value != user))
+        problem = F.when(claim.isNull(), "principal").when(is_permission, F.when(~permission.isin(*PERMISSIONS), "permission")).when(~value.rlike(PRINCIPAL), "principal").when(foreign, "foreign")
+        return F.struct(F.when(is_permission, permission).alias("permission"), F.when(~is_permission, value).alias("principal"), problem.alias("problem"))
+
+    none = F.array().cast("array<string>")
+    rows = sessions.withColumn("_each", F.transform(given, kind))
+    first = F.try_element_at(F.filter(F.transform("_each", lambda x: x["problem"]), lambda x: x.isNotNull()), F.lit(1))
+    rows = rows.withColumn("problem", F.when(F.coalesce(F.size("claims"), F.lit(0)) < 1, "empty").when(F.col("_each").isNull(), "principal").otherwise(first))
+    part = lambda f: F.when(F.col("problem").isNotNull(), none).otherwise(F.array_distinct(F.filter(F.transform("_each", lambda x: x[f]), lambda x: x.isNotNull())))
+    return rows.select(*sessions.columns, part("principal").alias("principals"), part("permission").alias("permissions"), "problem")
+
+
+def source_chunks(chunks: DataFrame, documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(request, chunk row) of requests (request_id, chunk_id, tenant_id, own array<string>): the chunk, if it is of that
+    tenant, one of the principals may read it, and its document is published with that version as the current one.
+
+    chunks: (chunk_id, tenant_id, document_id, version_id, principals, …); documents: (document_id, tenant_id, status,
+    deleted, current_version_id). A request that finds nothing has found = false, whatever the reason.
+    """
+    live = documents.filter("status = 'published' and not deleted").select("document_id", F.col("current_version_id").alias("version_id")).distinct()
+    asked = wanted.select("request_id", "chunk_id", "tenant_id", "own")
+    meet = asked.join(chunks, ["chunk_id", "tenant_id"]).filter(F.coalesce(F.arrays_overlap("principals", "own"), F.lit(False)))
+    hit = meet.join(live, ["document_id", "version_id"], "left_semi").drop("own", "principals", "chunk_id", "tenant_id")
+    return asked.join(hit.withColumn("found", F.lit(True)), "request_id", "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("own")

@@ -66,7 +66,7 @@ def resolved(versions: DataFrame, assets: DataFrame, prefix: str = PREFIX) -> Da
     pattern = prefix + r"[^)\s]+"
     found = F.regexp_extract_all("markdown", F.lit(f"({pattern})"), F.lit(1))
     new = F.transform(found, lambda x: F.coalesce(F.try_element_at(F.col("known"), x), x))
-    whole = F.array_join(F.zip_with(F.split("markdown", pattern, -1), F.concat(new, F.array(F.lit(""))), F.concat), "")
+    whole = F.array_join(F.zip_with(F.split("markdown", pattern, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     return versions.join(known, "version_id", "left").withColumn("markdown", F.when(F.col("known").isNull(), F.col("markdown")).otherwise(whole)).drop("known")
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.numbers import half_up
+from quern.functions import text as T
+from quern.functions.numbers import half_up, ratio
+from quern.sources import structure as S
 
 # Multiplier and increment of the linear congruential generator, modulo 2**32.
 LCG = (1664525, 1013904223)
@@ -61,3 +63,50 @@ def bootstrap(rows: DataFrame, statistic: str, samples: int, seed: int) -> DataF
         return pd.DataFrame({"group": [pdf["group"].iloc[0]], "low": [round(nearest_rank(s, 0.025), 6)], "high": [round(nearest_rank(s, 0.975), 6)]})
 
     return rows.groupBy("group").applyInPandas(run, "group long, low double, high double")
+
+
+#: Share of searchable elements that must have a place for structures to pass.
+LOCATABLE = 0.8
+#: Terms of a case, and the part of a page in which each kind is looked for.
+_TERMS = (("required_text", "text"), ("expected_cells", "cells"), ("visual_terms", "seen"))
+
+
+def structure_report(structures: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row a version with cases: n_cases, classification_accuracy, text_recall, cell_recall, visual_recall,
+    locatable_rate (1 where nothing is asked), and passed: all are 1, and the last one at least LOCATABLE.
+
+    cases: (version_id, case_no, page, classification or null, required_text, expected_cells, visual_terms: arrays or
+    null, boxes boolean). Terms are contained in a page's texts, in the cells of its tables, in the texts of elements that
+    vision gave, without regard to case and white space. A case whose page isn't there counts as a case and asks nothing.
+    """
+    units = S.pages(structures, cases.select("version_id", "page"))
+    e = F.col("unit.elements")
+    text = lambda xs: T.normalize_for_compare(F.array_join(F.transform(xs, lambda x: x["text"]), " "))
+    shown = F.filter(e, lambda x: x["searchable"])
+    page = units.select(
+        "version_id", "page", F.col("unit.classification").alias("class"), text(e).alias("text"), text(F.filter(e, lambda x: x["source"] == "vision")).alias("seen"),
+        F.size(shown).alias("shown"), F.size(F.filter(shown, lambda x: x["bbox"].isNotNull())).alias("placed"),
+    )
+    cells = F.array_join(F.flatten("table.rows"), " ")
+    tables = S.tables(structures).filter("table.location.type = 'page'").join(cases.select("version_id", F.col("page").alias("_page")).distinct(), ["version_id"]).filter("table.location.page = _page")
+    joined = tables.groupBy("version_id", F.col("_page").alias("page")).agg(F.sort_array(F.collect_list(F.struct("table_no", cells.alias("cells")))).alias("all"))
+    joined = joined.select("version_id", "page", T.normalize_for_compare(F.array_join(F.transform("all", lambda x: x["cells"]), " ")).alias("cells"))
+    rows = cases.join(page, ["version_id", "page"], "left").join(joined, ["version_id", "page"], "left").withColumn("cells", F.coalesce("cells", F.lit("")))
+    here = F.col("text").isNotNull()
+
+    def counts(column: str, where: str) -> list[Column]:
+        asked = F.coalesce(F.col(column), F.array().cast("array<string>"))
+        met = F.filter(asked, lambda x: F.contains(F.col(where), T.normalize_for_compare(x)))
+        return [F.sum(F.when(here, F.size(met)).otherwise(0)).alias(f"{column}_met"), F.sum(F.when(here, F.size(asked)).otherwise(0)).alias(f"{column}_asked")]
+
+    typed = here & F.col("classification").isNotNull()
+    boxed = here & F.col("boxes")
+    number = lambda c, v: F.sum(F.when(c, v).otherwise(0))
+    sums = rows.groupBy("version_id").agg(
+        F.count("*").alias("n_cases"), number(typed & (F.col("class") == F.col("classification")), 1).alias("typed_met"), number(typed, 1).alias("typed_asked"),
+        *(c for pair in _TERMS for c in counts(*pair)), number(boxed, F.col("placed")).alias("boxes_met"), number(boxed, F.col("shown")).alias("boxes_asked"),
+    )
+    share = lambda name: ratio(F.col(f"{name}_met"), F.col(f"{name}_asked"), 1.0)
+    out = sums.select("version_id", "n_cases", share("typed").alias("classification_accuracy"), share("required_text").alias("text_recall"), share("expected_cells").alias("cell_recall"), share("visual_terms").alias("visual_recall"), share("boxes").alias("locatable_rate"))
+    whole = [F.col(c) == 1 for c in ("classification_accuracy", "text_recall", "cell_recall", "visual_recall")]
+    return out.withColumn("passed", whole[0] & whole[1] & whole[2] & whole[3] & (F.col("locatable_rate") >= LOCATABLE))

@@ -99,3 +99,42 @@ def before_after(after: DataFrame, before: DataFrame, keys: list[str], values: l
     for v in values:
         changed = changed | (F.col(v) != 0)
     return out.filter(changed)
+
+
+#: The model that answers with sentences of its sources.
+EXTRACTIVE = "local-extractive-v1"
+#: Sources of such an answer.
+EXTRACTIVE_HITS = 3
+
+
+def answer_plan(calls: DataFrame, spent: DataFrame, prices: Column, limits: tuple[float, float, float], action: str, fallback: str | None, degraded_output: int, degraded_context: int, history: int, gateway: bool = True) -> DataFrame:
+    """How each question is answered under its tenant's budget.
+
+    calls: (call_id, tenant_id, model, input_tokens, degraded_input_tokens, max_output_tokens, hits), with what a prompt
+    within the smaller context has as well; spent: (tenant_id, day_usd, month_usd), tenants without a row have spent nothing;
+    limits: single call, day, month. A call beyond its budget is refused or degraded: the fallback model (or the same one),
+    fewer tokens of output, of context, and of history, at most half the context; if even that is beyond the budget, or
+    the fallback has no model behind it, sentences of the first sources answer. Adds status, reason, the model and
+    tokens in use, extractive, and cited: how many hits are cited.
+    """
+    single, daily, monthly = limits
+    price = lambda: resolve_price(prices, F.lit("chat"), F.col("model"), F.lit(0.0))
+    # what a million tokens of output cost is twice what those of input do, as elsewhere
+    usd = lambda: call_cost(price(), price() * 2, F.col("input_tokens"), F.col("max_output_tokens"))
+    zero = F.lit(0.0)
+    own = calls.join(spent, "tenant_id", "left").withColumn("day_usd", F.coalesce("day_usd", zero)).withColumn("month_usd", F.coalesce("month_usd", zero))
+    first = budget_assessment(own, usd(), single, daily, monthly, action)
+    less = F.col("decision") == "degrade"
+    smaller = {
+        "model": F.when(less, F.coalesce(F.lit(fallback), "model")).otherwise(F.col("model")),
+        "input_tokens": F.when(less, F.col("degraded_input_tokens")).otherwise(F.col("input_tokens")),
+        "max_output_tokens": F.when(less, F.least("max_output_tokens", F.lit(degraded_output))).otherwise(F.col("max_output_tokens")),
+        "history_tokens": F.when(less, F.least(F.lit(history), F.lit(degraded_context // 2))).otherwise(F.lit(history)),
+    }
+    status = F.when(F.col("decision") == "reject", "rejected").when(less, "degraded").otherwise("allowed")
+    again = budget_assessment(first.withColumns(smaller | {"status": status}).withColumnRenamed("reason", "why").drop("decision"), usd(), single, daily, monthly, action)
+    refused, degraded = F.col("status") == "rejected", F.col("status") == "degraded"
+    extractive = ~refused & (F.lit(not gateway) | (degraded & ((F.col("model") == EXTRACTIVE) | (F.col("decision") != "allow"))))
+    rows = again.withColumn("extractive", extractive).withColumn("reason", F.col("why"))
+    cited = F.when(refused, F.lit(0)).when(F.col("extractive"), F.least("hits", F.lit(EXTRACTIVE_HITS))).otherwise(F.col("hits"))
+    return rows.select("call_id", "tenant_id", "status", "reason", "model", "input_tokens", "max_output_tokens", "history_tokens", "extractive", cited.cast("long").alias("cited"))
