@@ -88,8 +88,9 @@ def structure_report(structures: DataFrame, cases: DataFrame) -> DataFrame:
         F.size(shown).alias("shown"), F.size(F.filter(shown, lambda x: x["bbox"].isNotNull())).alias("placed"),
     )
     cells = F.array_join(F.flatten("table.rows"), " ")
-    tables = S.tables(structures).filter("table.location.type = 'page'").join(cases.select("version_id", F.col("page").alias("_page")).distinct(), ["version_id"]).filter("table.location.page = _page")
-    joined = tables.groupBy("version_id", F.col("_page").alias("page")).agg(F.sort_array(F.collect_list(F.struct("table_no", cells.alias("cells")))).alias("all"))
+    wanted = cases.select("version_id", "page").distinct()
+    tables = S.tables(structures).filter("table.location.type = 'page'").select("version_id", F.col("table.location.page").alias("page"), "table_no", cells.alias("cells")).join(wanted, ["version_id", "page"], "left_semi")
+    joined = tables.groupBy("version_id", "page").agg(F.sort_array(F.collect_list(F.struct("table_no", "cells"))).alias("all"))
     joined = joined.select("version_id", "page", T.normalize_for_compare(F.array_join(F.transform("all", lambda x: x["cells"]), " ")).alias("cells"))
     rows = cases.join(page, ["version_id", "page"], "left").join(joined, ["version_id", "page"], "left").withColumn("cells", F.coalesce("cells", F.lit("")))
     here = F.col("text").isNotNull()

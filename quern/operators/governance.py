@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.numbers import half_up, ratio
+from quern.functions.numbers import call_cost, half_up, ratio, resolve_price
 
 
 def trailing(events: DataFrame, days: int, as_of: Column | None = None, ts: str = "created_at") -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import access, assets, documents, flows, governance, locations, pages, search, tools, workflow
+from quern.plans import access, assets, documents, flows, governance, locations, pages, requests, search, tools, workflow
 
-_FAMILIES = (governance, access, search, documents, workflow, locations, pages, tools, flows, assets)
+_FAMILIES = (governance, access, search, documents, workflow, locations, pages, tools, flows, assets, requests)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
