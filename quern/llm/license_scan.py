@@ -5,7 +5,8 @@ normalised: A-Z in lower case, everything but letters and digits as one blank, n
 aside. Known licence sentences have identifiers; a document becomes the sequence of the identifiers it holds, with
 their places. A rule is a sequence of identifiers that names a licence; it matches where its identifiers follow each
 other in order, with at most GAP pieces between the end of one and the start of the next, bare numbers and pieces
-without letters or digits not counted. Longer rules win over rules they contain.
+without letters or digits not counted, known sentences counted as one piece. Of known sentences that begin at one place
+the longest counts. Longer rules win over rules they contain.
 
 The dictionary is a fixed table of this module (or a parameter), so that it is broadcast in the functions' closure;
 nothing is shuffled. Whole texts are read.
@@ -57,6 +58,56 @@ SENTENCES = {
     "cc0-1": "licensed under cc0 1 0",
     "public-domain": "this work is in the public domain",
     "all-rights": "all rights reserved",
+    "bsd-disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "isc-disclaimer": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "apache-2-title": "apache license version 2 0 january 2004",
+    "apache-2-copyright": "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
+    "gpl-see": "see the gnu general public license for more details",
+    "lgpl-see": "see the gnu lesser general public license for more details",
+    "agpl-see": "see the gnu affero general public license for more details",
+    "gpl-2-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl-2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-2-title": "gnu general public license version 2 june 1991",
+    "gpl-3-title": "gnu general public license version 3 29 june 2007",
+    "lgpl-21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-library-received": "you should have received a copy of the gnu lesser general public license along with this library",
+    "lgpl-21-title": "gnu lesser general public license version 2 1 february 1999",
+    "lgpl-3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-received": "you should have received a copy of the gnu lesser general public license along with this program",
+    "lgpl-3-title": "gnu lesser general public license version 3 29 june 2007",
+    "agpl-3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-received": "you should have received a copy of the gnu affero general public license along with this program",
+    "agpl-3-title": "gnu affero general public license version 3 19 november 2007",
+    "mpl-2-obtain": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl-2-obtain-http": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl-2-title": "mozilla public license version 2 0",
+    "epl-2-made": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl-2-title": "eclipse public license v 2 0",
+    "epl-1-made": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
+    "epl-1-title": "eclipse public license v 1 0",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "unlicense-dedicate": "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain",
+    "cc-by-4-work": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa-4-work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-4-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nd-4-work": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "cc-by-nc-sa-4-work": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "cc-by-nc-nd-4-work": "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
+    "spdx-bsd-2": "spdx license identifier bsd 2 clause",
+    "spdx-isc": "spdx license identifier isc",
+    "spdx-gpl-2-only": "spdx license identifier gpl 2 0 only",
+    "spdx-gpl-2": "spdx license identifier gpl 2 0 or later",
+    "spdx-gpl-3-only": "spdx license identifier gpl 3 0 only",
+    "spdx-lgpl-21": "spdx license identifier lgpl 2 1 or later",
+    "spdx-lgpl-3": "spdx license identifier lgpl 3 0 or later",
+    "spdx-agpl-3": "spdx license identifier agpl 3 0 or later",
+    "spdx-mpl-2": "spdx license identifier mpl 2 0",
+    "spdx-epl-2": "spdx license identifier epl 2 0",
+    "spdx-unlicense": "spdx license identifier unlicense",
+    "spdx-cc0": "spdx license identifier cc0 1 0",
     "spdx-mit": "spdx license identifier mit",
     "spdx-apache-2": "spdx license identifier apache 2 0",
     "spdx-gpl-3": "spdx license identifier gpl 3 0 or later",
@@ -85,6 +136,54 @@ RULES = (
     ("cc0-1", "CC0-1.0", ("cc0-1",)),
     ("public-domain", "Public-Domain", ("public-domain",)),
     ("all-rights", "Proprietary", ("all-rights",)),
+    ("bsd-3-full", "BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-disclaimer")),
+    ("bsd-2-full", "BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-disclaimer")),
+    ("isc-full", "ISC", ("isc-grant", "isc-disclaimer")),
+    ("0bsd-full", "0BSD", ("0bsd-grant", "isc-disclaimer")),
+    ("apache-2-title", "Apache-2.0", ("apache-2-title",)),
+    ("apache-2-copyright", "Apache-2.0", ("apache-2-copyright",)),
+    ("gpl-2-only", "GPL-2.0-only", ("gpl-2-only",)),
+    ("gpl-2-only-header", "GPL-2.0-only", ("gpl-2-only", "gpl-hope", "gpl-received")),
+    ("gpl-2-free", "GPL-2.0-or-later", ("gpl-2-free",)),
+    ("gpl-2-header", "GPL-2.0-or-later", ("gpl-2-free", "gpl-hope", "gpl-received")),
+    ("gpl-2-title", "GPL-2.0", ("gpl-2-title",)),
+    ("gpl-3-title", "GPL-3.0", ("gpl-3-title",)),
+    ("lgpl-21-free", "LGPL-2.1-or-later", ("lgpl-21-free",)),
+    ("lgpl-21-header", "LGPL-2.1-or-later", ("lgpl-21-free", "lgpl-hope", "lgpl-library-received")),
+    ("lgpl-21-title", "LGPL-2.1", ("lgpl-21-title",)),
+    ("lgpl-3-free", "LGPL-3.0-or-later", ("lgpl-3-free",)),
+    ("lgpl-3-header", "LGPL-3.0-or-later", ("lgpl-3-free", "gpl-hope", "lgpl-received")),
+    ("lgpl-3-title", "LGPL-3.0", ("lgpl-3-title",)),
+    ("agpl-3-free", "AGPL-3.0-or-later", ("agpl-3-free",)),
+    ("agpl-3-header", "AGPL-3.0-or-later", ("agpl-3-free", "gpl-hope", "agpl-received")),
+    ("agpl-3-title", "AGPL-3.0", ("agpl-3-title",)),
+    ("mpl-2-header", "MPL-2.0", ("mpl-2-subject", "mpl-2-obtain")),
+    ("mpl-2-header-http", "MPL-2.0", ("mpl-2-subject", "mpl-2-obtain-http")),
+    ("mpl-2-title", "MPL-2.0", ("mpl-2-title",)),
+    ("epl-2-made", "EPL-2.0", ("epl-2-made",)),
+    ("epl-2-title", "EPL-2.0", ("epl-2-title",)),
+    ("epl-1-made", "EPL-1.0", ("epl-1-made",)),
+    ("epl-1-title", "EPL-1.0", ("epl-1-title",)),
+    ("unlicense-free", "Unlicense", ("unlicense-free",)),
+    ("unlicense-text", "Unlicense", ("unlicense-free", "unlicense-anyone", "unlicense-dedicate")),
+    ("cc-by-4-work", "CC-BY-4.0", ("cc-by-4-work",)),
+    ("cc-by-sa-4-work", "CC-BY-SA-4.0", ("cc-by-sa-4-work",)),
+    ("cc-by-nc-4-work", "CC-BY-NC-4.0", ("cc-by-nc-4-work",)),
+    ("cc-by-nd-4-work", "CC-BY-ND-4.0", ("cc-by-nd-4-work",)),
+    ("cc-by-nc-sa-4-work", "CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4-work",)),
+    ("cc-by-nc-nd-4-work", "CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4-work",)),
+    ("spdx-bsd-2", "BSD-2-Clause", ("spdx-bsd-2",)),
+    ("spdx-isc", "ISC", ("spdx-isc",)),
+    ("spdx-gpl-2-only", "GPL-2.0-only", ("spdx-gpl-2-only",)),
+    ("spdx-gpl-2", "GPL-2.0-or-later", ("spdx-gpl-2",)),
+    ("spdx-gpl-3-only", "GPL-3.0-only", ("spdx-gpl-3-only",)),
+    ("spdx-lgpl-21", "LGPL-2.1-or-later", ("spdx-lgpl-21",)),
+    ("spdx-lgpl-3", "LGPL-3.0-or-later", ("spdx-lgpl-3",)),
+    ("spdx-agpl-3", "AGPL-3.0-or-later", ("spdx-agpl-3",)),
+    ("spdx-mpl-2", "MPL-2.0", ("spdx-mpl-2",)),
+    ("spdx-epl-2", "EPL-2.0", ("spdx-epl-2",)),
+    ("spdx-unlicense", "Unlicense", ("spdx-unlicense",)),
+    ("spdx-cc0", "CC0-1.0", ("spdx-cc0",)),
     ("spdx-mit", "MIT", ("spdx-mit",)),
     ("spdx-apache-2", "Apache-2.0", ("spdx-apache-2",)),
     ("spdx-gpl-3", "GPL-3.0-or-later", ("spdx-gpl-3",)),
@@ -122,16 +221,17 @@ class Scanner:
         self.rules, self.gap = sorted(rules, key=lambda r: -len(r[2])), gap
 
     def identifiers(self, text: str) -> tuple[list[str], list[tuple[int, int, str]]]:
-        """The pieces, and (first piece, last piece, identifier) of the known sentences; wrapped ones are joined again."""
+        """The pieces, and (first piece, last piece, identifier) of the known sentences; wrapped ones are joined again, and of
+        several that begin at one piece the longest counts."""
         parts = sentences(text)
         found = []
         for i, s in enumerate(parts):
             word = _WORD.search(s)
             if not word or _OTHER.split(word[0].lower(), maxsplit=1)[0] not in self.heads:
                 continue
-            n = normalize(s)
+            n, whole = normalize(s), None
             if n in self.ids:
-                found.append((i, i, self.ids[n]))
+                whole = (i, i, self.ids[n])
             last = i
             while n in self.open and last + 1 < len(parts):
                 last += 1
@@ -140,14 +240,21 @@ class Scanner:
                 if joined not in self.open and joined not in self.ids and not normalize(parts[last]):
                     continue
                 if joined != n and joined in self.ids:
-                    found.append((i, last, self.ids[joined]))
+                    whole = (i, last, self.ids[joined])
                 n = joined
+            if whole:
+                found.append(whole)
         return parts, found
 
     def matches(self, parts: list[str], found: list[tuple[int, int, str]]) -> list[tuple[int, str, str]]:
         """(place, rule, licence) of the rules that match, each once, without those inside a longer match."""
         counts = [bool(n) and not n.replace(" ", "").isdigit() for n in map(normalize, parts[found[0][0] : found[-1][0]])]
-        before, base = list(accumulate(counts, initial=0)), found[0][0]
+        base = found[0][0]
+        # a known sentence is one piece, however it is wrapped
+        for a, b, _ in found:
+            for k in range(a + 1 - base, min(b + 1 - base, len(counts))):
+                counts[k] = False
+        before = list(accumulate(counts, initial=0))
         out, taken = [], set()
         for name, licence, ids in self.rules:
             first = None

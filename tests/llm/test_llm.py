@@ -422,6 +422,91 @@ def test_wrapped_licenses(text, want):
         assert s.scan("\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n")))[:2] == want
 
 
+HOPE = """{0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the {1} for more details.
+
+You should have received a copy of the {1} along with {2}."""
+FREE = "{} is free software; you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.\n\n"
+LESSER, AFFERO, GENERAL = "GNU Lesser General Public License", "GNU Affero General Public License", "GNU General Public License"
+DISCLAIMER = """\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+ISC_REST = """\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+KNOWN = {
+    "mit-text": ("MIT", MIT), "bsd-3-text": ("BSD-3-Clause", BSD), "bsd-3-full": ("BSD-3-Clause", BSD + DISCLAIMER), "bsd-2-full": ("BSD-2-Clause", BSD[: BSD.index("3. Neither")] + DISCLAIMER), "gpl-3-header": ("GPL-3.0-or-later", GPL),
+    "gpl-2-header": ("GPL-2.0-or-later", FREE.format("This program", GENERAL, 2) + HOPE.format("This program", GENERAL, "this program")), "lgpl-21-header": ("LGPL-2.1-or-later", FREE.format("This library", LESSER, 2.1) + HOPE.format("This library", LESSER, "this library")),
+    "lgpl-3-header": ("LGPL-3.0-or-later", FREE.format("This program", LESSER, 3) + HOPE.format("This program", LESSER, "this program")), "agpl-3-header": ("AGPL-3.0-or-later", FREE.format("This program", AFFERO, 3) + HOPE.format("This program", AFFERO, "this program")),
+    "isc-full": ("ISC", ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies." + ISC_REST), "0bsd-full": ("0BSD", ISC_GRANT + "." + ISC_REST),
+    "mpl-2-header": ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "epl-2-made": ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    "unlicense-text": ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain."),
+    "cc-by-nc-sa-4-work": ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "apache-2-header": ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    https://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
+    "agpl-3-title": ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007"),
+}
+
+
+@pytest.mark.parametrize("rule", KNOWN)
+def test_licenses_at_any_wrap(rule):
+    s, (licence, text) = license_scan.Scanner(), KNOWN[rule]
+    assert s.scan(f"some words\n\n{text}\n\nother words")[:2] == (licence, rule)
+    for width in range(20, 121):
+        wrapped = "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+        assert s.scan(wrapped)[:2] == (licence, rule), width
+        assert s.scan("\n".join(f"// {line}" for line in wrapped.split("\n")))[:2] == (licence, rule), width
+
+
+def plain_license_scan(text, known, rules, gap):
+    """Every stretch of pieces is compared with every sentence, every chain of sentences is tried."""
+    parts = license_scan.sentences(text)
+    at = {}
+    for i in range(len(parts)):
+        for j in range(i, len(parts)):
+            words = [w for p in parts[i : j + 1] for w in license_scan.plain(p).split()]
+            if license_scan.plain(parts[i]) and license_scan.plain(parts[j]) and " ".join(words) in known:
+                at[i] = (i, j, known[" ".join(words)])
+    found = [at[i] for i in sorted(at)]
+    counted = [bool(n) and not n.replace(" ", "").isdigit() for n in map(license_scan.plain, parts)]
+    for i, j, _ in found:
+        counted[i + 1 : j + 1] = [False] * (j - i)
+
+    def chains(chain, rest):
+        if not rest:
+            return [chain]
+        end = found[chain[-1]][1] + 1
+        return [c for k in range(chain[-1] + 1, len(found)) if found[k][2] == rest[0] and found[k][0] >= end and sum(counted[end : found[k][0]]) <= gap for c in chains([*chain, k], rest[1:])]
+
+    out, taken = set(), set()
+    for name, licence, ids in sorted(rules, key=lambda r: -len(r[2])):
+        for start, (_, _, key) in enumerate(found):
+            whole = chains([start], ids[1:]) if key == ids[0] else []
+            if whole and not taken.issuperset(whole[0]):
+                taken.update(whole[0])
+                out.add((name, licence))
+    return out
+
+
+def test_licenses_equal_plain_matching():
+    import random
+
+    known = {"a": "alpha one", "ab": "alpha one and two", "b": "beta two three", "c": "gamma"}
+    rules = (("abc", "ABC", ("a", "b", "c")), ("ab-c", "AB-C", ("ab", "c")), ("bc", "BC", ("b", "c")), ("a", "A", ("a",)), ("c", "C", ("c",)))
+    s, back, seen = license_scan.Scanner(known, rules, 1), {v: k for k, v in known.items()}, set()
+    draw = random.Random(5)
+    for _ in range(4000):
+        words = [w for _ in range(draw.randint(1, 7)) for w in draw.choice([*known.values(), *known.values(), "alpha", "x", "7", "beta two"]).split() + draw.choice([["."], [".\n"], ["\n"], []])]
+        text = "".join(w if w in (".", ".\n", "\n") else draw.choice([" ", " ", " ", "\n", "\n# "]) + draw.choice([w, w.upper()]) for w in words)
+        parts, found = s.identifiers(text)
+        got = {(r, x) for _, r, x in (s.matches(parts, found) if found else [])}
+        assert got == plain_license_scan(text, back, rules, 1), text
+        seen |= {r for r, _ in got}
+    assert seen == {r[0] for r in rules}
+
+
+def test_every_license_rule_has_its_sentences():
+    between = {"gpl-see", "lgpl-see", "agpl-see"}
+    assert {k for _, _, ids in license_scan.RULES for k in ids} == set(license_scan.SENTENCES) - between
+    assert all(license_scan.normalize(v) == v for v in license_scan.SENTENCES.values()) and len(set(license_scan.SENTENCES.values())) == len(license_scan.SENTENCES)
+
+
 def test_license_gaps_count_from_the_end():
     s = license_scan.Scanner({"a": "alpha one and two", "b": "beta two"}, (("ab", "AB", ("a", "b")),), gap=1)
     assert s.scan("alpha\none\nand\ntwo.\nx\n2.\n --\nbeta two.") == ("AB", "ab", 8, 0)
