@@ -79,14 +79,16 @@ def structure_report(structures: DataFrame, cases: DataFrame) -> DataFrame:
     null, boxes boolean). Terms are contained in a page's texts, in the cells of its tables, in the texts of elements that
     vision gave, without regard to case and white space. A case whose page isn't there counts as a case and asks nothing.
     """
-    units = S.pages(structures, cases.select("version_id", "page"))
     e = F.col("unit.elements")
     text = lambda xs: T.normalize_for_compare(F.array_join(F.transform(xs, lambda x: x["text"]), " "))
     shown = F.filter(e, lambda x: x["searchable"])
-    page = units.select(
-        "version_id", "page", F.col("unit.classification").alias("class"), text(e).alias("text"), text(F.filter(e, lambda x: x["source"] == "vision")).alias("seen"),
-        F.size(shown).alias("shown"), F.size(F.filter(shown, lambda x: x["bbox"].isNotNull())).alias("placed"),
-    )
+    # of a unit only what is compared travels: no Markdown, no places
+    narrow = {
+        "whole": S.is_page(F.col("unit")), "class": F.col("unit.classification"), "text": text(e), "seen": text(F.filter(e, lambda x: x["source"] == "vision")),
+        "shown": F.size(shown), "placed": F.size(F.filter(shown, lambda x: x["bbox"].isNotNull())),
+    }
+    units = S.units(structures).filter("unit.location.type = 'page'").select("version_id", F.col("unit.location.page").alias("page"), "unit_no", F.struct(*(v.alias(k) for k, v in narrow.items())).alias("own"))
+    page = units.groupBy("version_id", "page").agg(F.min_by("own", "unit_no").alias("own")).filter("own.whole").select("version_id", "page", "own.*")
     cells = F.array_join(F.flatten("table.rows"), " ")
     wanted = cases.select("version_id", "page").distinct()
     tables = S.tables(structures).filter("table.location.type = 'page'").select("version_id", F.col("table.location.page").alias("page"), "table_no", cells.alias("cells")).join(wanted, ["version_id", "page"], "left_semi")
