@@ -116,7 +116,7 @@ def queue_job_ids(spark, sf_dir):
 @query(B.with_(B.VECTOR_CHUNKS, B.VECTOR_QUERIES, "r AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(query_vector, embedding), 6) DESC, chunk_id) AS rank FROM vector_queries, vector_chunks WHERE qid <> chunk_id)")
        + "SELECT 'vector' AS stage, qid, chunk_id, rank FROM r WHERE rank <= 10 UNION ALL SELECT 'selected', qid, chunk_id, rank FROM r WHERE rank <= 3")
 def search_diagnostics(spark, sf_dir):
-    near = R.nearest(B.vector_chunks(spark, sf_dir), B.vector_queries(spark, sf_dir), 10)
+    near = R.nearest_in_blocks(B.vector_chunks(spark, sf_dir), B.vector_queries(spark, sf_dir), 10)
     return W.stages(vector=near, selected=near.filter("rank <= 3"))
 
 
