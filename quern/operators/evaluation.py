@@ -13,6 +13,7 @@ from quern.sources import structure as S
 
 # Multiplier and increment of the linear congruential generator, modulo 2**32.
 LCG = (1664525, 1013904223)
+MASK = np.uint64(0xFFFFFFFF)
 
 
 def recall_at(hits: DataFrame, queries: DataFrame, cutoffs: list[int]) -> DataFrame:
@@ -41,24 +42,33 @@ def nearest_rank(ordered: np.ndarray, share: float) -> float:
     return float(ordered[max(0, int(np.ceil(len(ordered) * share)) - 1)]) if len(ordered) else 0.0
 
 
+def _steps(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and increments of 1 to n steps of the generator at once."""
+    m, c = np.array([LCG[0]], np.uint64), np.array([LCG[1]], np.uint64)
+    while len(m) < n:  # the steps so far, and after them as many again
+        last_m, last_c = m[-1], c[-1]
+        m, c = np.concatenate([m, (m * last_m) & MASK]), np.concatenate([c, (m * last_c + c) & MASK])
+    return m[:n], c[:n]
+
+
 def uniform(seed: int, n: int) -> np.ndarray:
     """The generator's next n numbers in [0, 1)."""
-    out, state = np.empty(n), seed & 0xFFFFFFFF
-    for i in range(n):
-        state = (state * LCG[0] + LCG[1]) & 0xFFFFFFFF
-        out[i] = state / 2**32
-    return out
+    m, c = _steps(n)
+    return ((m * np.uint64(seed & 0xFFFFFFFF) + c) & MASK) / 2**32
 
 
 def bootstrap(rows: DataFrame, statistic: str, samples: int, seed: int) -> DataFrame:
     """(group, low, high): 2.5 and 97.5 % of a statistic over resamples drawn by the generator. A group is one metric's
-    values over an evaluation set."""
+    values over an evaluation set; a task holds them and one resample."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values("position")["value"].to_numpy(float)
-        at = (uniform(seed, samples * len(v)) * len(v)).astype(int).reshape(samples, len(v))
-        drawn = v[at]
-        s = drawn.mean(axis=1) if statistic == "mean" else np.sort(drawn, axis=1)[:, max(0, int(np.ceil(len(v) * 0.95)) - 1)]
+        (m, c), state, s = _steps(len(v)), np.uint64(seed & 0xFFFFFFFF), np.empty(samples)
+        for i in range(samples):
+            states = (m * state + c) & MASK
+            state = states[-1]
+            drawn = v[(states / 2**32 * len(v)).astype(int)]
+            s[i] = drawn.mean() if statistic == "mean" else np.sort(drawn)[max(0, int(np.ceil(len(v) * 0.95)) - 1)]
         s = np.sort(s)
         return pd.DataFrame({"group": [pdf["group"].iloc[0]], "low": [round(nearest_rank(s, 0.025), 6)], "high": [round(nearest_rank(s, 0.975), 6)]})
 
