@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.parts import parts
+
 
 def repeated_margins(lines: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc, role, fingerprint, pages): texts of the top and bottom 12 % of pages, digits as '#', that are on enough of
@@ -34,11 +36,21 @@ def islands(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFram
     return rows.withColumn(name, F.col(value) - F.dense_rank().over(w))
 
 
+#: Cells of a task, about.
+CELLS = 500_000
+
+
 def regions(cells: DataFrame) -> DataFrame:
-    """(sheet, row_start, row_end, column_start, column_end, n): runs of rows, in each the runs of columns. cells: sheet, r, c."""
-    own = islands(cells, ["sheet"], "r", "band")
+    """(sheet, row_start, row_end, column_start, column_end, n): runs of rows, in each the runs of columns. cells: sheet, r, c.
+
+    A cell given more than once is one. Rows are numbered with their columns as one array each, and columns within a band
+    with their counts, so that no window is over cells; sheets are dealt to as many tasks as there are cells for.
+    """
+    rows = cells.repartition(parts(cells, CELLS), "sheet").groupBy("sheet", "r").agg(F.collect_set(F.struct("c")).alias("cs"))
+    own = islands(rows, ["sheet"], "r", "band").select("sheet", "band", "r", F.explode("cs").alias("x")).select("sheet", "band", "r", "x.c")
+    own = own.groupBy("sheet", "band", "c").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.count("*").alias("k"))
     own = islands(own, ["sheet", "band"], "c", "block")
-    return own.groupBy("sheet", "band", "block").agg(F.min("r").alias("row_start"), F.max("r").alias("row_end"), F.min("c").alias("column_start"), F.max("c").alias("column_end"), F.count("*").alias("n")).drop("band", "block")
+    return own.groupBy("sheet", "band", "block").agg(F.min("r1").alias("row_start"), F.max("r2").alias("row_end"), F.min("c").alias("column_start"), F.max("c").alias("column_end"), F.sum("k").alias("n")).drop("band", "block")
 
 
 def body_font(lines: DataFrame, *keys: str, default: float = 10.0) -> DataFrame:

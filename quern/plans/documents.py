@@ -76,7 +76,7 @@ _CELLS = "cells AS (SELECT DISTINCT l_suppkey AS sheet, l_orderkey AS r, l_linen
 SELECT sheet, min(r) AS row_start, max(r) AS row_end, min(c) AS column_start, max(c) AS column_end, count(*) AS n FROM b GROUP BY sheet, band, block""")
 def grid_regions(spark, sf_dir):
     own = B.read(spark, sf_dir, "lineitem")
-    return L.regions(own.select(F.col("l_suppkey").alias("sheet"), F.col("l_orderkey").alias("r"), F.col("l_linenumber").alias("c")).distinct())
+    return L.regions(own.select(F.col("l_suppkey").alias("sheet"), F.col("l_orderkey").alias("r"), F.col("l_linenumber").alias("c")))
 
 
 @query("SELECT doc_id AS document_id, CASE WHEN n_chars < 200 THEN 'scanned' WHEN doc_id % 4 > 0 THEN 'mixed' ELSE 'native' END AS class FROM documents")
