@@ -17,7 +17,8 @@ texts. Only links between what isn't yet connected matter, in three rounds:
 2. in buckets that still hold several components each node is paired with its nearest of each other component, NEAREST
    of them at most, and one pair for each pair of components is verified;
 3. where that did not connect two components, or a node had more than NEAREST, all pairs across components that the
-   bitmaps do not exclude are verified.
+   bitmaps do not exclude are found; the nearest of each two components is verified, then those of components that are
+   apart even so.
 
 No link between different components is left unverified, no pair inside a component is made: copies don't grow
 with the square of their number. Nothing about documents is collected but the bounded list of frequent tokens.
@@ -314,19 +315,48 @@ def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, sets: Data
     return materialize(spark, rows.select("hub", "role", "node", "text").mapInArrow(lean(run), "a long, b long").distinct(), "links")
 
 
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """(node, lab): the smallest node that links (a, b) connect to it. Label propagation with pointer jumping."""
-    both = materialize(spark, links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("lab")), "labels")
+def components(spark: SparkSession, links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, lab): the smallest node that links (a, b), and those that gave known, connect to it.
+
+    Each node goes to its smallest neighbour, by pointer jumping to the end of that way; then links are between these ends,
+    of which there are half as many nodes at most. Links within one are gone, so all rounds together are about one."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("lab"))
+    labels = ends if known is None else known.select("node", "lab").unionByName(ends)
+    labels = materialize(spark, labels.groupBy("node").agg(F.min("lab").alias("lab")), "labels")
+    edges, moved = links.select("a", "b"), None if known is None else labels
     while True:
-        known = small(labels)
-        near = both.join(known.select(F.col("node").alias("b"), "lab"), "b").groupBy(F.col("a").alias("node")).agg(F.min("lab").alias("m"))
-        step = near.join(known, "node").select("node", F.col("lab").alias("old"), F.least("lab", "m").alias("lab"))
-        jump = step.join(known.select(F.col("node").alias("lab"), F.col("lab").alias("far")), "lab").select("node", "old", F.least("lab", "far").alias("lab"))
-        new = materialize(spark, jump, "labels")
-        labels = new.select("node", "lab")
-        if not new.filter("lab <> old").limit(1).count():
+        if moved is not None:
+            to = small(moved)
+            for c in ("a", "b"):
+                edges = edges.join(to.select(F.col("node").alias(c), F.col("lab").alias(f"l{c}")), c)
+            edges = edges.select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        edges = materialize(spark, edges, "edges")
+        if not edges.limit(1).count():
             return labels
+        # of the larger node of a link; the smaller one needs no link of its own to stay where it is
+        smaller = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("lab")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("lab")))
+        moved = materialize(spark, smaller.groupBy("node").agg(F.min("lab").alias("lab")), "moved")
+        while True:
+            to = small(moved).select(F.col("node").alias("lab"), F.col("lab").alias("far"))
+            jump = materialize(spark, moved.join(to, "lab").select("node", F.col("lab").alias("old"), F.col("far").alias("lab")), "moved")
+            moved = jump.select("node", "lab")
+            if not jump.filter("lab <> old").limit(1).count():
+                break
+        to = small(moved).select(F.col("node").alias("lab"), F.col("lab").alias("far"))
+        labels = materialize(spark, labels.join(to, "lab", "left").select("node", F.coalesce("far", "lab").alias("lab")), "labels")
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """(a, b): of the pairs of each two components the one with the fewest bits between."""
+    return pairs.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose components ca and cb are still two by labels."""
+    for c in ("ca", "cb"):
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("lab").alias(f"l{c}")), c, "left")
+    return pairs.filter(F.coalesce("lca", "ca") != F.coalesce("lcb", "cb")).drop("lca", "lcb")
 
 
 def _mixed(spark: SparkSession, live: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
@@ -461,26 +491,23 @@ def join(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int
     mixed = _mixed(spark, live, labels, hot)
     across = materialize(spark, _across(spark, mixed, nodes, percent, NEAREST), "across")
     pairs, more = across.filter("d >= 0"), across.filter("d < 0").select(F.col("a").alias("sig"))
-    once = pairs.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b")
-    links = links.unionByName(_verified(spark, materialize(spark, once, "once"), docs, sets, width, percent))
-    labels = components(spark, links)
+    labels = components(spark, _verified(spark, materialize(spark, _nearest(pairs), "once"), docs, sets, width, percent), labels)
     # what is left: components (of round 1) that met and are still apart, and buckets with more than was named
     now = small(labels)
-    side = lambda c: F.coalesce(F.col(f"l{c}"), F.col(c))
-    apart = pairs.select("ca", "cb").distinct()
-    for c in ("ca", "cb"):
-        apart = apart.join(now.select(F.col("node").alias(c), F.col("lab").alias(f"l{c}")), c, "left")
-    apart = apart.filter(side("ca") != side("cb"))
+    apart = _apart(pairs.select("ca", "cb").distinct(), now)
     apart = materialize(spark, apart.select(F.explode(F.array("ca", "cb")).alias("lab")).distinct(), "apart")
     left = mixed.join(small(apart), "lab", "left_semi").unionByName(mixed.join(small(more), "sig", "left_semi")).distinct()
     left = materialize(spark, left.select("sig", "node", "n", "rows", "lab"), "left")
     if left.limit(1).count():
         # by the components of now
         own = left.drop("lab").join(now, "node", "left").withColumn("lab", F.coalesce("lab", "node"))
-        across = materialize(spark, _across(spark, own, nodes, percent, None).select("a", "b"), "across")
-        if across.limit(1).count():
-            links = links.unionByName(_verified(spark, across, docs, sets, width, percent))
-            labels = components(spark, links)
+        across = materialize(spark, _across(spark, own, nodes, percent, None), "across")
+        # the nearest of two components first: where it connects them, no other pair of theirs is needed
+        for some in (lambda: _nearest(across), lambda: _apart(across, small(labels)).select("a", "b")):
+            pairs = materialize(spark, some(), "pairs")
+            if not pairs.limit(1).count():
+                break
+            labels = components(spark, _verified(spark, pairs, docs, sets, width, percent), labels)
     return sets.select("doc_id", "mark", "node", "n"), labels
 
 
