@@ -86,7 +86,8 @@ def _first_version(s: Column) -> Column:
 
 
 def _on_page(page: Column) -> Column:
-    return F.from_json(F.to_json(F.struct(F.lit("page").alias("type"), page.alias("page"))), LOCATION)
+    fields = (f.split(":") for f in LOCATION[len("struct<") : -1].split(","))
+    return F.struct(*({"type": F.lit("page"), "page": page}.get(f, F.lit(None)).cast(t).alias(f) for f, t in fields))
 
 
 def upgraded(s: Column) -> Column:
@@ -133,7 +134,7 @@ def read(files: DataFrame) -> DataFrame:
 
 
 def problems(structures: DataFrame) -> DataFrame:
-    """What is put aside."""
+    """What is put aside. Give it a table: a filter on what read() computes computes it many times."""
     return structures.filter("problem is not null").select("version_id", "problem")
 
 
