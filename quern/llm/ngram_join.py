@@ -63,6 +63,8 @@ SKETCH_ITEMS = 10_000
 BLOCK = 2000
 #: Other components to which a row of a cell names its nearest node at once.
 NEAREST = 8
+#: Signatures that a row of a cell knows its node by: two nodes that share one of them are paired in its bucket only.
+FIRSTS = 4
 #: Bits of a bitmap for each token of its set, at least. In the first comparison of a bucket's rows a quarter is used.
 BITS = 4
 #: Nodes that are verified against one copy of their hub's text.
@@ -398,10 +400,15 @@ def _cells(spark: SparkSession, mixed: DataFrame, percent: int) -> DataFrame:
 
 def _cell_pairs(rows: list[tuple], percent: int, most: int | None) -> Iterator[list[np.ndarray]]:
     """[a, b, ca, cb, d] of the pairs of a cell, whose rows are in order of size. With most only the nearest of each other
-    component for each row, so many of the nearest, and of those one pair for each two components; if there are more, (sig, sig, 0, 0, -1) is given once for the cell."""
-    i, j = rows[0][2], rows[0][3]
+    component for each row, so many of the nearest, and of those one pair for each two components; if there are more, (sig, sig, 0, 0, -1) is given once for the cell.
+
+    Near copies share most of their buckets. A pair that is known to share a smaller signature is left to that bucket: the
+    smallest that two nodes share always has them. It still counts among a row's nearest, so that other buckets do not
+    name others in its place."""
+    sig, i, j = rows[0][0], rows[0][2], rows[0][3]
     side, guest = np.array([r[4] for r in rows]), np.array([r[5] for r in rows], bool)
     node, n, lab = (np.array([r[k] for r in rows]) for k in (6, 7, 8))
+    first = np.array([r[10:] for r in rows])
     words = np.array([len(r[9]) // 8 for r in rows])  # ascending, as sizes are
     maps, begins, width = np.zeros((0, 0), np.uint64), 0, 0
     ends = np.searchsorted(n, n * 100 // percent, side="right")
@@ -435,13 +442,23 @@ def _cell_pairs(rows: list[tuple], percent: int, most: int | None) -> Iterator[l
         d = np.bitwise_count(maps[found - begins] ^ maps[k - begins]).sum(axis=1).astype(np.int64)
         close = d <= allowed(n[found], n[k], percent)
         found, d = found[close], d[close]
-        if not len(found):
+        before = first[k][first[k] < sig]
+        own = ~(first[found][:, :, None] == before).any(axis=(1, 2))
+        if not own.any():
             continue
         if most is not None:
             order = np.argsort(d, kind="stable")
-            firsts = np.sort(np.unique(lab[found[order]], return_index=True)[1])
-            cut |= len(firsts) > most
-            found, d = found[order[firsts[:most]]], d[order[firsts[:most]]]
+            found, d, own = found[order], d[order], own[order]
+            firsts = np.sort(np.unique(lab[found], return_index=True)[1])
+            named = np.isin(lab[found], lab[found[firsts[:most]]])
+            cut |= bool((own & ~named).any())
+            found, d = found[own & named], d[own & named]
+            firsts = np.sort(np.unique(lab[found], return_index=True)[1])
+            found, d = found[firsts], d[firsts]
+        else:
+            found, d = found[own], d[own]
+        if not len(found):
+            continue
         out.append([np.full(len(found), k), found, d])
         held += len(found)
         if held > 200_000:
@@ -456,7 +473,9 @@ def _cell_pairs(rows: list[tuple], percent: int, most: int | None) -> Iterator[l
 def _across(spark: SparkSession, mixed: DataFrame, nodes: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Distinct pairs (a, b, ca, cb, d) of nodes of different components that share a bucket and pass size and bitmap;
     with most also (sig, sig, 0, 0, -1) of the buckets that have more."""
-    own = _cells(spark, mixed, percent).join(nodes.select("node", F.col("bits" if most is None else "short").alias("bits")), "node").select("sig", "band", "i", "j", "side", "guest", "node", "n", "lab", "bits")
+    firsts = mixed.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRSTS).alias("s"))
+    known = nodes.select("node", F.col("bits" if most is None else "short").alias("bits")).join(firsts, "node").select("node", "bits", *(F.coalesce(F.get("s", F.lit(k)), F.get("s", F.lit(0))).alias(f"s{k}") for k in range(FIRSTS)))
+    own = _cells(spark, mixed, percent).join(known, "node").select("sig", "band", "i", "j", "side", "guest", "node", "n", "lab", "bits", *(f"s{k}" for k in range(FIRSTS)))
     key = ["sig", "band", "i", "j"]
     own = own.repartition(size_partitions(spark), *key).sortWithinPartitions(*key, "n", "node")
 
