@@ -23,9 +23,9 @@ def clean(text: str) -> str:
 
 def heading_anchors(text: str) -> list[tuple[str | None, int, int]]:
     """(title, start, end): each heading up to the next; one without a title for a text without headings."""
-    found = [(m[2], m.start()) for m in _HEADING.finditer(text)]
+    found = [(m[2], m.start()) for m in _HEADING.finditer(text)] or [(None, 0)]
     ends = [*(s for _, s in found[1:]), len(text)]
-    return [(t, a, b) for (t, a), b in zip(found, ends, strict=True)] or [(None, 0, len(text))]
+    return [(t, a, b) for (t, a), b in zip(found, ends, strict=True)]
 
 
 def headings(docs: DataFrame) -> DataFrame:
